@@ -5,12 +5,14 @@ from __future__ import annotations
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import OP5_SQL, op5_mixing
+from .simhash import op9_simhash
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_mixing": op5_mixing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {
