@@ -7,10 +7,12 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .hmm import op2_hmm
 from .mixing import OP5_SQL, op5_mixing
 from .simhash import op9_simhash
+from .toxicity import op3_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
     "op2_hmm": op2_hmm,
+    "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_mixing": op5_mixing,
     "op8_decontaminate": op8_decontaminate,
