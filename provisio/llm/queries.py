@@ -6,6 +6,7 @@ from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .hmm import op2_hmm
 from .mixing import OP5_SQL, op5_mixing
+from .quality import op7_quality
 from .simhash import op9_simhash
 from .toxicity import op3_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_mixing": op5_mixing,
+    "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
