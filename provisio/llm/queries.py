@@ -8,14 +8,18 @@ from .hmm import op2_hmm
 from .mixing import OP5_SQL, op5_mixing
 from .quality import op7_quality
 from .simhash import op9_simhash
+from .substring_dedup import op1_substring_dedup
+from .tool_calls import op6_tool_calls
 from .toxicity import op3_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_hmm": op2_hmm,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_mixing": op5_mixing,
+    "op6_tool_calls": op6_tool_calls,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
