@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, whole_text
+from .common import ascii_lower, spool, table, whole_text
 
 WINDOW = 10
 #: The set of test windows is broadcast up to this many rows (about 200 bytes each); a larger set is joined by shuffle.
@@ -67,7 +67,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     Null, empty and wordless texts have no words and no hits. Repeated rows each get their row; an empty benchmark
     or empty docs give no hits or no rows. Ids may be null or repeat: hits are kept by id and hash of the text.
     """
-    found = hits(docs, benchmark, window, max_broadcast, id_col, text_col)
+    found = spool(hits(docs, benchmark, window, max_broadcast, id_col, text_col), "hits")
     covered = spans(found).groupBy("doc_id", "text_hash").agg(F.sum(F.col("stop") - F.col("start")).cast("long").alias("n_hit"))
     items = found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
