@@ -11,6 +11,8 @@ from .common import ascii_lower, spool, table, whole_text
 WINDOW = 10
 #: The set of test windows is broadcast up to this many rows (about 200 bytes each); a larger set is joined by shuffle.
 MAX_BROADCAST = 1_000_000
+#: Words of a window that are looked up first.
+HEAD = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -19,6 +21,14 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(whole_text(text)), F.lit(WORD), F.lit(0))
 
 
+def _head(length: Column, *words: Column) -> Column:
+    """Hash of the first HEAD words of a window, or of all of a shorter one."""
+    hashed = F.xxhash64(*words)
+    for n in range(HEAD - 1, 0, -1):
+        hashed = F.when(length == n, F.xxhash64(*words[:n])).otherwise(hashed)
+    return hashed
+
+
 def test_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Every distinct window of the items: its length, words, hash and the list of its items.
 
@@ -46,6 +56,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadc
     else:
         at = at.withColumn("at_length", F.explode(F.array(*(F.lit(r["length"]) for r in sorted(found)))))
     at = at.filter(F.col("start") + F.col("at_length") <= F.size("words"))
+    # Few positions begin with the first words of a test window; only those build and hash the whole window.
+    heads = windows.select(_head(F.col("length"), *(F.get("gram", F.lit(i)) for i in range(HEAD))).alias("head")).distinct()
+    heads = F.broadcast(heads) if known is not windows else heads
+    at = at.join(heads, _head(F.col("at_length"), F.col("word"), *(F.get("words", F.col("start") + i) for i in range(1, HEAD))) == F.col("head"), "left_semi")
     gram = F.slice("words", F.col("start") + 1, F.col("at_length"))
     return at.join(known, (F.xxhash64(gram) == F.col("hash")) & (gram == F.col("gram"))).select("doc_id", "text_hash", "start", "length", "items")
 
