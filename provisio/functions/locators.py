@@ -19,7 +19,7 @@ def fragment_type(locator: Column) -> Column:
     return kind.otherwise("unknown")
 
 
-def _plain(locator: Column) -> Column:
+def plain(locator: Column) -> Column:
     """The locator without what follows its first slash and without a namespace before it."""
     dashed = F.replace(F.trim(locator), F.lit("__"), F.lit("-"))
     slash = F.instr(dashed, F.lit("/"))
@@ -35,9 +35,12 @@ def _path(path: Column) -> Column:
     return blank_to_null(F.array_join(F.filter(parts, lambda x: x != ""), "-"))
 
 
-def lineage_key(locator: Column) -> Column:
-    """One key for the five ways in which a locator names a list item or paragraph of an article; null for others."""
-    t = _plain(locator)
+def lineage_key(locator: Column, bare: Column | None = None) -> Column:
+    """One key for the five ways in which a locator names a list item or paragraph of an article; null for others.
+
+    bare: plain(locator), where a column holds it already.
+    """
+    t = plain(locator) if bare is None else bare
     listed = t.contains(":list:")
     base, rest = F.substring_index(t, ":list:", 1), F.substring_index(F.element_at(F.split(t, ":list:"), 2), "/", 1)
     article = blank_to_null(F.lower(F.regexp_extract(base, r"(?i)(?:article|section)[:/_-]?(\d+[a-z]?)", 1)))
@@ -56,9 +59,9 @@ def lineage_key(locator: Column) -> Column:
     return F.when(is_placeholder(locator), F.lit(None)).when(F.lower(t).contains(":list:"), F.when(listed, from_list)).otherwise(F.coalesce(from_colon, from_hyphen, from_slug, from_words))
 
 
-def is_coarse(locator: Column) -> Column:
+def is_coarse(locator: Column, bare: Column | None = None) -> Column:
     """Whether the locator names a whole article or section and nothing below it."""
-    t = _plain(locator)
+    t = plain(locator) if bare is None else bare
     return ~is_placeholder(locator) & ~F.replace(locator, F.lit("__"), F.lit("-")).contains(":list:") & t.rlike(r"(?i)^(article|section):\d+[a-z]?$")
 
 
@@ -82,9 +85,10 @@ def key_segment(locator: Column, article: Column, fragment_id: Column, source_id
     return F.when(~is_placeholder(raw), slug(raw)).when(blank_to_null(fragment_id).isNotNull(), slug(fragment_id)).otherwise(slug(source_id))
 
 
-def cluster_key(locator: Column, article: Column) -> Column:
+def cluster_key(locator: Column, article: Column, lineage: Column | None = None, bare: Column | None = None) -> Column:
     """article:N, section:N, ref:text or loc:text: the section of the explorer a proposition is shown in."""
-    lineage = F.coalesce(lineage_key(locator), _plain(locator))
+    bare = plain(locator) if bare is None else bare
+    lineage = F.coalesce(lineage_key(locator, bare) if lineage is None else lineage, bare)
     role, number = (F.lower(F.regexp_extract(lineage, r"(?i)^(article|section)[:\s_-]+(\d+[a-z]?)", i)) for i in (1, 2))
     a_role, a_number = (F.lower(F.regexp_extract(article, r"(?i)^\s*(art(?:icle)?|section)\.?\s*(\d+[a-z]?)", i)) for i in (1, 2))
     named = F.when(a_role.startswith("art"), "article").otherwise(a_role)
