@@ -48,20 +48,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadc
     found = windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `window` rows
     if not found:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("items")).filter("false")
-    known = F.broadcast(windows) if sum(r["n"] for r in found) <= max_broadcast else windows
-    words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), _words(F.col(text_col)).alias("words"))
-    at = words.select("doc_id", "text_hash", "words", F.posexplode("words").alias("start", "word"))
-    if len(found) == 1:
-        at = at.withColumn("at_length", F.lit(found[0]["length"]))
-    else:
-        at = at.withColumn("at_length", F.explode(F.array(*(F.lit(r["length"]) for r in sorted(found)))))
-    at = at.filter(F.col("start") + F.col("at_length") <= F.size("words"))
-    # Few positions begin with the first words of a test window; only those build and hash the whole window.
-    heads = windows.select(_head(F.col("length"), *(F.get("gram", F.lit(i)) for i in range(HEAD))).alias("head")).distinct()
-    heads = F.broadcast(heads) if known is not windows else heads
-    at = at.join(heads, _head(F.col("at_length"), F.col("word"), *(F.get("words", F.col("start") + i) for i in range(1, HEAD))) == F.col("head"), "left_semi")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), _words(F.col(text_col)).alias("words"))
+    lengths = F.array(*(F.lit(r["length"]) for r in sorted(found)))
+    # Positions come last, so that no row with a whole text is copied for each of its words.
+    at = texts.withColumn("at_length", F.explode(lengths)) if len(found) > 1 else texts.withColumn("at_length", F.lit(found[0]["length"]))
+    at = at.select("*", F.posexplode("words").alias("start", "word")).filter(F.col("start") + F.col("at_length") <= F.size("words"))
     gram = F.slice("words", F.col("start") + 1, F.col("at_length"))
-    return at.join(known, (F.xxhash64(gram) == F.col("hash")) & (gram == F.col("gram"))).select("doc_id", "text_hash", "start", "length", "items")
+    if sum(r["n"] for r in found) <= max_broadcast:
+        # Few positions begin with the first words of a test window; only those build and hash the whole window.
+        heads = windows.select(_head(F.col("length"), *(F.get("gram", F.lit(i)) for i in range(HEAD))).alias("head")).distinct()
+        at = at.join(F.broadcast(heads), _head(F.col("at_length"), F.col("word"), *(F.get("words", F.col("start") + i) for i in range(1, HEAD))) == F.col("head"), "left_semi")
+        matched = at.join(F.broadcast(windows), (F.xxhash64(gram) == F.col("hash")) & (gram == F.col("gram")))
+    else:
+        # Too many windows to broadcast: the windows of the texts are shuffled, each with its own words alone.
+        at = at.select("doc_id", "text_hash", "start", gram.alias("at_gram")).withColumn("at_hash", F.xxhash64("at_gram"))
+        matched = at.join(windows, (F.col("at_hash") == F.col("hash")) & (F.col("at_gram") == F.col("gram")))
+    return matched.select("doc_id", "text_hash", "start", "length", "items")
 
 
 def spans(found: DataFrame) -> DataFrame:
