@@ -78,14 +78,14 @@ def _by_step(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
 def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 of the likelihood of each (non-empty) sequence."""
     flat, order, active = _by_step(sequences)
-    move, emit = model.move, np.ascontiguousarray(model.emit.T)
+    move, emit, one = model.move, np.ascontiguousarray(model.emit.T), np.ones((len(model.move), 1))
     total, at, alpha = np.zeros(len(sequences)), 0, model.start[None, :]
     for n in active:
         seen = emit[flat[at : at + n]]
         alpha = (alpha if not at else alpha[:n] @ move) * seen
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        total[:n] += np.log10(scale)
+        scale = alpha @ one
+        alpha = alpha / scale
+        total[:n] += np.log10(scale[:, 0])
         at += n
     out = np.empty(len(sequences))
     out[order] = total
@@ -93,32 +93,34 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 def expected(model: Model, sequences: list[np.ndarray]) -> Model:
-    """Expected counts of starts, moves and emissions over the (non-empty) sequences."""
+    """Expected counts of starts, moves and emissions over the (non-empty) sequences, in single precision."""
     flat, _, active = _by_step(sequences)
-    emit = np.ascontiguousarray(model.emit.T)
-    seen = emit[flat]
+    move, emit = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T, np.float32)
+    back_move, one = np.ascontiguousarray(move.T), np.ones((len(move), 1), np.float32)
     begin = np.concatenate(([0], np.cumsum(active)))
-    alphas, scales = np.empty_like(seen), np.empty(len(flat))
+    seen = emit[flat]  # divided by each step's scale on the way forward
+    weight = np.empty_like(seen)  # the forward values, then times the backward ones
     before = None
     for t, n in enumerate(active):
-        at = slice(begin[t], begin[t] + n)
-        alpha = (model.start[None, :] if before is None else before[:n] @ model.move) * seen[at]
-        scales[at] = alpha.sum(1)
-        alphas[at] = before = alpha / scales[at, None]
+        now, here = weight[begin[t] : begin[t] + n], seen[begin[t] : begin[t] + n]
+        np.multiply(model.start.astype(np.float32)[None, :] if before is None else before[:n] @ move, here, out=now)
+        scale = now @ one  # a product, as sums over so short an axis are slow
+        now /= scale
+        here /= scale
+        before = now
     moves = np.zeros_like(model.move)
-    weight = np.empty_like(alphas)
-    beta = np.ones((0, model.move.shape[0]))
+    beta = np.ones((0, len(move)), np.float32)
     for t in range(len(active) - 1, -1, -1):
         at, n = slice(begin[t], begin[t] + active[t]), active[t]
         if len(beta) < n:  # sequences that end here
-            beta = np.vstack([beta, np.ones((n - len(beta), beta.shape[1]))])
-        weight[at] = alphas[at] * beta
-        back = seen[at] * beta / scales[at, None]
+            beta = np.concatenate([beta, np.ones((n - len(beta), len(move)), np.float32)])
+        weight[at] *= beta
         if t:
-            moves += alphas[begin[t - 1] : begin[t - 1] + n].T @ back
-            beta = back @ model.move.T
-    emitted = np.stack([np.bincount(flat, weights=weight[:, k], minlength=model.emit.shape[1]) for k in range(weight.shape[1])])
-    return Model(weight[: active[0]].sum(0), moves * model.move, emitted)
+            seen[at] *= beta
+            moves += weight[begin[t - 1] : begin[t - 1] + n].T @ seen[at]
+            beta = seen[at] @ back_move
+    emitted = np.stack([np.bincount(flat, weights=weight[:, k], minlength=model.emit.shape[1]) for k in range(len(move))])
+    return Model(weight[: active[0]].sum(0).astype(float), moves * model.move, emitted)
 
 
 def _runs(sequences: Iterator[np.ndarray], tokens: int) -> Iterator[list[np.ndarray]]:
