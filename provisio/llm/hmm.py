@@ -38,10 +38,11 @@ SMOOTH = 0.5
 FREQUENT, LONG = 65_536, 64
 #: Distinct words that a task counts before it hands them on.
 HELD = 200_000
-#: Tokens that a task puts through the recursion at once; training cuts longer texts at this length.
-TOKENS = 400_000
-#: Training cuts texts into pieces of this many tokens; scoring never cuts.
-PIECE = 32_768
+#: Tokens that a task puts through the recursion at once, in training and in scoring.
+TOKENS, SCORED = 800_000, 2_000_000
+#: Training cuts texts into pieces of this many tokens, so that no single long text makes a step of its own for each of
+#: its tokens; scoring never cuts.
+PIECE = 2_048
 
 
 def word_class(word: bytes) -> int:
@@ -260,7 +261,7 @@ def score(docs: DataFrame, held_out, states: int = STATES, steps: int = STEPS, i
         hmm, log_share = shared.value
         for batch in batches:
             seqs = [np.frombuffer(t.as_py(), np.uint16) for t in batch.column(1)]
-            found = [forward(hmm, some) for some in _runs(iter(seqs), TOKENS)]
+            found = [forward(hmm, some) for some in _runs(iter(seqs), SCORED)]
             logs = np.concatenate(found) - np.fromiter((log_share[s].sum() for s in seqs), np.float64, len(seqs)) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(logs)], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "logs"])
 
