@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 def event_counts(events: DataFrame, window: str = "1 day", late: str = "3 days") -> DataFrame:
     """Counts and sums by window and type; events later than the watermark are left out of a stream."""
-    seen = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
+    seen = timed.withWatermark("ts", late) if events.isStreaming else timed
     grouped = seen.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return grouped.select(F.col("w.start").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def run_available(spark: SparkSession, source: DataFrame, folder: str) -> DataFrame:
