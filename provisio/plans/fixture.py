@@ -39,7 +39,7 @@ def _pick(column: str, values: list[str], step: int = 1) -> str:
 
 
 LAW = f"""
-SELECT event_id AS ord, 'prop-' || lpad(CAST(event_id AS STRING), 6, '0') AS id, user_id, ts, event_type, value,
+SELECT event_id AS ord, 'prop-' || lpad(CAST(event_id AS STRING), 9, '0') AS id, user_id, ts, event_type, value,
        'src-' || CAST(user_id % 9 AS STRING) AS source_record_id, 'snap-' || CAST(user_id % 9 AS STRING) || '-v' || CAST(event_id % 3 AS STRING) AS source_snapshot_id,
        CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'frag-' || CAST(event_id % 50 AS STRING) END AS source_fragment_id,
        {_pick("event_id % 7919", LOCATORS)} AS fragment_locator, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'Article ' || CAST(event_id % 23 AS STRING) END AS article_reference,

@@ -124,3 +124,26 @@ def test_stream_gives_the_batch_result_for_closed_windows(spark, sf_dir, tmp_pat
     got = {tuple(r) for r in J.run_available(spark, J.event_counts(stream), str(tmp_path)).collect()}
     want = {tuple(r) for r in J.event_counts(events.filter("event_id % 2 = 0")).collect()}
     assert got and got <= want
+
+
+def test_case_files_runs_and_xml(spark, tmp_path):
+    import json
+
+    from provisio.sources import ingest as I
+    from provisio.sources import runs as N
+
+    case = {"topic": {"name": "T"}, "sources": [{"id": "S 1", "title": "A", "jurisdiction": "EU", "text": "Article 1 must hold.", "fragment_locator": "article:1"}, {"title": "B", "jurisdiction": "UK law", "text": ""}]}
+    (tmp_path / "case.json").write_text(json.dumps(case, indent=1))
+    bundle = I.ingest(I.case_sources(I.read_cases(spark, str(tmp_path / "case.json"))))
+    assert [(r.id, r.current_snapshot_id) for r in bundle["sources"].orderBy("id").collect()] == [("S 1", "snap-s-1-v1"), ("src-uk-law-002", "snap-src-uk-law-002-v1")]
+    assert {r.fragment_type for r in bundle["fragments"].collect()} == {"article", "document"}
+    for run in ("r1", "r2", "r1"):
+        N.write_run(bundle, str(tmp_path / "store"), run)
+    assert [(r.run_id, r.n) for r in N.list_runs(spark, str(tmp_path / "store")).collect()] == [("r2", 2), ("r1", 2)]
+    assert N.read_relation(spark, str(tmp_path / "store"), "fragments", "r1").count() == 2
+    N.export_csv(bundle["reviews"], str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    xml = "<A><P1 id='x'>Section 2 shall <b>apply</b>.</P1><P1 id='x'>again</P1><Contents><P1 id='c'>list</P1></Contents></A>"
+    got = I.legislation_provisions(spark.createDataFrame([(1, xml), (2, "<broken"), (3, None)], "id long, xml string"), "id", "xml").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "xml:x", "Section 2 shall apply.")]
+    assert one(spark, I.locator_of(F.col("s")), s="under Section 9 and article 3a") == "article:3a"
