@@ -112,8 +112,15 @@ def gates(findings: DataFrame, gate_names: DataFrame) -> DataFrame:
 
 #: What enumerated columns may hold.
 CATEGORIES = ["obligation", "institutional", "documentary", "conditional", "oversight", "record_keeping", "reporting"]
-METHODS, CONFIDENCES = ["deterministic", "heuristic", "llm", "fallback", "manual"], ["high", "medium", "low"]
-RELEVANCES, INHERITANCES = ["direct", "indirect", "contextual"], ["explicit", "inherited"]
+METHODS, CONFIDENCES = ["deterministic", "llm", "manual", "fallback"], ["high", "medium", "low"]
+EXTRACTION_METHODS = ["heuristic", "llm", "manual", "imported", "fallback"]
+FRAGMENT_TYPES = ["article", "regulation", "section", "recital", "annex", "schedule", "document", "chunk", "heading", "paragraph", "table", "unknown"]
+LINK_TYPES = ["is_target", "amends", "implements", "supplements", "corrects", "explains", "evidences", "contains_annex_to", "references", "contextual", "unknown"]
+GROUNDED = ["proposition_text", "source_fragment_text", "legal_subject", "affected_subjects", "required_documents", "conditions"]
+LEGAL_ROLES = ["base_act", "amendment", "delegated_act", "implementing_act", "certificate_model", "annex", "corrigendum"]
+SOURCE_ROLES = [*LEGAL_ROLES, "guidance", "explanatory_material", "case_file", "unknown"]
+RELATIONSHIPS = ["analysis_target", "modifies_target", "implements_target", "explains_target", "evidences_target", "contextual_source", "unknown"]
+RELEVANCES, INHERITANCES = ["direct", "indirect", "contextual"], ["explicit", "inherited", "inferred", "none"]
 
 #: The rules over a run's tables; the tables go by the names of the relations.
 RUN_CHECKS = [
@@ -129,7 +136,7 @@ RUN_CHECKS = [
     Check("L13", "error", "traces", "duplicate extraction trace id", duplicated("traces")),
     Check("L14", "error", "traces", "proposition missing extraction trace", orphan("propositions", "id", "traces", "proposition_id")),
     Check("L15", "error", "traces", "extraction trace references missing proposition", orphan("traces", "proposition_id", "propositions", "id")),
-    Check("L16", "error", "traces", "extraction trace invalid extraction_method", outside("traces", "extraction_method", ["heuristic", "llm", "fallback", "manual"])),
+    Check("L16", "error", "traces", "extraction trace invalid extraction_method", outside("traces", "extraction_method", EXTRACTION_METHODS)),
     Check("L17", "error", "traces", "extraction trace fallback without reason", where("traces", "extraction_method = 'fallback' AND coalesce(trim(reason), '') = ''")),
     Check("L18", "warning", "traces", "extraction trace low confidence", where("traces", "confidence = 'low'")),
     Check("L19", "warning", "traces", "low-confidence extraction trace without decision", unreviewed("traces", "confidence = 'low'")),
@@ -148,7 +155,7 @@ RUN_CHECKS = [
     Check("L32", "error", "fragments", "source fragment has no source_snapshot_id", blank("fragments", "source_snapshot_id")),
     Check("L33", "error", "fragments", "source fragment source_snapshot_id not found", orphan("fragments", "source_snapshot_id", "snapshots", "id")),
     Check("L34", "error", "fragments", "source fragment has no text hash", blank("fragments", "text_hash")),
-    Check("L35", "warning", "fragments", "source fragment fragment_type unknown", outside("fragments", "fragment_type", ["document", "chunk", "article", "annex", "section", "recital", "unknown"])),
+    Check("L35", "warning", "fragments", "source fragment fragment_type unknown", outside("fragments", "fragment_type", FRAGMENT_TYPES)),
     Check("L36", "warning", "fragments", "source fragment fragment_type is unknown", where("fragments", "fragment_type = 'unknown'")),
     Check("L37", "warning", "fragments", "source fragment locator missing", blank("fragments", "locator")),
     Check("L38", "warning", "fragments", "duplicate source fragment id exists", duplicated("fragments")),
@@ -164,7 +171,7 @@ RUN_CHECKS = [
     Check("L48", "warning", "categorisation", "low-confidence categorisation without decision", unreviewed("rationales", "confidence = 'low'", id_="source_record_id")),
     Check("L49", "error", "categorisation", "source categorisation fallback missing reason", where("rationales", "method = 'fallback' AND coalesce(trim(reason), '') = ''", "source_record_id")),
     Check("L50", "error", "categorisation", "source categorisation fallback missing evidence", where("rationales", "method = 'fallback' AND coalesce(size(evidence), 0) <= 0", "source_record_id")),
-    Check("L51", "error", "links", "source target link has invalid link_type", outside("links", "link_type", ["is_target", "corrects", "amends", "implements", "supplements", "explains", "contains_annex_to", "references", "contextual", "unknown"], "source_record_id")),
+    Check("L51", "error", "links", "source target link has invalid link_type", outside("links", "link_type", LINK_TYPES, "source_record_id")),
     Check("L52", "error", "links", "source target link has invalid confidence", outside("links", "confidence", CONFIDENCES, "source_record_id")),
     Check("L53", "warning", "links", "source target link unknown", where("links", "link_type = 'unknown'", "source_record_id")),
     Check("L54", "warning", "links", "source target link confidence low", where("links", "confidence = 'low'", "source_record_id")),
@@ -174,15 +181,19 @@ RUN_CHECKS = [
     Check("L58", "warning", "links", "rejected source_target_link still referenced by source_inventory", lambda t: t["links"].join(t["decisions"].filter("decision = 'rejected'").select(F.col("artifact_id").alias("id")), "id", "left_semi").join(t["inventory"].select("source_record_id"), "source_record_id", "left_semi").select("id")),
     Check("L59", "error", "inventory", "source_inventory row missing content_hash", blank("inventory", "content_hash")),
     Check("L60", "error", "inventory", "source_inventory row missing source_record_id", blank("inventory", "source_record_id")),
+    Check("L61", "error", "inventory", "source_inventory invalid source_role", outside("inventory", "source_role", SOURCE_ROLES)),
+    Check("L62", "error", "inventory", "source_inventory invalid relationship_to_analysis", outside("inventory", "relationship_to_analysis", RELATIONSHIPS)),
     Check("L63", "error", "inventory", "source_inventory row missing source_target_link", orphan("inventory", "source_record_id", "links", "source_record_id")),
     Check("L64", "warning", "inventory", "source_inventory row has unknown target link", lambda t: t["inventory"].join(t["links"].filter("link_type = 'unknown'").select("source_record_id"), "source_record_id", "left_semi").select("id")),
     Check("L65", "error", "inventory", "source_inventory row has role/relationship without rationale", orphan("inventory", "source_record_id", "rationales", "source_record_id")),
+    Check("L66", "error", "inventory", "non-target legal source has unknown link without reason/evidence", lambda t: t["inventory"].filter(F.col("source_role").isin(LEGAL_ROLES)).join(t["links"].filter("link_type = 'unknown' AND (coalesce(trim(reason), '') = '' OR coalesce(size(evidence), 0) <= 0)").select("source_record_id"), "source_record_id", "left_semi").select("id")),
     Check("L67", "warning", "inventory", "source_inventory role unknown", where("inventory", "source_role = 'unknown'")),
     Check("L68", "warning", "inventory", "source_inventory relationship unknown", where("inventory", "relationship_to_analysis = 'unknown'")),
     Check("L69", "warning", "inventory", "source_inventory row missing optional source_url", blank("inventory", "source_url")),
     Check("L70", "warning", "inventory", "source_inventory row missing optional version/consolidation date", where("inventory", "coalesce(version_id, '') = '' AND consolidation_date IS NULL")),
     Check("L71", "error", "divergence", "divergence observation missing primary evidence", where("observations", "divergence_type <> 'none' AND coalesce(primary_source_fragment_id, '') = ''")),
     Check("L72", "error", "divergence", "divergence observation missing comparator evidence", where("observations", "divergence_type <> 'none' AND coalesce(comparator_source_fragment_id, '') = ''")),
+    Check("L73", "warning", "traces", "rejected extraction trace still used by a proposition", lambda t: t["traces"].join(t["decisions"].filter("decision = 'rejected'").select(F.col("artifact_id").alias("id")), "id", "left_semi").join(t["decisions"].filter("decision IN ('approved', 'overridden')").select(F.col("artifact_id").alias("proposition_id")), "proposition_id", "left_anti").select("id")),
     Check("L74", "error", "completeness", "suggested statement present but raw text missing", lambda t: t["assessments"].filter("coalesce(suggested, '') <> ''").join(t["propositions"].filter(~is_blank("proposition_text")).select(F.col("id").alias("proposition_id")), "proposition_id", "left_anti").select(F.col("proposition_id").alias("id"))),
     Check("L75", "warning", "completeness", "fragmentary proposition has no decision", unreviewed("assessments", "status = 'fragmentary'", id_="proposition_id")),
     Check("L76", "warning", "completeness", "context_dependent proposition has no suggested statement", where("assessments", "status = 'context_dependent' AND coalesce(trim(suggested), '') = ''", "proposition_id")),
@@ -193,6 +204,8 @@ RUN_CHECKS = [
     Check("L81", "error", "scopes", "proposition_scope_link invalid relevance", outside("scope_links", "relevance", RELEVANCES)),
     Check("L82", "error", "scopes", "proposition_scope_link invalid inheritance", outside("scope_links", "inheritance", INHERITANCES)),
     Check("L83", "error", "scopes", "proposition_scope_link invalid confidence", outside("scope_links", "confidence", CONFIDENCES)),
+    Check("L88", "warning", "scopes", "proposition_scope_link direct applicability without grounded evidence", lambda t: t["scope_links"].filter("method = 'deterministic' AND relevance = 'direct'").filter(~F.coalesce(F.col("evidence_field").isin(GROUNDED), F.lit(False))).select("id") if "evidence_field" in t["scope_links"].columns else t["scope_links"].filter("false").select("id")),
+    Check("L89", "warning", "scopes", "contextual low explicit link without review candidate", lambda t: t["scope_links"].filter("relevance = 'contextual' AND confidence = 'low' AND inheritance = 'explicit'").join(t["scope_candidates"].select("proposition_id", "scope_id"), ["proposition_id", "scope_id"], "left_anti").select("id")),
     Check("L84", "warning", "scopes", "proposition_scope_link targets deprecated scope", lambda t: t["scope_links"].join(t["scopes"].filter("status = 'deprecated'").select(F.col("id").alias("scope_id")), "scope_id", "left_semi").select(F.col("id").cast("string").alias("id"))),
     Check("L85", "warning", "scopes", "proposition_scope_link confidence low", where("scope_links", "confidence = 'low' AND relevance = 'direct'")),
     Check("L86", "error", "scopes", "proposition_scope_link fallback missing reason", where("scope_links", "method = 'fallback' AND coalesce(trim(reason), '') = ''")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import locators as L
 from ..functions import text as T
+from ..operators import extraction as X
 from ..operators import propositions as P
 from .fixture import LAW_SQL, law
 
@@ -264,7 +265,31 @@ SELECT id, {_cases("low", [(w, _q(w)) for w in ("importer", "operator", "keeper"
   CASE upper(trim(jurisdiction)) WHEN 'EUROPEAN UNION' THEN 'EU' WHEN 'GB' THEN 'UK' WHEN '' THEN 'unknown' ELSE upper(trim(jurisdiction)) END AS jurisdiction FROM g
 """
 
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defined terms of all fragments, by priority."""
+    return X.definitions(law(spark, sf_dir), "id", "proposition_text")
+
+
+DEFINITIONS_SQL = f"""WITH {LAW_SQL} SELECT id, 0 AS ord, 'holding' AS term, 2 AS rank FROM law WHERE contains(proposition_text, '''holding'' means')"""
+
+
+def fragment_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which fragments are worth a model call, and why."""
+    rows = law(spark, sf_dir).select("id", F.col("fragment_locator").alias("locator"), L.fragment_type(F.col("fragment_locator")).alias("fragment_type"), F.col("proposition_text").alias("fragment_text"))
+    found = X.select_fragments(rows, required=["section:12", "article:7"], focus=["operator", "register", "competent authority"], include_annexes=True)
+    return found.select("id", "selected", "reason")
+
+
+SELECTION_SQL = f"""
+WITH {LAW_SQL}, r AS (SELECT id, CASE WHEN fragment_locator IN ('section:12', 'article:7|chunk:003') THEN 'required_locator' WHEN fragment_locator = 'annex:II' THEN 'annex_included'
+  WHEN contains(lower(proposition_text), 'competent authority') OR (contains(lower(proposition_text), 'operator') AND contains(lower(proposition_text), 'register')) THEN 'focus_term_match' WHEN length(proposition_text) < 40 THEN 'skipped_too_short'
+  WHEN fragment_locator IN ('article:109:list:1-d-i', 'article:5:para:2', 'article:109/extra') THEN 'skipped_no_focus_match' ELSE 'skipped_non_operative' END AS reason FROM law)
+SELECT id, NOT starts_with(reason, 'skipped') AS selected, reason FROM r
+"""
+
 QUERIES = {
+    "definitions": (definitions, DEFINITIONS_SQL),
+    "fragment_selection": (fragment_selection, SELECTION_SQL),
     "normative_sentences": (normative_sentences, NORMATIVE_SQL),
     "proposition_fields": (proposition_fields, PROPOSITION_FIELDS_SQL),
     "proposition_identity": (proposition_identity, PROPOSITION_IDENTITY_SQL),
