@@ -1,8 +1,9 @@
 """Substring deduplication: hash normalised units, keep the earliest ranked occurrence, cut the others out.
 
-Units are the sentences of every line (or whole lines, or paragraphs); a long unit is cut again where its own words
-say so, so that a passage inside it gives the same units wherever it stands. Digests are grouped over all documents;
-only those that occur again meet the units a second time. Consecutive repeated units form a span, and a span of
+Units are the sentences of every line (or whole lines, or paragraphs); one of more than PIECE words is cut again by
+winnowing: after the word of least hash in each window of PIECE words. No piece is longer, and a passage loses at most
+PIECE words at each edge, wherever it stands. Digests are grouped over all documents; only those that occur again meet
+the units a second time. Consecutive repeated units form a span, and a span of
 enough words is removed. Offsets are code points of the original text.
 """
 
@@ -24,30 +25,44 @@ from .common import spool, table, whole_text
 
 #: Words that a span of repeated units needs to be removed.
 LEAST_WORDS = 20
-#: A unit of more words is cut after every word whose hash is 0 modulo CUT.
-LONG_UNIT, CUT = 24, 8
+#: Words of a piece, at most, and of the windows that choose where units are cut. A repeated passage of n words keeps
+#: n - 2 * PIECE words or more in repeated pieces: 31 of 51.
+PIECE = 10
 #: Where units end.
 ENDS = {"sentence": re.compile(r"(?<=[.!?])[ \t]+|\n+"), "line": re.compile(r"\n+"), "paragraph": re.compile(r"\n\s*\n")}
 _WORD = re.compile(r"\S+")
 
 
+def cuts(hashes: list[int], window: int = PIECE) -> list[int]:
+    """Places of the least hash, the last of equal ones, in each window of so many hashes."""
+    found: list[int] = []
+    least = -1
+    for i in range(window - 1, len(hashes)):
+        if least > i - window:
+            if hashes[i] > hashes[least]:
+                continue
+            least = i
+        else:
+            part = hashes[i : i - window : -1] if i >= window else hashes[i::-1]
+            least = i - part.index(min(part))
+        found.append(least)
+    return found
+
+
 def cut_units(text: str, ends: re.Pattern) -> Iterator[tuple[int, int, list[str]]]:
     """(start, stop, words) of each unit that has words; words are lower-cased."""
     at = 0
     for stop, after in [*((m.start(), m.end()) for m in ends.finditer(text)), (len(text), len(text))]:
         unit = text[at:stop]
         words = unit.lower().split()
-        if len(words) > LONG_UNIT:
-            first, held = None, []
-            for m in _WORD.finditer(unit):
-                word = m.group().lower()
-                first = m.start() if first is None else first
-                held.append(word)
-                if zlib.crc32(word.encode()) % CUT == 0:
-                    yield at + first, at + m.end(), held
-                    first, held = None, []
-            if held:
-                yield at + first, stop, held
+        if len(words) > PIECE:
+            spans = [m.span() for m in _WORD.finditer(unit)]
+            first = 0
+            for last in cuts([zlib.crc32(w.encode()) for w in words]):
+                yield at + spans[first][0], at + spans[last][1], words[first : last + 1]
+                first = last + 1
+            if first < len(words):
+                yield at + spans[first][0], stop, words[first:]
         elif words:
             yield at, stop, words
         at = after
@@ -96,10 +111,15 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", least_words: int = L
     """
     cut = units(docs, unit, id_col, text_col)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("ord").alias("ord"))
-    grouped = cut.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    again = spool(grouped.filter("first <> last").select(F.col("high").alias("h"), F.col("low").alias("l"), F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"), F.col("first.ord").alias("first_ord")), "repeated")
+    spot = F.xxhash64("doc_id", "text_hash", "ord")
+    grouped = cut.groupBy("high", "low").agg(F.min(spot).alias("one"), F.max(spot).alias("other"))
+    digests = spool(grouped.filter("one <> other").select(F.col("high").alias("h"), F.col("low").alias("l")), "digests")
+    same = (F.col("high") == F.col("h")) & (F.col("low") == F.col("l"))
+    cut = spool(cut.join(digests, same, "left_semi"), "repeated")
+    again = cut.groupBy(F.col("high").alias("h"), F.col("low").alias("l")).agg(F.min(place).alias("first"))
+    again = spool(again.select("h", "l", F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"), F.col("first.ord").alias("first_ord")), "firsts")
     own = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")) & (F.col("ord") == F.col("first_ord"))
-    later = cut.join(again, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l"))).filter(~own).select("doc_id", "text_hash", "ord", "start", "stop", "words", "first_id").distinct()
+    later = cut.join(again, same).filter(~own).select("doc_id", "text_hash", "ord", "start", "stop", "words", "first_id").distinct()
     text = W.partitionBy("doc_id", "text_hash").orderBy("ord")
     runs = later.withColumn("run", F.col("ord") - F.row_number().over(text))
     spans = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min_by("first_id", "ord").alias("first_id"))

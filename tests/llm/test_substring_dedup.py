@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -71,3 +72,24 @@ def test_edge_cases(spark):
     assert [r.removed_words for r in got if r.doc_id in (1, 2, 3)] == [0, 0, 0]
     assert X.removals(docs.limit(0)).count() == 0
     assert X.deduplicate(docs).filter(F.col("doc_id") == 1).first().text is None
+
+
+def test_short_passages_at_random_places():
+    """A passage of 51 words, in the middle of sentences, keeps all but PIECE words at each edge in repeated units."""
+    rng = random.Random(51)
+    own = lambda d: [f"own{d}x{k}" + "." * (rng.random() < 0.08) for k in range(80)]
+    for end in (0.0, 0.08):
+        for trial in range(200):
+            told = [f"p{trial}q{k}" + "." * (rng.random() < end) for k in range(51)]
+            docs = []
+            for d in (1, 2):
+                words, at = own(d), rng.randrange(80)
+                docs.append((d, " ".join(words[:at] + told + words[at:])))
+            text = docs[1][1]
+            cut = [w for a, b in brute(docs)[2] for w in text[a:b].split()]
+            assert set(cut) <= set(told) and len(cut) >= 51 - 2 * X.PIECE, (trial, len(cut))
+
+
+def test_no_piece_is_long():
+    text = " ".join(f"w{i % 7}" for i in range(300))
+    assert max(len(w) for _, _, w in X.cut_units(text, X.ENDS["sentence"])) <= X.PIECE
