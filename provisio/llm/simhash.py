@@ -188,10 +188,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, that of the smallest id; its columns unchanged. Ids must be unique."""
-    dropped = near_duplicates(docs, shingle, budget, id_col, text_col).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    dropped = dropped.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    """docs with one row of each component; its columns unchanged.
+
+    That of the smallest id stays, a null id last, then that of the smallest hash of the text; of rows that agree in
+    both, any one.
+    """
+    # A row's key tells rows of one id apart, and null ids in it are equal; the component's id is the key that stays.
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    keyed = docs.withColumn("__key", key)
+    found = near_duplicates(keyed, shingle, budget, "__key", text_col)
+    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__dropped")).distinct()
+    kept = keyed.join(dropped, F.col("__key") == F.col("__dropped"), "left_anti").dropDuplicates(["__key"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

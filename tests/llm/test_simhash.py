@@ -87,3 +87,12 @@ def test_edge_cases(spark):
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101)], "a long, b long")
     assert {r.node: r.root for r in components(edges).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_keep_one_decides_by_row(spark):
+    """Null ids and repeated ids: unique texts stay, and one row of each component stays."""
+    text = lambda n: " ".join(f"w{n}x{k}" for k in range(40))
+    rows = [(1, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (2, text(4)), (3, text(4)), (3, text(5)), (3, text(6)), (4, text(7)), (4, text(7)), (4, text(8)), (None, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, text(1)), (None, text(2)), (None, text(3)), (2, text(4)), (3, text(5)), (3, text(6)), (4, text(7)), (4, text(8)), (None, None)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
