@@ -237,7 +237,7 @@ def score(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAM
     model = character_model(docs, text_col)
     classifier = fit(docs, labels, model, allowed, sample, id_col, text_col, label_col)
     near, weights = model.tolist(), classifier.weights
-    starts = {w[:k] for w in weights for k in range(1, len(w))}
+    starts = {w[:k] for w in weights for k in range(1, len(w) + 1)}
     listed = re.compile("|".join(sorted(map(re.escape, weights), key=len, reverse=True))) if weights else None
 
     class Known(dict):

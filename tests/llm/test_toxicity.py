@@ -77,3 +77,14 @@ def test_edge_cases(spark):
     assert X.keep_clean(docs, odd).count() == 200
     restored = {r.doc_id: r.text for r in X.restore_texts(spark.createDataFrame([(901, "an 1d10t here"), (902, None)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))).collect()}
     assert restored[901] == "an idiot here" and restored[902] is None
+
+
+def test_two_letter_words_are_caught(spark):
+    """A listed word of two letters after squeezing counts, in plain, repeated and other forms."""
+    clean = [(i, f"You read it at a meeting number{i} with all of the members.", 0) for i in range(200)]
+    bad = [(1_000 + i, f"You are an ass number{i} with all of the members.", 1) for i in range(60)]
+    rows = spark.createDataFrame(clean + bad, "doc_id long, text string, toxic int")
+    new = [(5_000, "such an ass there"), (5_001, "such an aasss there"), (5_002, "such an AS there"), (5_003, "such a meeting there")]
+    docs = rows.select("doc_id", "text").unionByName(spark.createDataFrame(new, "doc_id long, text string"))
+    scored = {r.doc_id: r["__toxic"] >= 0.5 for r in X.score(docs, rows.select("doc_id", "toxic"), F.lit(True)).collect()}
+    assert [scored[d] for d, _ in new] == [True, True, True, False] and all(scored[d] for d, _, _ in bad)
