@@ -27,8 +27,6 @@ SAMPLE = 8_192
 LEXICON, LEAST_Z, LEAST_ODDS, LEAST_TOXIC = 512, 3.2, 3.0, 4
 #: Evidence counts up to these log-odds, so one clear word says as much as ten.
 ENOUGH = 4.0
-#: Tokens with more letters than this, runs squeezed, are no obfuscated words.
-LONGEST = 48
 #: Distinct tokens whose reading a task keeps at hand.
 HELD = 300_000
 
@@ -75,11 +73,11 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def decode(token: str, model: list[list[float]]) -> str:
     """The likeliest word behind a lower-case token: Viterbi over (last letter read), letter by letter."""
-    paths: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # words as (word before, letter): no copies
     for ch in token:
-        step: dict[int, tuple[float, str]] = {}
+        step: dict[int, tuple[float, tuple | None]] = {}
 
-        def reach(state: int, cost: float, word: str) -> None:
+        def reach(state: int, cost: float, word: tuple | None) -> None:
             if state not in step or cost > step[state][0]:
                 step[state] = (cost, word)
 
@@ -89,13 +87,23 @@ def decode(token: str, model: list[list[float]]) -> str:
             read += [(k + 1, HIDDEN, x) for k, x in enumerate(LETTERS)]
         for last, (cost, word) in paths.items():
             for state, channel, letter in read:
-                reach(state, cost + channel + model[last][state], word + letter)
-                if state == last and word.endswith(letter):
+                reach(state, cost + channel + model[last][state], (word, letter))
+                if state == last and word is not None and word[1] == letter:
                     reach(state, cost + min(channel, AGAIN), word)
             if not read or ch in BETWEEN or ch in HIDES:
                 reach(last, cost + GAP, word)
         paths = step
-    return max(((cost + model[last][0], word) for last, (cost, word) in paths.items()), default=(0.0, ""))[1]
+    ends = [(cost + model[last][0], word) for last, (cost, word) in paths.items()]
+    best = max((cost for cost, _ in ends), default=0.0)
+    return max((_said(word) for cost, word in ends if cost == best), default="")
+
+
+def _said(word: tuple | None) -> str:
+    letters = []
+    while word is not None:
+        word, letter = word
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def restore(token: str, model: list[list[float]]) -> str:
@@ -104,8 +112,7 @@ def restore(token: str, model: list[list[float]]) -> str:
     core = re.sub(r"^[$@]{2,}|[$@]{2,}$", "", core) if core[-1:] in "$@" or core[:1] in "$@" else core
     if not _ODD.search(core) or not any("a" <= c <= "z" for c in core):
         return core
-    short = _LONG_RUN.sub(r"\1\1", core)
-    return decode(short, model) if len(short) <= LONGEST else core
+    return decode(_LONG_RUN.sub(r"\1\1", core), model)
 
 
 def squeeze(word: str) -> str:
@@ -119,6 +126,17 @@ def restored(token: str, model: list[list[float]]) -> str:
     return squeeze(core if core.isalpha() else restore(token, model))
 
 
+def signs_read(token: str, model: list[list[float]]) -> str:
+    """The squeezed word that a token of signs alone, without a letter, stands for; empty for other tokens.
+
+    Most such tokens are numbers, so the reading says something only if it is a word that is looked for.
+    """
+    core = token.strip(_EDGES)
+    if any("a" <= c <= "z" for c in core) or not any(c in READINGS for c in core):
+        return ""
+    return squeeze(decode(_LONG_RUN.sub(r"\1\1", core), model))
+
+
 def _spaced(tokens: list[str]) -> Iterator[tuple[int, int]]:
     """Runs of three or more one-character tokens: letters that were spaced out."""
     i = 0
@@ -240,6 +258,9 @@ def score(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAM
     starts = {w[:k] for w in weights for k in range(1, len(w) + 1)}
     listed = re.compile("|".join(sorted(map(re.escape, weights), key=len, reverse=True))) if weights else None
 
+    def meant(text: str) -> str:
+        return signs_read(text, near) or restored(text, near)
+
     class Known(dict):
         """Token -> 0 plain, 2 one character, 3 the start of a listed word, or the listed word itself."""
 
@@ -251,7 +272,7 @@ def score(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAM
                 if len(self) < HELD:
                     self[token] = 0
                 return 0
-            word = restored(text, near)
+            word = meant(text)
             code = word if word in weights else 2 if len(text) == 1 else 3 if word in starts else 0
             if len(self) < HELD:
                 self[token] = code
@@ -266,11 +287,14 @@ def score(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAM
         if 2 in found:
             one = [t.decode() if c == 2 else "xx" for t, c in zip(tokens, codes, strict=True)]
             for i, j in _spaced(one):
-                words.update(listed.findall(squeeze(restore("".join(one[i:j]), near))))
+                run = "".join(one[i:j])
+                words.update(listed.findall(squeeze(restore(run, near))))
+                if (word := signs_read(run, near)) in weights:
+                    words.add(word)
         if 3 in found or 2 in found:  # a listed word cut in two
             for i, c in enumerate(codes[:-1]):
                 if (c == 3 or c == 2) and codes[i + 1] in (0, 2, 3):
-                    joined = restored((tokens[i] + tokens[i + 1]).decode(), near)
+                    joined = meant((tokens[i] + tokens[i + 1]).decode())
                     if joined in weights:
                         words.add(joined)
         return sum(weights[w] for w in sorted(words))

@@ -88,3 +88,21 @@ def test_two_letter_words_are_caught(spark):
     docs = rows.select("doc_id", "text").unionByName(spark.createDataFrame(new, "doc_id long, text string"))
     scored = {r.doc_id: r["__toxic"] >= 0.5 for r in X.score(docs, rows.select("doc_id", "toxic"), F.lit(True)).collect()}
     assert [scored[d] for d, _ in new] == [True, True, True, False] and all(scored[d] for d, _, _ in bad)
+
+
+def test_long_runs_and_words_of_signs_are_caught(spark):
+    """A whole sentence spaced out, and listed words without a letter of their own; numbers are no words."""
+    clean = [(i, f"You are at a loose toll of oil and a meeting was kept by all {i} of the members.", 0) for i in range(200)]
+    bad = [(1_000 + i, f"You are a {('loss', 'toll')[i % 2]} and {('meeting', 'idiot')[i % 2]} was kept by all {i} of the members.", 1) for i in range(60)]
+    rows = spark.createDataFrame(clean + bad, "doc_id long, text string, toxic int")
+    spaced = " ".join("youareanidiotandallofthemembersareatameeting").replace("i d i o t", "1 d 1 0 t")
+    assert len(spaced.split()) < 48
+    long = " ".join("allofthemembersofthemeetingwerekeptatameetingandyouarean") + " 1 d 1 0 t"
+    new = [(5_000, long), (5_001, spaced), (5_002, "he is a 1055 now"), (5_003, "he is a 1 0 5 5 now"), (5_004, "on 3.14 of 1,000 or 2024"), (5_005, "7" * 100_000)]
+    docs = rows.select("doc_id", "text").unionByName(spark.createDataFrame(new, "doc_id long, text string"))
+    scored = {r.doc_id: r["__toxic"] >= 0.5 for r in X.score(docs, rows.select("doc_id", "toxic"), F.lit(True)).collect()}
+    assert [scored[d] for d, _ in new] == [True, True, True, True, False, False]
+
+
+def test_decode_is_linear(model):
+    assert len(X.decode("ab1" * 100_000, model)) >= 200_000
