@@ -77,7 +77,7 @@ def _levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def link_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """One row for each call, each result without a call, and each other message.
+    """One row for each call, each result without a call, and each other message; a message with calls has one for its text.
 
     messages: conv_id, turn, role, text, calls (array of id, name, arguments as JSON text), result_of (id or null).
     Returns conv_id, turn, place, role, id, result_turn, level, status, fault, json. A conversation's calls in the order
@@ -117,7 +117,8 @@ def link_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     unused = F.when(F.col("at").isNull(), "orphan_result").when(F.struct("turn", "text") != F.col("result"), "repeated_result")
     null = lambda kind: F.lit(None).cast(kind)
     answers = answers.withColumn("status", unused).filter("status IS NOT NULL")
-    plain = rows.filter((F.coalesce(F.size("calls"), F.lit(0)) <= 0) & F.coalesce(F.col("result_of") == "", F.lit(True))).withColumns({"id": null("string"), "status": F.lit("message")})
+    said = (F.coalesce(F.size("calls"), F.lit(0)) <= 0) | F.coalesce(F.col("text") != "", F.lit(False))
+    plain = rows.filter(said & F.coalesce(F.col("result_of") == "", F.lit(True))).withColumns({"id": null("string"), "status": F.lit("message")})
     other = answers.select("conv_id", "turn", "role", "text", "id", "status").unionByName(plain.select("conv_id", "turn", "role", "text", "id", "status"))
     other = other.select("conv_id", "turn", null("int").alias("place"), "role", "id", null("string").alias("name"), null("string").alias("arguments"), null(rows.schema["turn"].dataType).alias("result_turn"), "text", null("int").alias("level"), "status", null("string").alias("lost"), F.lit("message").alias("kind"))
 
@@ -146,7 +147,7 @@ def link_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
 def as_calls(conversations: DataFrame) -> DataFrame:
     """Chats without calls as messages for link_calls(): a user turn calls `reply`, the assistant turn after it is the result.
 
-    The call's arguments hold the text and the turn, and refer to the call two turns before where that is a user's too.
+    The call's arguments hold the text, which is not said a second time, and the turn, and refer to the call two turns before where that is a user's too.
     """
     key = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
     turn = F.col("turn")
@@ -155,7 +156,8 @@ def as_calls(conversations: DataFrame) -> DataFrame:
     user = F.col("role") == "user"
     after = F.when(F.col("earlier"), F.struct(key(turn - 2).alias("$ref")))
     call = F.struct(key(turn).alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), turn.alias("turn"), after.alias("after"))).alias("arguments"))
-    return rows.select("conv_id", "turn", "role", "text", F.when(user, F.array(call)).otherwise(F.array().cast(CALL)).alias("calls"), F.when(F.col("role") == "assistant", key(turn - 1)).alias("result_of"))
+    said = F.when(user, F.lit(None)).otherwise(F.col("text")).alias("text")
+    return rows.select("conv_id", "turn", "role", said, F.when(user, F.array(call)).otherwise(F.array().cast(CALL)).alias("calls"), F.when(F.col("role") == "assistant", key(turn - 1)).alias("result_of"))
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

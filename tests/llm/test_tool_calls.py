@@ -73,3 +73,10 @@ def test_whole_table(spark, sf_dir):
 def test_edge_cases(spark):
     assert _run(spark, MESSAGES[:0] or [(9, 0, "user", "x" * 1_000_000, None, None, 0)])[0].status == "message"
     assert X.link_calls(spark.createDataFrame(MESSAGES, SCHEMA).limit(0)).count() == 0
+
+
+def test_text_beside_calls_stays(spark):
+    rows = [(1, 0, "assistant", "let me see", [call("a"), call("b")], None, 0), (1, 1, "assistant", "", [call("c")], None, 0)]
+    got = _run(spark, rows)
+    assert [r.json for r in got if r.status == "message"] == ['{"content":"let me see","role":"assistant"}']
+    assert sorted(r.id for r in got if r.status != "message") == ["a", "b", "c"]
