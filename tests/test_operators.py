@@ -147,3 +147,17 @@ def test_case_files_runs_and_xml(spark, tmp_path):
     got = I.legislation_provisions(spark.createDataFrame([(1, xml), (2, "<broken"), (3, None)], "id long, xml string"), "id", "xml").collect()
     assert [tuple(r) for r in got] == [(1, 0, "xml:x", "Section 2 shall apply.")]
     assert one(spark, I.locator_of(F.col("s")), s="under Section 9 and article 3a") == "article:3a"
+
+
+def test_top_k_of_ragged_vectors(spark):
+    """Each pair is cut to its own shorter vector; an empty or short one changes no other pair."""
+    vectors = {1: [1.0, 2.0, 3.0, 4.0], 2: [4.0, -1.0, 3.0, 4.0], 3: [1.0], 4: [], 5: [3.0, 2.0, -3.0]}
+    df = spark.createDataFrame(list(vectors.items()), "id long, vector array<double>")
+
+    def cosine(a, b):
+        n = min(len(a), len(b))
+        norm = (sum(x * x for x in a[:n]) * sum(x * x for x in b[:n])) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=False)) / norm, 6) if norm else 0.0
+
+    got = {(r.query_id, r.item_id): r.score for r in M.top_k(df, df, 5, -1.0).collect()}
+    assert got == {(i, j): cosine(a, b) for i, a in vectors.items() for j, b in vectors.items()}
