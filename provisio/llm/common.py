@@ -40,6 +40,19 @@ def in_fold(doc_id: Column, fold: int, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df bears it, so that what an operator adds clashes with nothing."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def only(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with these columns alone; their names may hold dots."""
+    return df.select(*(F.col(f"`{c}`") for c in columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir that driver and executors share.
 

@@ -1,8 +1,8 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table that is bucketed and sorted by digest. A batch is reduced to digests, grouped,
-and merged with the index: digests that the index lacks (a sort-merge anti-join whose index side is neither shuffled
-nor sorted again) are appended, and each row of the batch learns which row stands for its text.
+The index is a table that is bucketed and sorted by digest. Documents are reduced to narrow rows with a digest. Batch after
+batch, the best row of each digest is held against the index by a sort-merge anti-join whose index side is neither
+shuffled nor sorted again; what passes is appended. Which row stands for a text is then read from the index.
 """
 
 from __future__ import annotations
@@ -12,7 +12,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, spool, table, whole_text
+from .common import SPACES, only, spool, table, unused, whole_text
+
+#: Texts of so many code points or more make the first batch of the query, shorter ones the second. Any number gives
+#: the same result, as the longest text of a group stays and equal lengths share a batch.
+FIRST_BATCH_POINTS = 1_500
 
 
 def digest(text: Column) -> Column:
@@ -36,67 +40,102 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, name: str, buckets: int = 16):
         self.spark, self.name, self.buckets = spark, name, buckets
 
-    def _read(self) -> DataFrame | None:
+    def rows(self) -> DataFrame | None:
+        """text_sha256, keep_id, keep_points, batch of all that the index holds; None before the first batch."""
         return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
 
     def _write(self, rows: DataFrame, name: str, mode: str) -> None:
         (rows.repartition(self.buckets, "text_sha256").write.mode(mode).format("parquet")
          .bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(name))
 
+    def missing(self, rows: DataFrame) -> DataFrame:
+        """The rows whose digest the index lacks."""
+        index = self.rows()
+        return rows if index is None else rows.join(index.select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+
+    def append(self, rows: DataFrame) -> str:
+        """Hold the digests of these rows (as of digests()) against the index, append the new ones, return the batch's name.
+
+        Of equal digests the row with the most code points, then the smallest doc_id (a null id last) goes in.
+        """
+        place = F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
+        best = rows.groupBy("text_sha256").agg(F.min(place).alias("best"))
+        batch = uuid.uuid4().hex
+        new = self.missing(best).select("text_sha256", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_points"), F.lit(batch).alias("batch"))
+        # The table that the anti-join reads is the one appended to, so the new rows are written before.
+        self._write(spool(new, "new_digests"), self.name, "append")
+        return batch
+
+    def decide(self, rows: DataFrame, batches: list[str]) -> DataFrame:
+        """A decision for each of these rows (as of digests()), all of whose digests the index holds.
+
+        A row is kept if it is the one that the index names for its digest and one of these batches has put it there.
+        """
+        # Rows that agree in everything become one with a count, so a repeated row can't be kept twice.
+        counted = spool(rows.groupBy("text_sha256", "doc_id", "n_points").agg(F.count(F.lit(1)).alias("copies")), "counted")
+        sizes = counted.groupBy("text_sha256").agg(F.sum("copies").alias("group_size"))
+        groups = spool(self.rows().join(sizes, "text_sha256"), "groups")
+        # Both sides are plain shuffles, so Spark can split the partition of a text with very many copies.
+        chosen = F.col("batch").isin(batches) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
+        joined = counted.join(groups, "text_sha256")
+        copies = joined.select("doc_id", "keep_id", "group_size", chosen.alias("chosen"), "text_sha256", "n_points", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+        return spool(copies.select("doc_id", "keep_id", "group_size", (F.col("chosen") & (F.col("copy") == 1)).alias("kept"), "text_sha256", "n_points"), "decisions")
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Append what is new in docs; return a decision for each of its rows.
 
         Returns doc_id, keep_id, group_size, kept, text_sha256, n_points. Of equal texts in one batch the row with
         the most code points, then the smallest doc_id (a null id last) stays; a text that the index already holds
         keeps its earlier row. group_size counts the rows of this batch. Null texts are empty texts, and all empty
-        texts are equal. Of rows that agree in id, length and digest one is kept. An empty batch gives no rows.
+        texts are equal. Of rows that agree in id, length and digest one is kept. An empty batch gives no rows. Ids
+        may have any type that can be ordered, the same in all batches.
         """
-        # Rows that agree in everything become one with a count, so a repeated row can't be kept twice.
         rows = spool(digests(docs, id_col, text_col), "digests")
-        counted = rows.groupBy("text_sha256", "doc_id", "n_points").agg(F.count(F.lit(1)).alias("copies"))
-        best = F.max(F.struct(F.col("n_points"), (-F.col("doc_id")).alias("minus_id")))
-        groups = (rows.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-                  .select("text_sha256", "group_size", F.col("best.n_points").alias("keep_points"), (-F.col("best.minus_id")).alias("keep_id")))
-        batch = uuid.uuid4().hex
-        if (index := self._read()) is not None:
-            earlier = index.select("text_sha256", F.col("keep_id").alias("old_id"), F.lit(True).alias("known"))
-            groups = groups.join(earlier.hint("merge"), "text_sha256", "left")
-            groups = groups.withColumn("keep_id", F.when(F.col("known"), F.col("old_id")).otherwise(F.col("keep_id"))).withColumn("fresh", F.col("known").isNull()).drop("known", "old_id")
-        else:
-            groups = groups.withColumn("fresh", F.lit(True))
-        groups = spool(groups, "groups")
-        fresh = groups.filter("fresh").select("text_sha256", "keep_id", "keep_points", F.lit(batch).alias("batch"))
-        if index is not None:
-            fresh = fresh.join(index.select("text_sha256").hint("merge"), "text_sha256", "left_anti")
-        self._write(fresh, self.name, "append")
-        # Both sides are plain shuffles, so Spark can split the partition of a text with very many copies.
-        chosen = F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
-        joined = spool(counted, "counted").join(groups, "text_sha256")
-        return joined.select("doc_id", "keep_id", "group_size", chosen.alias("chosen"), "text_sha256", "n_points", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(
-            "doc_id", "keep_id", "group_size", (F.col("chosen") & (F.col("copy") == 1)).alias("kept"), "text_sha256", "n_points"
-        )
+        return self.decide(rows, [self.append(rows)])
 
     def compact(self) -> "DigestIndex":
         """Rewrite the index with one sorted file a bucket, under a new name; return that index."""
         target = DigestIndex(self.spark, f"{self.name}_{uuid.uuid4().hex[:8]}", self.buckets)
-        self._write(self._read(), target.name, "errorifexists")
+        self._write(self.rows(), target.name, "errorifexists")
         return target
 
+    def drop(self) -> None:
+        """Remove the index; decisions that were handed out before stay readable."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def longest_first(index: DigestIndex, docs: DataFrame, first_points: int = FIRST_BATCH_POINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Decisions as of DigestIndex.add() for docs in two batches: long texts, then the short ones against the index of them.
+
+    Of equal texts the one with the most code points stays, and it is in the earliest batch that has any of them.
+    """
+    rows = spool(digests(docs, id_col, text_col), "digests")
+    long = F.col("n_points") >= first_points
+    batches = [index.append(rows.filter(long)), index.append(rows.filter(~long))]
+    return index.decide(rows, batches)
+
 
 def keep_distinct(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text the index or a better row of docs already holds; its columns unchanged."""
-    kept = index.add(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n_points").alias("__points"))
+    """docs without the rows whose text the index or a better row of docs already holds; its columns unchanged.
+
+    Null texts are empty texts; of rows that agree in id, length and digest one stays, also where ids are null.
+    """
+    id_, sha, points, own_sha, own_points = (unused(docs, f"__{c}") for c in ("id", "sha", "points", "own_sha", "own_points"))
+    kept = longest_first(index, docs, id_col=id_col, text_col=text_col).filter("kept")
+    kept = kept.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), F.col("n_points").alias(points))
     text = F.col(text_col)
-    keyed = docs.withColumns({"__doc_sha": digest(text), "__doc_points": F.length(whole_text(text)).cast("long")})
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__doc_sha") == F.col("__sha")) & (F.col("__doc_points") == F.col("__points"))
+    keyed = docs.withColumns({own_sha: digest(text), own_points: F.length(whole_text(text)).cast("long")})
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(own_sha) == F.col(sha)) & (F.col(own_points) == F.col(points))
     # The join has left the rows dealt and sorted by this key, so dropping repeated rows needs no second shuffle.
-    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "__doc_sha", "__doc_points"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return only(keyed.join(kept, same, "left_semi").dropDuplicates([id_col, own_sha, own_points]), docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact deduplication of all documents against a new, empty index."""
+    """Exact deduplication of all documents by an index that takes the long texts first and the short ones after them."""
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return index.add(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = longest_first(index, table(spark, sf_dir, "documents"))
+    index.drop()
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP10_SQL = r"""

@@ -69,3 +69,31 @@ def test_keep_distinct_leaves_columns_alone(spark):
     kept = X.keep_distinct(docs, _index(spark))
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.kept) for r in kept.collect()) == [(2, 2), (4, 4), (5, 5), (6, 7)]
+
+
+def test_two_batches_against_the_index(spark):
+    """Long texts first: any border gives the result of one batch, and the second batch is held against the index."""
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    for border in (1, 3, 100, 10**9):
+        assert _rows(X.longest_first(_index(spark), docs, border)) == brute([r[:2] for r in ROWS])
+    index = _index(spark)
+    index.append(X.digests(docs))
+    later = X.digests(spark.createDataFrame([(40, "a b"), (41, "fresh")], "doc_id long, text string"))
+    missing = index.missing(later)
+    plan = missing._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+    assert [r.doc_id for r in missing.collect()] == [41]
+
+
+def test_ids_of_any_type_and_dropped_index(spark):
+    index = _index(spark)
+    found = index.add(spark.createDataFrame([("x", "a b"), ("w", "ab "), (None, "ab "), ("v", "c")], "doc_id string, text string"))
+    index.drop()
+    assert index.rows() is None
+    assert sorted((r.doc_id or "", r.keep_id, r.kept) for r in found.collect()) == [("", "w", False), ("v", "v", True), ("w", "w", True), ("x", "w", False)]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", 7, 8), (2, "a", 7, 8), (3, "b", 7, 8)], "doc_id long, text string, __id int, __own_sha int")
+    kept = X.keep_distinct(docs, _index(spark))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
