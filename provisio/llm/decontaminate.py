@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, spool, table, whole_text
+from .common import ascii_lower, only, spool, table, unused, whole_text
 
 WINDOW = 10
 #: The set of test windows is broadcast up to this many rows (about 200 bytes each); a larger set is joined by shuffle.
@@ -44,7 +44,7 @@ def test_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each occurrence of a test window in a text: doc_id, text_hash, start (word, from 0), length, items."""
-    windows = test_windows(benchmark, window)
+    windows = spool(test_windows(benchmark, window), "windows")
     found = windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most `window` rows
     if not found:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("items")).filter("false")
@@ -58,12 +58,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadc
         # Few positions begin with the first words of a test window; only those build and hash the whole window.
         heads = windows.select(_head(F.col("length"), *(F.get("gram", F.lit(i)) for i in range(HEAD))).alias("head")).distinct()
         at = at.join(F.broadcast(heads), _head(F.col("at_length"), F.col("word"), *(F.get("words", F.col("start") + i) for i in range(1, HEAD))) == F.col("head"), "left_semi")
-        matched = at.join(F.broadcast(windows), (F.xxhash64(gram) == F.col("hash")) & (gram == F.col("gram")))
+        matched = at.join(F.broadcast(windows.drop("items")), (F.xxhash64(gram) == F.col("hash")) & (gram == F.col("gram")))
     else:
         # Too many windows to broadcast: the windows of the texts are shuffled, each with its own words alone.
         at = at.select("doc_id", "text_hash", "start", gram.alias("at_gram")).withColumn("at_hash", F.xxhash64("at_gram"))
-        matched = at.join(windows, (F.col("at_hash") == F.col("hash")) & (F.col("at_gram") == F.col("gram")))
-    return matched.select("doc_id", "text_hash", "start", "length", "items")
+        matched = at.join(windows.drop("items"), (F.col("at_hash") == F.col("hash")) & (F.col("at_gram") == F.col("gram")))
+    # The list of a window's items has no bound, so it is not broadcast with the window but joined to the hits.
+    matched = matched.select("doc_id", "text_hash", "start", "length", F.col("hash").alias("hit_hash"), F.col("gram").alias("hit_gram"))
+    listed = windows.select("hash", "gram", "items")
+    return matched.join(listed, (F.col("hit_hash") == F.col("hash")) & (F.col("hit_gram") == F.col("gram"))).select("doc_id", "text_hash", "start", "length", "items")
 
 
 def spans(found: DataFrame) -> DataFrame:
@@ -98,9 +101,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold a test window; its columns unchanged."""
-    found = hits(docs, benchmark, window, max_broadcast, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash")), "left_anti")
+    """docs without the rows that hold a test window; its columns unchanged.
+
+    Rows without words stay; repeated rows go or stay together; a null id is told apart from others by its text.
+    """
+    id_, hash_ = unused(docs, "__id"), unused(docs, "__hash")
+    found = hits(docs, benchmark, window, max_broadcast, id_col, text_col).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(hash_)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,12 +115,13 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
 
     Rows without hits keep their text as it is.
     """
+    id_, hash_, cut = unused(docs, "__id"), unused(docs, "__hash"), unused(docs, "__cuts")
     runs = spans(hits(docs, benchmark, window, max_broadcast, id_col, text_col))
-    cuts = runs.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("start", "stop")).alias("__cuts"))
-    kept = F.filter(_words(F.col(text_col)), lambda w, i: ~F.exists("__cuts", lambda c: (i >= c["start"]) & (i < c["stop"])))
-    text = F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(F.array_join(kept, " "))
-    joined = docs.join(cuts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash")), "left")
-    return joined.withColumn(text_col, text).select(*(F.col(f"`{c}`") for c in docs.columns))
+    cuts = runs.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.collect_list(F.struct("start", "stop")).alias(cut))
+    kept = F.filter(_words(F.col(text_col)), lambda w, i: ~F.exists(cut, lambda c: (i >= c["start"]) & (i < c["stop"])))
+    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.array_join(kept, " "))
+    joined = docs.join(cuts, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(hash_)), "left")
+    return only(joined.withColumn(text_col, text), docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,13 +28,13 @@ def _number(hashed: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row for each source: its documents, size, weight and target in words.
+    """One row for each source (of source, size, copies): its documents, size, weight and target in words.
 
     Weights are 1, 2, 3, repeating, over the sources by code point, null last. Targets share the whole size by weight;
     none exceeds max_repeats times its source, and the excess goes to the others by weight (a water level that all
     uncapped sources share for each unit of weight).
     """
-    sources = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
+    sources = sizes.groupBy("source").agg(F.sum("copies").alias("n_docs"), F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
     sources = sources.withColumn("place", place).withColumn("weight", ((F.col("place") - 1) % 3 + 1).cast("long"))
     by_cap = W.orderBy(F.col("cap") / F.col("weight"), "place")
@@ -75,26 +75,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """How many words of each document the mix takes, repeats counted.
 
     Returns doc_id, source, size, source_size, target, shard, taken: one row for each row of docs. A source's taken
-    words differ from its target by about one block at most, no document gives more than max_repeats times its
-    size, and the same documents always give the same result. Null or blank texts have size 0 and give nothing; the
-    null source is a source. Repeated rows count as rows of their own. An empty table gives no rows.
+    words differ from its target by about one block at most (where the target is max_repeats times the source, by up to a block
+    a shard), no document gives more than max_repeats times its size, and the same documents always give the same result. Null or blank texts have size 0 and give nothing; the
+    null source is a source. Rows that agree in id, source and size, null ids too, are laid side by side as one row with a
+    count, so no id is too common; each gets its row. An empty table gives no rows.
     Shards grow as the square root of a source's documents, so neither a shard nor the list of shards is ever large.
     """
-    sizes = spool(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_space_words(F.col(text_col)).alias("size")), "sizes")
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_space_words(F.col(text_col)).alias("size"))
+    sizes = spool(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")), "sizes")
     sources = source_targets(sizes, max_repeats)
     sources = sources.withColumn("blocks", F.floor(F.sum("target").over(W.partitionBy(F.lit(0))) / block_tokens + 0.5))
     sources = spool(sainte_lague(sources, [], "target", "blocks", "place").withColumn("n_shards", F.ceil(F.sqrt("n_docs")).cast("long")), "sources")
     dealt = sizes.withColumn("key", _hash(seed, F.col("doc_id")))
-    dealt = dealt.join(sources, dealt["source"].eqNullSafe(sources["source"])).select("doc_id", "key", "size", "place", sources["source"], "source_size", "target", "quota", (_number(F.col("key")) % F.col("n_shards")).alias("shard"))
+    dealt = dealt.join(sources, dealt["source"].eqNullSafe(sources["source"])).select("doc_id", "key", "size", "copies", "place", sources["source"], "source_size", "target", "quota", (_number(F.col("key")) % F.col("n_shards")).alias("shard"))
     dealt = dealt.withColumn("shard", F.coalesce("shard", F.lit(0)))
-    shards = dealt.groupBy("place", "shard").agg(F.sum("size").alias("tokens"), F.first("quota").alias("blocks"))
+    shards = dealt.groupBy("place", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("tokens"), F.first("quota").alias("blocks"))
     shards = sainte_lague(shards, ["place"], "tokens", "blocks", "shard")
     shards = spool(shards.select("place", "shard", "tokens", F.least(F.col("quota") * block_tokens, F.col("tokens") * max_repeats).alias("want")), "shards")
     first_block = _number(_hash(seed, F.col("place"), F.col("shard"))) % F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens))
     shards = shards.withColumns({"laps": F.when(F.col("tokens") > 0, F.floor(F.col("want") / F.col("tokens"))).otherwise(0).cast("long"), "start": (first_block * block_tokens).cast("long")})
     shards = shards.withColumn("stop", F.col("start") + F.col("want") - F.col("laps") * F.col("tokens"))
     line = W.partitionBy("place", "shard").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    laid = dealt.withColumn("right", F.sum("size").over(line)).withColumn("left", F.col("right") - F.col("size")).join(shards, ["place", "shard"])
+    laid = dealt.withColumn("end", F.sum(F.col("size") * F.col("copies")).over(line)).join(shards, ["place", "shard"])
+    laid = laid.withColumn("behind", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumn("right", F.col("end") - F.col("behind") * F.col("size")).withColumn("left", F.col("right") - F.col("size"))
     shared = lambda a, b: F.greatest(F.lit(0), F.least(F.col("right"), b) - F.greatest(F.col("left"), a))
     taken = F.col("size") * F.col("laps") + shared(F.col("start"), F.col("stop")) + shared(F.lit(0), F.col("stop") - F.col("tokens"))
     return laid.select("doc_id", "source", "size", "source_size", "target", "shard", taken.cast("long").alias("taken"))

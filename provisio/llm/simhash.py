@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spool, table, whole_text
+from .common import only, spool, table, unused, whole_text
 from .components import components
 
 SHINGLE = 3
@@ -195,11 +195,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, id_c
     """
     # A row's key tells rows of one id apart, and null ids in it are equal; the component's id is the key that stays.
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
-    keyed = docs.withColumn("__key", key)
-    found = near_duplicates(keyed, shingle, budget, "__key", text_col)
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__dropped")).distinct()
-    kept = keyed.join(dropped, F.col("__key") == F.col("__dropped"), "left_anti").dropDuplicates(["__key"])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    own, gone = unused(docs, "__key"), unused(docs, "__dropped")
+    keyed = docs.withColumn(own, key)
+    found = near_duplicates(keyed, shingle, budget, own, text_col)
+    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone)).distinct()
+    kept = keyed.join(dropped, F.col(own) == F.col(gone), "left_anti").dropDuplicates([own])
+    return only(kept, docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import spool, table, whole_text
+from .common import only, spool, table, unused, whole_text
 
-#: Words that a span of repeated units needs to be removed.
+#: Words that a span of repeated units needs to be removed: what counts as a repeated passage. With 1, and lines as units,
+#: every line that occurs before is removed, however short.
 LEAST_WORDS = 20
 #: Words of a piece, at most, and of the windows that choose where units are cut. A repeated passage of n words keeps
 #: n - 2 * PIECE words or more in repeated pieces: 31 of 51.
@@ -152,9 +153,10 @@ def deduplicate(docs: DataFrame, unit: str = "sentence", least_words: int = LEAS
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    found = removals(docs, unit, least_words, id_col, text_col).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash")), "left")
-    return joined.withColumn(text_col, F.pandas_udf(cut, "string")(F.col(text_col), F.col("__spans"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    id_, hash_, parts = unused(docs, "__id"), unused(docs, "__hash"), unused(docs, "__spans")
+    found = removals(docs, unit, least_words, id_col, text_col).filter(F.size("spans") > 0).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(parts)).dropDuplicates([id_, hash_])
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(hash_)), "left")
+    return only(joined.withColumn(text_col, F.pandas_udf(cut, "string")(F.col(text_col), F.col(parts))), docs.columns)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,13 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns and sorted(r.items for r in kept.collect()) == [1, 2, 7]
     cut = {r.items: r.text for r in X.remove_spans(docs, items).collect()}
     assert cut[5] == "é" and cut[7] == "clean text" and cut[4] == "a" and cut[1] is None
+
+
+def test_clashing_names(spark):
+    words = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, words, 1, 2, 3), (2, "clean text", 1, 2, 3)], "doc_id long, text string, __id int, __hash int, __cuts int")
+    items = spark.createDataFrame([("q", words)], "item_id string, text string")
+    kept = X.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+    cut = X.remove_spans(docs, items)
+    assert cut.columns == docs.columns and {r.doc_id: r.text for r in cut.collect()} == {1: "", 2: "clean text"}

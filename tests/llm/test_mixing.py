@@ -64,3 +64,11 @@ def test_edge_cases(spark):
     _check(got, X.BLOCK_TOKENS)
     assert X.mix(docs.limit(0)).count() == 0
     assert {r.taken for r in X.mix(docs.filter(F.col("doc_id") < 3)).collect()} == {0}
+
+
+def test_common_ids_are_one_row_with_a_count(spark):
+    """Null ids and rows of one id share a line of tokens; each row takes at most its repeats, and the target is met."""
+    rows = [(None, "x y z " * 5, "a")] * 300 + [(7, "p q " * 4, "a")] * 300 + [(i, "r s t " * 6, "b") for i in range(20)]
+    got = X.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows)
+    _check(got, 16 * X.BLOCK_TOKENS)

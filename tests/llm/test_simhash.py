@@ -96,3 +96,15 @@ def test_keep_one_decides_by_row(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(1, text(1)), (None, text(2)), (None, text(3)), (2, text(4)), (3, text(5)), (3, text(6)), (4, text(7)), (4, text(8)), (None, None)]
     assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 7, 8), (2, "a b c d", 7, 8), (3, "other words are here", 7, 8)], "doc_id long, text string, __key int, __dropped int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_components_of_a_hub(spark):
+    """A star of many leaves, its hub neither the smallest nor the largest node."""
+    edges = spark.createDataFrame([(500, i) for i in range(1000) if i != 500], "a long, b long")
+    assert {r.root for r in components(edges).collect()} == {0}

@@ -93,3 +93,12 @@ def test_short_passages_at_random_places():
 def test_no_piece_is_long():
     text = " ".join(f"w{i % 7}" for i in range(300))
     assert max(len(w) for _, _, w in X.cut_units(text, X.ENDS["sentence"])) <= X.PIECE
+
+
+def test_clashing_names_and_whole_lines(spark):
+    """With one word as the least, every line that occurs before goes, however short; clashing names do no harm."""
+    long = " ".join(f"long{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "One line.\nmine alone\nOne line.", 5, 6), (2, "one  LINE.\n" + long + "\nother", 5, 6), (3, "own\n" + long, 5, 6)], "doc_id long, text string, __id int, __spans int")
+    cut = X.deduplicate(docs, "line", 1)
+    assert cut.columns == docs.columns
+    assert {r.doc_id: r.text.split("\n") for r in cut.collect()} == {1: ["One line.", "mine alone", ""], 2: ["", long, "other"], 3: ["own", ""]}
