@@ -2,14 +2,15 @@
 
 Leetspeak, letters spaced out and letters repeated are a channel between the word meant and the token seen. A character
 bigram model of the whole corpus says which letters follow each other, the channel says what a character may stand
-for, and the cheapest path through the lattice of readings is the word restored. The score is the log-odds of the
-restored words that labelled texts show to be toxic, calibrated by a logistic curve.
+for, and the cheapest path through the lattice of readings is the word restored. The score is a logistic curve over two
+sums of the restored text: the log-odds of its clearly toxic words, and the mean log-odds of all its words.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,14 +20,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_fold, table, whole_text
+from .common import in_fold, only, spool, table, unused, whole_text
 
 #: Labelled rows that the word weights and the curve are fitted on, at most (the smallest by a hash of their id).
 SAMPLE = 8_192
-#: Words that the weights cover, at most; they need this z-score, these log-odds and so many toxic texts.
-LEXICON, LEAST_Z, LEAST_ODDS, LEAST_TOXIC = 512, 3.2, 3.0, 4
-#: Evidence counts up to these log-odds, so one clear word says as much as ten.
-ENOUGH = 4.0
+#: Texts of the usual mix that every word is taken to have been in besides, so rare words say little.
+PRIOR = 1.5
+#: Log-odds beyond which a word says much. Such words are looked for in spaced-out and cut words too; their list is
+#: broadcast, so it has a bound (the weightiest), beyond which words still count by their bucket.
+STRONG, LISTED = 2.5, 65_536
+#: Words without evidence that every text is taken to have besides, so the mean of a few words says little.
+SHORT = 5
+#: Parts of the sample for the fit of the curve.
+FOLDS = 5
+#: Buckets that hold the weights of all other words.
+BUCKETS = 262_144
 #: Distinct tokens whose reading a task keeps at hand.
 HELD = 300_000
 
@@ -180,138 +188,218 @@ def _lower(text: str) -> str:
 
 @dataclass
 class Classifier:
-    """weights: log-odds of squeezed words; slope, level: the curve over their sum."""
+    """listed: weights of the words that say much; table: those of all others by a hash of the word; slopes, level: the curve."""
 
-    weights: dict[str, float]
-    slope: float
+    listed: dict[str, float]
+    table: np.ndarray
+    slopes: np.ndarray
     level: float
 
-    def probability(self, total: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * np.minimum(total, ENOUGH) + self.level)))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and level of the logistic curve, by Newton steps; the prior is that of one toxic text in ten."""
-    x1 = np.stack([np.append(x, [0.0, 0.0]), np.ones(len(x) + 2)], 1)
-    goal, mass = np.append(y, [0.0, 1.0]), np.append(np.ones(len(y)), [0.9, 0.1])
-    w = np.array([0.0, -2.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-x1 @ w))
-        push = x1.T @ (mass * (goal - p)) - ridge * w * [1, 0]
-        bend = (x1 * (mass * p * (1 - p))[:, None]).T @ x1 + ridge * np.diag([1, 1e-3])
+    def weight(self, word: str) -> float:
+        found = self.listed.get(word)
+        return float(self.table[zlib.crc32(word.encode()) % BUCKETS]) if found is None else found
+
+    def probability(self, strong: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        z = np.stack([np.log1p(strong), mean], 1) @ self.slopes + self.level
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Slopes and level of the logistic curve, by Newton steps; the prior is ten texts without evidence, one of them toxic."""
+    n, d = x.shape
+    x1 = np.hstack([np.vstack([x, np.zeros((2, d))]), np.ones((n + 2, 1))])
+    goal, mass = np.append(y, [0.0, 1.0]), np.append(np.ones(n), [9.0, 1.0])
+    w, held = np.append(np.zeros(d), -2.0), ridge * np.append(np.ones(d), 0.0)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+        push = x1.T @ (mass * (goal - p)) - held * w
+        bend = (x1 * (mass * p * (1 - p))[:, None]).T @ x1 + np.diag(held + 1e-5)
         move = np.linalg.solve(bend, push)
         w = w + np.clip(move, -2, 2)
         if np.abs(move).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w[:d], float(w[d])
+
+
+def rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """logistic() without the columns whose slope is negative: evidence for a label never counts against it."""
+    use = np.ones(x.shape[1], bool)
+    while True:
+        slopes, level = logistic(x[:, use], y)
+        out = np.zeros(x.shape[1])
+        out[use] = slopes
+        if (out >= 0).all():
+            return out, level
+        use &= out >= 0
+
+
+def _odds(bad: Column, good: Column, share: float) -> Column:
+    """Log-odds of a word held by so many toxic and clean texts, drawn towards none by PRIOR texts of the usual mix."""
+    return F.log((bad + PRIOR * share) / (good + PRIOR * (1 - share))) - math.log(share / (1 - share))
+
+
+def read_words(tokens: list[str], model: list[list[float]], cache: dict[str, str]) -> set[str]:
+    """The distinct restored words of a text, squeezed, without empty ones."""
+    found = {squeeze(restore("".join(tokens[i:j]), model)) for i, j in _spaced(tokens)}
+    for t in set(tokens):
+        if t not in cache:
+            if len(cache) > HELD:
+                cache.clear()
+            cache[t] = restored(t, model)
+        found.add(cache[t])
+    return found - {""}
 
 
 def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, allowed: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Classifier:
-    """Word weights and curve from at most `sample` labelled rows whose id is allowed."""
+    """Weights of all words and the curve, from at most `sample` labelled rows whose id is allowed.
+
+    Texts are dealt into FOLDS parts. The curve is fitted on evidence that the other parts' counts give, so a word that
+    only the text itself speaks for counts for nothing; the weights come from all counts in the end.
+    """
     marked = labels.filter(allowed).filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__mark"))
     marked = F.broadcast(marked.orderBy(F.xxhash64("__id"), "__id").limit(sample))
-    rows = docs.join(marked, F.col(id_col) == F.col("__id")).select("__mark", whole_text(F.col(text_col)).alias("text"))
-    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("__mark").alias("mark"), F.min("text").alias("text")).drop("h")  # copies teach once
+    rows = docs.select(F.col(id_col).alias("id"), whole_text(F.col(text_col)).alias("text")).join(marked, F.col("id") == F.col("__id"))
+    rows = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.max("__mark").alias("mark"), F.min("text").alias("text"))  # copies teach once
     near = model.tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, str] = {}
         for batch in batches:
-            words = []
-            for text in batch.column(1):
-                tokens = _lower(text.as_py()).split()
-                found = {squeeze(restore("".join(tokens[i:j]), near)) for i, j in _spaced(tokens)}
-                for t in set(tokens):
-                    if t not in cache:
-                        if len(cache) > HELD:
-                            cache.clear()
-                        cache[t] = restored(t, near)
-                    found.add(cache[t])
-                words.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["mark", "words"])
-
-    texts = rows.mapInArrow(run, "mark int, words array<string>")
-    held = texts.withColumn("word", F.explode("words")).filter("word <> ''").groupBy("word").agg(F.sum("mark").alias("bad"), F.sum(F.lit(1) - F.col("mark")).alias("good"))
-    totals = texts.agg(F.coalesce(F.sum("mark"), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("n")).first()
-    bad, good = totals["bad"], totals["n"] - totals["bad"]
-    weight = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    z = F.col("weight") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = held.filter(F.col("bad") >= LEAST_TOXIC).withColumn("weight", weight).withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_ODDS)).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
-    weights = {r["word"]: float(r["weight"]) for r in best}
-    if not weights:
-        return Classifier({}, 1.0, math.log((bad + 0.1) / (good + 0.9)) if bad else math.log(1 / 9))
-    listed = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
-    sums = texts.select("mark", F.aggregate("words", F.lit(0.0), lambda s, w: s + F.coalesce(listed[w], F.lit(0.0))).alias("x")).toArrow()  # `sample` rows at most
-    return Classifier(weights, *logistic(np.minimum(sums.column("x").to_numpy(), ENOUGH), sums.column("mark").to_numpy().astype(float)))
-
-
-def score(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """All columns of docs and __toxic, the probability (0 to 1) that the text is toxic.
+            words = [sorted(read_words(_lower(text.as_py()).split(), near, cache)) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], ["key", "mark", "words"])
+
+    texts = spool(rows.select("key", "mark", "text").mapInArrow(run, "key long, mark int, words array<string>").withColumn("fold", F.pmod("key", F.lit(FOLDS)).cast("int")), "read")
+    by_fold = {r["fold"]: (r["bad"], r["n"]) for r in texts.groupBy("fold").agg(F.sum("mark").alias("bad"), F.count(F.lit(1)).alias("n")).collect()}
+    bad, n = (sum(r[i] for r in by_fold.values()) for i in (0, 1))
+    if not 0 < bad < n:
+        return Classifier({}, np.zeros(BUCKETS), np.zeros(2), math.log((bad + 0.1) / (n - bad + 0.9)))
+    share = (bad + 1) / (n + 10)
+    pairs = texts.select("key", "fold", "mark", F.explode("words").alias("word"))
+    by_part = [F.count_if((F.col("fold") == f) & (F.col("mark") == m)).alias(f"n{m}_{f}") for m in (0, 1) for f in range(FOLDS)]
+    counts = pairs.groupBy("word").agg(*by_part)
+    parts = [F.array(*(F.col(f"n{m}_{f}") for f in range(FOLDS))) for m in (0, 1)]
+    counts = spool(counts.select("word", parts[1].alias("bad_in"), parts[0].alias("good_in")), "counts")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    counts = counts.withColumns({"bad": total("bad_in"), "good": total("good_in")})
+
+    own = lambda c: F.element_at(c, F.col("fold") + 1)
+    other = _odds(F.col("bad") - own("bad_in"), F.col("good") - own("good_in"), share)
+    told = pairs.join(counts, "word").withColumn("w", other).groupBy("key").agg(F.sum(F.greatest(F.col("w") - STRONG, F.lit(0.0))).alias("strong"), (F.sum("w") / (F.count(F.lit(1)) + SHORT)).alias("mean"))
+    told = texts.select("key", "mark").join(told, "key", "left").select("mark", F.coalesce("strong", F.lit(0.0)).alias("strong"), F.coalesce("mean", F.lit(0.0)).alias("mean")).toArrow()  # `sample` rows at most
+    x = np.stack([np.log1p(told.column("strong").to_numpy()), told.column("mean").to_numpy()], 1)
+    order = np.lexsort((told.column("mark").to_numpy(), x[:, 1], x[:, 0]))  # so that sums don't depend on the order of tasks
+    slopes, level = rising(np.round(x[order], 9), told.column("mark").to_numpy()[order].astype(float))
+
+    weighed = counts.select("word", "bad", "good", _odds(F.col("bad"), F.col("good"), share).alias("weight"))
+    best = weighed.filter(F.col("weight") > STRONG).orderBy(F.desc("weight"), "word").limit(LISTED).select("word", "weight").toArrow()
+    listed = dict(zip(best.column("word").to_pylist(), best.column("weight").to_pylist(), strict=True))
+    rest = weighed.filter(F.col("weight") <= STRONG).groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("bucket")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    rest = rest.select("bucket", _odds(F.col("bad"), F.col("good"), share).alias("weight")).toArrow()  # one row for each bucket at most
+    table_ = np.zeros(BUCKETS)
+    table_[rest.column("bucket").to_numpy()] = np.minimum(rest.column("weight").to_numpy(), STRONG)
+    return Classifier(listed, table_, slopes, level)
+
+
+class Reader:
+    """Reads the texts of a task: numbers its tokens and words, so that a text's evidence is sums over arrays."""
+
+    def __init__(self, classifier: Classifier, model: list[list[float]]):
+        self.classifier, self.model, self.listed = classifier, model, classifier.listed
+        self.starts = {w[:k] for w in self.listed for k in range(1, len(w) + 1)}
+        self.any_listed = re.compile("|".join(sorted(map(re.escape, self.listed), key=len, reverse=True))) if self.listed else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.tokens: dict[bytes, int] = {}
+        self.words: dict[str, int] = {"": 0}
+        self.word, self.kind, self.weight = np.zeros(1024, np.int64), np.zeros(1024, np.int8), np.zeros(1024)
+
+    def meant(self, text: str) -> str:
+        """The word behind a token; one of signs alone is read as a word only if that word is listed."""
+        word = signs_read(text, self.model)
+        return word if word in self.listed else restored(text, self.model)
+
+    def number(self, token: bytes) -> None:
+        """Number a new token. Kinds: 0 plain, 1 a listed word, 2 one character, 3 the start of a listed word."""
+        text = token.decode()
+        word = self.meant(text)
+        if word not in self.words:
+            n = self.words[word] = len(self.words)
+            if n == len(self.weight):
+                self.weight = np.append(self.weight, np.zeros(n))
+            self.weight[n] = self.classifier.weight(word)
+        n = self.tokens[token] = len(self.tokens)
+        if n == len(self.word):
+            self.word, self.kind = np.append(self.word, np.zeros(n, np.int64)), np.append(self.kind, np.zeros(n, np.int8))
+        self.word[n] = self.words[word]
+        self.kind[n] = 1 if word in self.listed else 2 if len(text) == 1 else 3 if word in self.starts else 0
+
+    def evidence(self, text: bytes) -> tuple[float, float]:
+        """(weights beyond STRONG summed, mean weight) over the distinct words of a text and the listed words pieced together in it."""
+        tokens = text.lower().split()
+        if len(self.tokens) > HELD:
+            self.forget()
+        known, number = self.tokens, self.number
+        for t in set(tokens).difference(known):
+            number(t)
+        ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        mine = np.unique(self.word[ids])
+        mine = mine[mine > 0]
+        own = self.weight[mine]
+        strong, total, n = np.maximum(own - STRONG, 0).sum(), own.sum(), len(own)
+        kinds = self.kind[ids]
+        if self.listed and (kinds >= 2).any():
+            have = set(mine.tolist())
+            for w in sorted(self.pieced(tokens, kinds)):
+                if self.words.get(w, -1) not in have:
+                    strong, total, n = strong + self.listed[w] - STRONG, total + self.listed[w], n + 1
+        return float(strong), float(total / (n + SHORT))
+
+    def pieced(self, tokens: list[bytes], kinds: np.ndarray) -> set[str]:
+        """Listed words that were spaced out or cut in two."""
+        words: set[str] = set()
+        one = kinds == 2
+        runs = np.flatnonzero(one[:-2] & one[1:-1] & one[2:])
+        if len(runs):
+            first = np.concatenate(([True], np.diff(runs) > 1))
+            last = np.concatenate((np.diff(runs) > 1, [True]))
+            for i, j in zip(runs[first], runs[last] + 3, strict=True):
+                run = b"".join(tokens[i:j]).decode()
+                words.update(self.any_listed.findall(squeeze(restore(run, self.model))))
+                if (word := signs_read(run, self.model)) in self.listed:
+                    words.add(word)
+        for i in np.flatnonzero((kinds[:-1] >= 2) & (kinds[1:] != 1)):
+            if (joined := self.meant((tokens[i] + tokens[i + 1]).decode())) in self.listed:
+                words.add(joined)
+        return words
+
+
+def score(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", score_col: str = "__toxic") -> DataFrame:
+    """All columns of docs and score_col, the probability (0 to 1) that the text is toxic; a column of that name is replaced.
 
     The character model learns from all texts; weights and curve from labelled rows whose id is allowed, no more than
-    `sample`. Null, empty and blank texts have the score of a text without listed words. Without labelled rows every
-    text has the same low score. Repeated rows score alike; an empty table gives no rows.
+    `sample`. Every distinct restored word of a text counts by its weight. Null, empty and blank texts have the score of
+    a text without evidence. Without labelled rows, or with labels of one kind alone, every text has the same score.
+    Repeated rows score alike; an empty table gives no rows.
     """
     model = character_model(docs, text_col)
-    classifier = fit(docs, labels, model, allowed, sample, id_col, text_col, label_col)
-    near, weights = model.tolist(), classifier.weights
-    starts = {w[:k] for w in weights for k in range(1, len(w) + 1)}
-    listed = re.compile("|".join(sorted(map(re.escape, weights), key=len, reverse=True))) if weights else None
-
-    def meant(text: str) -> str:
-        return signs_read(text, near) or restored(text, near)
-
-    class Known(dict):
-        """Token -> 0 plain, 2 one character, 3 the start of a listed word, or the listed word itself."""
-
-        def __missing__(self, token: bytes) -> object:
-            text = token.decode()
-            head = text.strip(_EDGES)[:2]
-            if len(head) == 2 and "a" <= head[0] <= "z" and "a" <= head[1] <= "z" and head[0] != head[1] and head not in starts:
-                # Letters are only ever read as themselves, so what is restored begins like no listed word.
-                if len(self) < HELD:
-                    self[token] = 0
-                return 0
-            word = meant(text)
-            code = word if word in weights else 2 if len(text) == 1 else 3 if word in starts else 0
-            if len(self) < HELD:
-                self[token] = code
-            return code
-
-    def total(tokens: list[bytes], known: Known) -> float:
-        codes = list(map(known.__getitem__, tokens))
-        found = set(codes)
-        if found <= {0}:
-            return 0.0
-        words = {c for c in found if isinstance(c, str)}
-        if 2 in found:
-            one = [t.decode() if c == 2 else "xx" for t, c in zip(tokens, codes, strict=True)]
-            for i, j in _spaced(one):
-                run = "".join(one[i:j])
-                words.update(listed.findall(squeeze(restore(run, near))))
-                if (word := signs_read(run, near)) in weights:
-                    words.add(word)
-        if 3 in found or 2 in found:  # a listed word cut in two
-            for i, c in enumerate(codes[:-1]):
-                if (c == 3 or c == 2) and codes[i + 1] in (0, 2, 3):
-                    joined = meant((tokens[i] + tokens[i + 1]).decode())
-                    if joined in weights:
-                        words.add(joined)
-        return sum(weights[w] for w in sorted(words))
+    shared = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, model, allowed, sample, id_col, text_col, label_col), model.tolist()))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Known()
+        classifier, near = shared.value
+        reader = Reader(classifier, near)
         for texts in batches:
-            sums = np.fromiter((total(t.encode().lower().split(), known) if weights else 0.0 for t in texts), float, len(texts))
-            yield pd.Series(classifier.probability(sums))
+            found = np.array([reader.evidence(t.encode()) for t in texts]).reshape(-1, 2)
+            yield pd.Series(classifier.probability(found[:, 0], found[:, 1]))
 
-    return docs.withColumn("__toxic", F.pandas_udf(run, "double")(whole_text(F.col(text_col))))
+    return docs.withColumn(score_col, F.pandas_udf(run, "double")(whole_text(F.col(text_col))))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose score is 0.5 or more; its columns unchanged."""
     allowed = in_fold(F.col(id_col), 0) == F.lit(False) if allowed is None else allowed
-    return score(docs, labels, allowed, id_col=id_col, text_col=text_col).filter(F.col("__toxic") < 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = unused(docs, "__toxic")
+    return only(score(docs, labels, allowed, id_col=id_col, text_col=text_col, score_col=own).filter(F.col(own) < 0.5), docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 from itertools import product
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from provisio.llm import toxicity as X
@@ -106,3 +110,111 @@ def test_long_runs_and_words_of_signs_are_caught(spark):
 
 def test_decode_is_linear(model):
     assert len(X.decode("ab1" * 100_000, model)) >= 200_000
+
+
+def brute_scores(docs, marks):
+    """Scores of {id: text} by plain loops, learning from {id: mark}; only decoding is the operator's own."""
+    pairs = Counter()
+    code = lambda b: b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0
+    for t in docs.values():
+        s = [0, *map(code, t.encode()), 0]
+        pairs.update(zip(s, s[1:]))
+    model = [[math.log10((pairs[a, b] + 0.5) / sum(pairs[a, c] + 0.5 for c in range(28))) for b in range(28)] for a in range(28)]
+    tokens = lambda t: [x.decode() for x in t.encode().lower().split()]
+
+    def word_set(t):
+        ts, out, i = tokens(t), set(), 0
+        while i < len(ts):
+            j = i
+            while j < len(ts) and len(ts[j]) == 1:
+                j += 1
+            if j - i >= 3:
+                out.add(X.squeeze(X.restore("".join(ts[i:j]), model)))
+            i = max(j, i + 1)
+        return (out | {X.restored(w, model) for w in ts}) - {""}
+
+    taught = {}
+    for d, m in marks.items():
+        taught[docs[d]] = max(m, taught.get(docs[d], 0))
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    texts = [(word_set(t), m, signed(t) % X.FOLDS) for t, m in taught.items()]
+    bad, n = sum(m for _, m, _ in texts), len(texts)
+    share = (bad + 1) / (n + 10)
+
+    def odds(w, but=None):
+        seen = [m for ws, m, f in texts if w in ws and f != but]
+        return math.log((sum(seen) + X.PRIOR * share) / (len(seen) - sum(seen) + X.PRIOR * (1 - share))) - math.log(share / (1 - share))
+
+    cache = {}
+    held = lambda w, f: cache[w, f] if (w, f) in cache else cache.setdefault((w, f), odds(w, f))
+    x = np.array([[math.log1p(sum(max(held(w, f) - X.STRONG, 0) for w in ws)), sum(held(w, f) for w in ws) / (len(ws) + X.SHORT)] for ws, _, f in texts])
+    slopes, level = X.rising(x, np.array([m for _, m, _ in texts], float))
+    every = {w: odds(w) for w in {w for ws, _, _ in texts for w in ws}}
+    listed = {w: v for w, v in every.items() if v > X.STRONG}
+    shared = {}
+    for w in every.keys() - listed.keys():
+        shared.setdefault(zlib.crc32(w.encode()) % X.BUCKETS, []).append(w)
+    table = {}
+    for bucket, ws in shared.items():
+        seen = [(sum(m for s, m, _ in texts if w in s), sum(1 - m for s, m, _ in texts if w in s)) for w in ws] if len(ws) > 1 else None
+        table[bucket] = every[ws[0]] if seen is None else min(X.STRONG, math.log((sum(b for b, _ in seen) + X.PRIOR * share) / (sum(g for _, g in seen) + X.PRIOR * (1 - share))) - math.log(share / (1 - share)))
+
+    def score(t):
+        ts = tokens(t)
+        meant = lambda w: s if (s := X.signs_read(w, model)) in listed else X.restored(w, model)
+        words = [meant(w) for w in ts]
+        found = set(words) - {""}
+        i = 0
+        while i < len(ts):
+            j = i
+            while j < len(ts) and len(ts[j]) == 1 and words[j] not in listed:
+                j += 1
+            if j - i >= 3:
+                said, at = X.squeeze(X.restore("".join(ts[i:j]), model)), 0
+                while at < len(said):
+                    k = max((len(w) for w in listed if said.startswith(w, at)), default=0)
+                    found |= {said[at : at + k]} if k else set()
+                    at += k or 1
+                found |= {X.signs_read("".join(ts[i:j]), model)} & listed.keys()
+            i = max(j, i + 1)
+        for i in range(len(ts) - 1):
+            opens = words[i] not in listed and (len(ts[i]) == 1 or any(w.startswith(words[i]) for w in listed if words[i]))
+            if opens and words[i + 1] not in listed:
+                found |= {meant(ts[i] + ts[i + 1])} & listed.keys()
+        weights = [listed[w] if w in listed else table.get(zlib.crc32(w.encode()) % X.BUCKETS, 0.0) for w in found]
+        z = slopes[0] * math.log1p(sum(max(w - X.STRONG, 0) for w in weights)) + slopes[1] * sum(weights) / (len(weights) + X.SHORT) + level
+        return 1 / (1 + math.exp(-z))
+
+    return {d: score(t) for d, t in docs.items()}
+
+
+def test_scores_by_brute_force(spark, sf_dir):
+    """The whole query, and planted words in all forms."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.toxic is not None and r.doc_id in docs}
+    want = brute_scores(docs, {d: m for d, m in marks.items() if zlib.crc32(str(d).encode()) % 5})
+    got = {r.doc_id: r.score for r in X.op3_toxicity(spark, sf_dir).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
+    planted, labels = _planted(spark)
+    new = [(500, "what an 1d10t he is"), (501, "m.o.r.o.n there"), (502, "he is an i d i o t now"), (503, "i d 1 o t m o r o n"), (504, "a mor on"), (505, "a i d"), (506, ""), (507, "agenda " * 50)]
+    planted = planted.unionByName(spark.createDataFrame(new, "doc_id long, text string"))
+    want = brute_scores({r.doc_id: r.text for r in planted.collect()}, {r.doc_id: r.toxic for r in labels.collect()})
+    assert {r.doc_id: r["__toxic"] for r in X.score(planted, labels, F.lit(True)).collect()} == pytest.approx(want, rel=1e-6)
+
+
+def test_scores_are_graded_and_better_than_a_list(spark):
+    """Held-out ranking at sf0.1, and more than a handful of scores."""
+    sf = "/root/testdata/sf0.1"
+    rows = X.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("held_out", "score", "predicted", "toxic").collect()
+    out = [(r.score, r.toxic, r.predicted) for r in rows if r.held_out]
+    bad, good = [s for s, y, _ in out if y], [s for s, y, _ in out if not y]
+    assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / len(bad) / len(good) > 0.97
+    assert sum(p for _, y, p in out if y) / len(bad) > 0.9 and sum(p for _, y, p in out if not y) / len(good) < 0.02
+    assert len({round(r.score, 9) for r in rows}) > 1000
+
+
+def test_clashing_name(spark):
+    docs, labels = _planted(spark)
+    docs = docs.withColumn("__toxic", F.lit(0.25))
+    kept = X.keep_clean(docs, labels)
+    assert kept.columns == docs.columns and {r["__toxic"] for r in kept.collect()} == {0.25}
