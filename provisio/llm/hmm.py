@@ -40,9 +40,9 @@ FREQUENT, LONG = 65_536, 64
 HELD = 200_000
 #: Tokens that a task puts through the recursion at once, in training and in scoring.
 TOKENS, SCORED = 800_000, 2_000_000
-#: Training cuts texts into pieces of this many tokens, so that no single long text makes a step of its own for each of
-#: its tokens; scoring never cuts.
-PIECE = 2_048
+#: Training walks longer texts in blocks of this many tokens side by side; what enters and leaves each block is computed
+#: exactly before, so the counts are those of the whole text.
+BLOCK = 2_048
 
 
 def word_class(word: bytes) -> int:
@@ -93,35 +93,76 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def borders(model: Model, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A long text's symbols in blocks [blocks, BLOCK] (-1 behind the end), and the recursion at their borders.
+
+    Returns the blocks, the forward values before each block (zeros before the first) and the backward values behind
+    each, of any scale. A block is a product of matrices, one for each token; the products of all blocks grow side by side.
+    """
+    k, n = len(model.start), -(-len(symbols) // BLOCK)
+    cut = np.full(n * BLOCK, -1, np.int64)
+    cut[: len(symbols)] = symbols
+    cut = cut.reshape(n, BLOCK)
+    emit = np.vstack([model.emit.T, np.ones(k)])  # the last row stands for -1
+    product = np.eye(k)[None] * emit[cut[:, 0]][:, None, :]
+    for t in range(1, BLOCK):
+        on = cut[:, t] >= 0
+        product[on] = (product[on] @ model.move) * emit[cut[on, t]][:, None, :]
+        product /= product.sum((1, 2), keepdims=True)
+    before, behind = np.zeros((n, k)), np.ones((n, k))
+    now = model.start @ product[0]
+    for i in range(1, n):
+        before[i] = now / now.sum()
+        now = before[i] @ model.move @ product[i]
+    for i in range(n - 2, -1, -1):
+        behind[i] = model.move @ (product[i + 1] @ behind[i + 1])
+        behind[i] /= behind[i].sum()
+    return cut, before, behind
+
+
 def expected(model: Model, sequences: list[np.ndarray]) -> Model:
-    """Expected counts of starts, moves and emissions over the (non-empty) sequences, in single precision."""
-    flat, _, active = _by_step(sequences)
-    move, emit = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T, np.float32)
-    back_move, one = np.ascontiguousarray(move.T), np.ones((len(move), 1), np.float32)
+    """Expected counts of starts, moves and emissions over the (non-empty) sequences."""
+    k = len(model.start)
+    parts, before, behind = [], [], []
+    for s in sequences:
+        if len(s) <= BLOCK:
+            parts.append(s)
+            before.append(np.zeros((1, k)))
+            behind.append(np.ones((1, k)))
+        else:
+            cut, lead, rest = borders(model, s)
+            parts += [c[c >= 0] for c in cut]
+            before.append(lead)
+            behind.append(rest)
+    flat, order, active = _by_step(parts)
+    before, behind = np.concatenate(before)[order], np.concatenate(behind)[order]
+    opens = ~before.any(1)  # parts that begin a sequence; the others follow the block before them
+    move, emit = model.move, np.ascontiguousarray(model.emit.T)
+    back_move, one = np.ascontiguousarray(move.T), np.ones((k, 1))
     begin = np.concatenate(([0], np.cumsum(active)))
     seen = emit[flat]  # divided by each step's scale on the way forward
     weight = np.empty_like(seen)  # the forward values, then times the backward ones
-    before = None
+    now = np.where(opens[:, None], model.start[None, :], before @ move)
     for t, n in enumerate(active):
-        now, here = weight[begin[t] : begin[t] + n], seen[begin[t] : begin[t] + n]
-        np.multiply(model.start.astype(np.float32)[None, :] if before is None else before[:n] @ move, here, out=now)
+        here = seen[begin[t] : begin[t] + n]
+        now = np.multiply(now if not t else now[:n] @ move, here, out=weight[begin[t] : begin[t] + n])
         scale = now @ one  # a product, as sums over so short an axis are slow
         now /= scale
         here /= scale
-        before = now
     moves = np.zeros_like(model.move)
-    beta = np.ones((0, len(move)), np.float32)
+    beta = np.ones((0, k))
     for t in range(len(active) - 1, -1, -1):
         at, n = slice(begin[t], begin[t] + active[t]), active[t]
-        if len(beta) < n:  # sequences that end here
-            beta = np.concatenate([beta, np.ones((n - len(beta), len(move)), np.float32)])
+        if len(beta) < n:  # parts that end here: their backward values, scaled so that they and the forward ones give 1
+            last = weight[begin[t] + len(beta) : begin[t] + n]
+            tail = behind[len(beta) : n]
+            beta = np.concatenate([beta, tail / ((last * tail) @ one)])
         weight[at] *= beta
-        if t:
-            seen[at] *= beta
-            moves += weight[begin[t - 1] : begin[t - 1] + n].T @ seen[at]
-            beta = seen[at] @ back_move
-    emitted = np.stack([np.bincount(flat, weights=weight[:, k], minlength=model.emit.shape[1]) for k in range(len(move))])
-    return Model(weight[: active[0]].sum(0).astype(float), moves * model.move, emitted)
+        seen[at] *= beta
+        moves += (weight[begin[t - 1] : begin[t - 1] + n] if t else before).T @ seen[at]
+        beta = seen[at] @ back_move
+    emitted = np.stack([np.bincount(flat, weights=weight[:, j], minlength=model.emit.shape[1]) for j in range(k)])
+    return Model(weight[: active[0]][opens].sum(0), moves * model.move, emitted)
 
 
 def _runs(sequences: Iterator[np.ndarray], tokens: int) -> Iterator[list[np.ndarray]]:
@@ -213,18 +254,18 @@ def baum_welch(texts: DataFrame, model: Model, steps: int = STEPS, smooth: float
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros(k + k * k + k * width)
-            pieces = (s[i : i + PIECE] for b in batches for t in b.column(0) for s in (np.frombuffer(t.as_py(), np.uint16),) for i in range(0, len(s), PIECE))
-            for some in _runs(pieces, TOKENS):
+            texts = (np.frombuffer(t.as_py(), np.uint16) for b in batches for t in b.column(0))
+            for some in _runs(texts, TOKENS):
                 part = expected(shared.value, some)
                 total += np.concatenate([part.start, part.move.ravel(), part.emit.ravel()])
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["parameter", "n"])
 
         # Summed to a precision that does not depend on the order of the tasks, so reruns agree.
-        parts = texts.select("classes").mapInArrow(run, "parameter int, n double").withColumn("n", F.round(F.col("n") * 1024).cast("decimal(38,0)"))
+        parts = texts.select("classes").mapInArrow(run, "parameter int, n double").withColumn("n", F.round(F.col("n") * 2**30).cast("decimal(38,0)"))
         sums = np.zeros(k + k * k + k * width)
         found = parts.groupBy("parameter").agg(F.sum("n").cast("double").alias("n")).toArrow()  # one row for each parameter of the model
-        sums[found.column("parameter").to_numpy()] = found.column("n").to_numpy() / 1024
+        sums[found.column("parameter").to_numpy()] = found.column("n").to_numpy() / 2**30
         start, move, emit = sums[:k] + smooth, sums[k : k + k * k].reshape(k, k) + smooth, sums[k + k * k :].reshape(k, width) + smooth * width * mass
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
     return model

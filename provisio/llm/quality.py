@@ -21,8 +21,9 @@ from .common import in_fold, table, whole_text
 WIDTH, FILTERS = 6, 8
 #: Windows in a chunk, and windows that are computed at once.
 CHUNK, BLOCK = 1024, 131_072
-#: Labelled rows that the network is fitted on, at most (the smallest by a hash of their id), none longer than this.
-SAMPLE, SAMPLE_BYTES = 2_048, 32_768
+#: Labelled rows that the network is fitted on, at most (the smallest by a hash of their id), and the bytes of their whole
+#: texts together: rows are taken in that order, and one that does not fit into what is left of the bytes is passed over.
+SAMPLE, SAMPLE_BYTES = 2_048, 33_554_432
 EPOCHS, BATCH, RATE, SEED = 12, 32, 0.02, 11
 
 
@@ -124,9 +125,13 @@ def _gradient(net: Network, texts: list[bytes], goal: np.ndarray) -> list[np.nda
     at, into, tops, means = [], [], [], []
     for text in texts:
         data = np.frombuffer((text or b"\0") + bytes(WIDTH - 1), np.uint8)
-        found = net.responses(data)
-        best = np.stack([part.argmax(0) + i * CHUNK for i, part in enumerate(np.split(found, range(CHUNK, len(found), CHUNK)))])
-        seen = np.maximum(np.take_along_axis(found, best, 0) + net.bias, 0)
+        best, seen = [], []
+        for b, piece in enumerate(_pieces(text)):
+            found = net.responses(piece)
+            own = np.stack([part.argmax(0) + i * CHUNK for i, part in enumerate(np.split(found, range(CHUNK, len(found), CHUNK)))])
+            seen.append(np.maximum(np.take_along_axis(found, own, 0) + net.bias, 0))
+            best.append(own + b * BLOCK)
+        best, seen = np.concatenate(best), np.concatenate(seen)
         at.append((data, best, seen))
         tops.append(seen.max(0))
         means.append(seen.mean(0))
@@ -171,16 +176,30 @@ def train(texts: list[bytes], goal: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
-    """Train on at most `sample` whole labelled texts of SAMPLE_BYTES bytes at most, whose id is allowed."""
+    """Train on at most `sample` whole labelled texts, whose id is allowed, of SAMPLE_BYTES bytes together at most.
+
+    The sizes of the chosen rows are read first, so the driver never holds more text than that. Rows that agree in id
+    and text teach once.
+    """
     marked = labels.filter(allowed).filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__mark"))
     marked = F.broadcast(marked.orderBy(F.xxhash64("__id"), "__id").limit(sample))
-    rows = docs.join(marked, F.col(id_col) == F.col("__id")).select("__id", "__mark", whole_text(F.col(text_col)).alias("text"))
-    rows = rows.filter(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("__id"), "__id", "text").limit(sample).collect()
-    return train([r["text"].encode() for r in rows], np.array([r["__mark"] for r in rows], float))
-
-
-def score(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """All columns of docs and __quality, the probability (0 to 1) of label 1, from every byte of the text.
+    texts = docs.select(F.col(id_col).alias("id"), whole_text(F.col(text_col)).alias("text")).join(marked, F.col("id") == F.col("__id"))
+    keyed = texts.select("id", F.xxhash64("id").alias("key"), F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"), F.col("__mark").alias("mark"), "text")
+    left, chosen = SAMPLE_BYTES, []
+    for r in keyed.select("id", "key", "hash", "bytes", "mark").distinct().orderBy("key", "id", "hash").limit(sample).collect():
+        if r["bytes"] <= left:
+            chosen.append((r["key"], r["hash"]))
+            left -= r["bytes"]
+    if not chosen:
+        return train([], np.zeros(0))
+    wanted = docs.sparkSession.createDataFrame(chosen, "wanted_key long, wanted_hash long")
+    rows = keyed.join(F.broadcast(wanted), (F.col("key") == F.col("wanted_key")) & (F.col("hash") == F.col("wanted_hash")))
+    rows = rows.groupBy("key", "hash").agg(F.min("text").alias("text"), F.max("mark").alias("mark")).orderBy("key", "hash").collect()
+    return train([r["text"].encode() for r in rows], np.array([r["mark"] for r in rows], float))
+
+
+def score(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", score_col: str = "__quality") -> DataFrame:
+    """All columns of docs and score_col (one of that name is replaced), the probability (0 to 1) of label 1, from every byte of the text.
 
     Null texts are empty texts, and an empty text is one window of zero bytes. Rows without a usable label teach
     nothing; with no labelled row at all every score is 0.5. Repeated rows score alike; no rows give no rows.
@@ -194,7 +213,7 @@ def score(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAM
         for texts in batches:
             yield pd.Series(own.probability(*pooled(own, (t.encode() for t in texts))) if len(texts) else [], dtype="float64")
 
-    return docs.withColumn("__quality", F.pandas_udf(run, "double")(whole_text(F.col(text_col))))
+    return docs.withColumn(score_col, F.pandas_udf(run, "double")(whole_text(F.col(text_col))))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

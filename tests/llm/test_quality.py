@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provisio.llm import quality as X
+from provisio.llm.common import in_fold
 
 
 def _net():
@@ -61,6 +62,33 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_scores_by_brute_force(spark, sf_dir):
+    """Every score of the query: the same network over all windows of all bytes, one at a time."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = X.fit(docs, labels, ~in_fold(F.col("doc_id"), 0))
+    got = {r.doc_id: r for r in X.op7_quality(spark, sf_dir).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for d in sorted(texts, key=lambda d: len(texts[d]))[::5]:
+        top, mean = _slow(net, texts[d])
+        want = 1 / (1 + np.exp(-(np.concatenate([top, mean]) @ net.weights + net.level[0])))
+        assert got[d].score == pytest.approx(want, abs=1e-4) and got[d].predicted == int(got[d].score >= 0.3)
+
+
+def test_long_texts_teach(spark, monkeypatch):
+    """The sample is bounded by rows and by bytes in all, not by the length of a text."""
+    taught = []
+    monkeypatch.setattr(X, "train", lambda texts, goal: taught.append((texts, goal)) or X.Network.new())
+    docs = spark.createDataFrame([(i, ("x" if i % 2 else "yz") * (40_000 * i)) for i in range(1, 6)] + [(2, "yz" * 80_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, quality int")
+    X.fit(docs, labels, F.lit(True))
+    assert sorted(map(len, taught[0][0])) == [40_000, 120_000, 160_000, 200_000, 320_000] and taught[0][1].sum() == 3
+    monkeypatch.setattr(X, "SAMPLE_BYTES", 350_000)
+    X.fit(docs, labels, F.lit(True))
+    assert 0 < sum(map(len, taught[1][0])) <= 350_000
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "text", 3), (3, "é" * 200_000, 4), (3, "é" * 200_000, 4)], "doc_id long, text string, quality int")
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0), (7, 0)], "doc_id long, quality int")
