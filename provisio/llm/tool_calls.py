@@ -1,8 +1,8 @@
 """Tool calls in chats: join calls with results, order them by their references, validate, write canonical JSON.
 
-Calls and results meet in a join by conversation and identifier. A call may refer to the result of another one
-by {"$ref": "<id>"} in its arguments. References mostly point back, and there the order of turns is an order of
-the references too; only conversations with forward references are peeled level by level.
+Calls and results meet in one grouping by conversation and identifier. A call may refer to the result of another one
+by {"$ref": "<id>"} in its arguments. A call's level is the longest chain of references behind it: chains of calls with one
+reference are cut short by doubling their length each round, and only calls with several references are peeled one after another.
 """
 
 from __future__ import annotations
@@ -26,6 +26,18 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def parsed(arguments: str | None) -> tuple[object, str | None]:
+    """(value, fault) of arguments: what can't be read or written again stays the text it is, and the fault says why."""
+    try:
+        value = json.loads(arguments or "", parse_constant=lambda c: 1 / 0)
+        canonical(value).encode()
+    except UnicodeEncodeError:
+        return arguments, "lone surrogate"
+    except (ValueError, ZeroDivisionError, RecursionError) as error:
+        return arguments, "number out of range" if "float" in str(error) or "Out of range" in str(error) else "not JSON"
+    return value, None
+
+
 def _is(value: object, kind: str) -> bool:
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     return {
@@ -34,14 +46,8 @@ def _is(value: object, kind: str) -> bool:
     }[kind]
 
 
-def invalid(name: str | None, arguments: str | None, schemas: dict) -> str | None:
-    """What is wrong with the arguments of a call: the first fault in the order of the fields, or None."""
-    if name not in schemas:
-        return "unknown tool"
-    try:
-        given = json.loads(arguments or "", parse_constant=lambda c: 1 / 0)
-    except (ValueError, ZeroDivisionError, RecursionError):
-        return "not JSON"
+def invalid(name: str | None, given: object, schemas: dict) -> str | None:
+    """What is wrong with the parsed arguments of a call: the first fault in the order of the fields, or None."""
     if not isinstance(given, dict):
         return "not an object"
     for field, (kind, required) in sorted(schemas[name].items()):
@@ -54,26 +60,50 @@ def invalid(name: str | None, arguments: str | None, schemas: dict) -> str | Non
     return f"unexpected {extra[0]}" if extra else None
 
 
-def _levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, id, level) of the calls of conversations with forward references; level null on or behind a cycle.
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, id, level) of calls: 0 without references, else one more than the highest level referred to; null on or behind a cycle.
 
-    One step a level: what waits for no call that is left gets the next level. Steps number the longest chain.
+    nodes: conv_id, id; edges: conv_id, id, needs, both ids being nodes. Calls with one reference hand on the end of
+    their chain in rounds that double its length; they number about log2 of the longest chain, or of the calls of the
+    largest conversation where there are cycles. Calls with several references wait for each other, one round for each
+    such call on the longest path. All rows are narrow and meet by conversation and id.
     """
-    left = spool(calls.join(edges.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "id"), "calls")
-    waits = spool(edges, "waits")
-    done, level = [], 0
-    while True:
-        blocked = waits.select("conv_id", "id").distinct()
-        free = spool(left.join(blocked, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(level)), "free")
-        if not free.take(1):
-            rest = left.withColumn("level", F.lit(None).cast("int"))
-            for part in done:
-                rest = rest.unionByName(part)
-            return rest
-        done.append(free)
-        left = spool(left.join(free, ["conv_id", "id"], "left_anti"), "calls")
-        waits = spool(waits.join(free.select("conv_id", F.col("id").alias("needs")), ["conv_id", "needs"], "left_anti"), "waits")
-        level += 1
+    key = ["conv_id", "id"]
+    counted = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("ptr"))
+    graph = spool(nodes.join(counted, key, "left").select(*key, F.coalesce("n", F.lit(0)).alias("n"), "ptr"), "graph")
+    chains = graph.filter("n = 1").select(*key, "ptr", F.lit(1).cast("long").alias("dist"))
+    most = nodes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(most).bit_length() + 1):
+        ends = chains.select("conv_id", F.col("id").alias("ptr"), F.col("ptr").alias("next"), F.col("dist").alias("more"))
+        longer = spool(chains.join(ends, ["conv_id", "ptr"], "left").select(*key, F.coalesce("next", "ptr").alias("ptr"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("next").isNotNull().alias("moved")), "chains")
+        chains = longer.drop("moved")
+        if not longer.filter("moved").take(1):
+            break
+    # Where each call's chain ends: at a call without references, at one with several, or (in a cycle) nowhere.
+    kinds = graph.select("conv_id", F.col("id").alias("ptr"), F.col("n").alias("end_n"))
+    ended = chains.join(kinds, ["conv_id", "ptr"]).select(*key, "ptr", "dist", "end_n")
+    own = graph.filter("n <> 1").select(*key, F.col("id").alias("ptr"), F.lit(0).cast("long").alias("dist"), F.col("n").alias("end_n"))
+    reach = spool(ended.unionByName(own), "reach")
+
+    known = graph.filter("n = 0").select(*key, F.lit(0).cast("long").alias("level"))
+    waits = edges.join(graph.filter("n > 1").select(*key), key).join(reach.select("conv_id", F.col("id").alias("needs"), "ptr", "dist", "end_n"), ["conv_id", "needs"])
+    waits = spool(waits.select(*key, "ptr", F.when(F.col("end_n") == 1, F.lit(None)).otherwise(F.col("dist") + 1).alias("dist"), (F.col("end_n") == 0).alias("free")), "waits")
+    settled = None
+    while waits.take(1):
+        ready = waits.groupBy(*key).agg(F.min("free").alias("ready"), F.max("dist").alias("level"), F.bool_or(F.col("dist").isNull()).alias("lost"))
+        ready = spool(ready.filter("ready AND NOT lost").select(*key, "level"), "ready")
+        if not ready.take(1):
+            break
+        settled = ready if settled is None else spool(settled.unionByName(ready), "settled")
+        left = waits.join(ready.select(*key), key, "left_anti")
+        ends = ready.select("conv_id", F.col("id").alias("ptr"), F.col("level").alias("end_level"))
+        left = left.join(ends, ["conv_id", "ptr"], "left")
+        # A waiting reference to a settled call is freed, its distance now counted from calls without references.
+        freed = F.col("end_level").isNotNull() & ~F.col("free")
+        waits = spool(left.select(*key, "ptr", F.when(freed, F.col("dist") + F.col("end_level")).otherwise(F.col("dist")).alias("dist"), (F.col("free") | freed).alias("free")), "waits")
+    known = known if settled is None else known.unionByName(settled)
+    ends = known.select("conv_id", F.col("id").alias("ptr"), F.col("level").alias("end_level"))
+    return reach.join(ends, ["conv_id", "ptr"], "left").select(*key, F.when(F.col("end_n") != 1, F.col("end_level") + F.col("dist")).cast("int").alias("level"))
 
 
 def link_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -84,62 +114,59 @@ def link_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     (level, turn, place) follow their references. status: linked; no_result; invalid (fault says why; the result, if
     any, stays linked); cycle; repeated_call and repeated_result (an id used before: the first by turn, then place,
     counts); orphan_result; message. A reference to an id that the conversation lacks is a fault of the call.
-    A null or empty id links to nothing; null texts and arguments are null in the JSON. Rows that repeat are repeated calls
-    or messages. No rows give no rows. `schemas` is a parameter, tool -> field -> (type, required).
+    A null or empty id links to nothing, and so do rows of a null conversation: their calls have level 0 and no result,
+    their results are orphans. Null texts and arguments are null in the JSON; arguments that can't be read as JSON, or hold
+    a number out of range or half a surrogate pair, stay text in it. Rows that repeat are repeated calls or messages.
+    Other columns are left out. No rows give no rows. `schemas` is a parameter, tool -> field -> (type, required).
     """
     rows = messages.select("conv_id", "turn", "role", "text", F.col("calls").cast(CALL).alias("calls"), F.col("result_of").cast("string").alias("result_of"))
+    key = ["conv_id", "id"]
     calls = rows.select("conv_id", "turn", "role", F.posexplode("calls").alias("place", "call")).select("conv_id", "turn", "role", "place", F.col("call.id").alias("id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
-    named = calls.filter("id <> ''")
-    first = named.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "place")).alias("at"))
-    results = rows.filter("result_of <> ''").groupBy("conv_id", F.col("result_of").alias("id")).agg(F.min_by(F.struct("turn", "text"), F.struct("turn", "text")).alias("result"))
-
-    refs = named.select("conv_id", "id", "turn", "place", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1)))).alias("needs"))
-    known = refs.join(first.select("conv_id", F.col("id").alias("needs"), F.col("at").alias("needs_at")), ["conv_id", "needs"], "left")
-    lost = known.filter("needs_at IS NULL").groupBy("conv_id", "id").agg(F.min("needs").alias("lost"))
-    edges = known.filter("needs_at IS NOT NULL").select("conv_id", "id", "needs", (F.col("needs_at") >= F.struct("turn", "place")).alias("forward")).distinct()
-    edges = spool(edges, "references")
-    turned = edges.filter("forward").select("conv_id").distinct()
-    levels = None
-    if turned.take(1):
-        levels = _levels(first, edges.join(turned, "conv_id", "left_semi").select("conv_id", "id", "needs")).withColumn("peeled", F.lit(True))
-
-    linked = calls.join(first, ["conv_id", "id"], "left").join(results, ["conv_id", "id"], "left").join(lost, ["conv_id", "id"], "left")
-    linked = linked.join(levels, ["conv_id", "id"], "left") if levels is not None else linked.withColumns({"level": F.lit(None).cast("int"), "peeled": F.lit(None).cast("boolean")})
+    needs = F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(REFERENCE), F.lit(1)))
+    named = calls.filter("id <> '' AND conv_id IS NOT NULL").select(*key, F.struct("turn", "place", needs.alias("needs")).alias("call"))
+    answered = rows.filter("result_of <> '' AND conv_id IS NOT NULL").select("conv_id", F.col("result_of").alias("id"), F.struct("turn", "text").alias("answer"))
+    both = named.unionByName(answered, allowMissingColumns=True)
+    met = spool(both.groupBy(*key).agg(F.min("call").alias("call"), F.min("answer").alias("result")), "met")
+
+    nodes = met.filter("call IS NOT NULL").select(*key, "call.needs")
+    there = nodes.select("conv_id", F.col("id").alias("needs"), F.lit(True).alias("there"))
+    wanted = spool(nodes.select(*key, F.explode("needs").alias("needs")).join(there, ["conv_id", "needs"], "left"), "references")
+    lost = wanted.filter("there IS NULL").groupBy(*key).agg(F.min("needs").alias("lost"))
+    found = levels(nodes.select(*key), wanted.filter("there").select(*key, "needs"))
+    at = F.struct("call.turn", "call.place")
+    links = met.join(found, key, "left").join(lost, key, "left").select(*key, F.when(F.col("call").isNotNull(), at).alias("at"), "result", "level", F.col("level").isNull().alias("cycle"), "lost")
+    links = spool(links, "links")
+
+    linked = calls.join(links, key, "left")
     again = F.coalesce(F.col("at") < F.struct("turn", "place"), F.lit(False))
-    cycle = F.coalesce(F.col("peeled"), F.lit(False)) & F.col("level").isNull()
-    level = F.when(cycle, F.lit(None)).otherwise(F.coalesce("level", F.lit(0)))
+    cycle = F.coalesce("cycle", F.lit(False))
+    null = lambda kind: F.lit(None).cast(kind)
     called = linked.select(
         "conv_id", "turn", "place", "role", "id", "name", "arguments", F.when(~again, F.col("result.turn")).alias("result_turn"), F.when(~again, F.col("result.text")).alias("text"),
-        level.alias("level"), F.when(again, "repeated_call").when(cycle, "cycle").alias("status"), "lost", F.lit("call").alias("kind"),
+        F.when(cycle, null("int")).otherwise(F.coalesce("level", F.lit(0))).alias("level"), F.when(again, "repeated_call").when(cycle, "cycle").alias("status"), F.when(~again, F.col("lost")).alias("lost"), F.lit("call").alias("kind"),
     )
-    answers = rows.filter("result_of <> ''").select("conv_id", "turn", "role", "text", F.col("result_of").alias("id"))
-    answers = answers.join(first, ["conv_id", "id"], "left").join(results, ["conv_id", "id"], "left")
+    answers = rows.filter("result_of <> ''").select("conv_id", "turn", "role", "text", F.col("result_of").alias("id")).join(links.select(*key, "at", "result"), key, "left")
     unused = F.when(F.col("at").isNull(), "orphan_result").when(F.struct("turn", "text") != F.col("result"), "repeated_result")
-    null = lambda kind: F.lit(None).cast(kind)
     answers = answers.withColumn("status", unused).filter("status IS NOT NULL")
     said = (F.coalesce(F.size("calls"), F.lit(0)) <= 0) | F.coalesce(F.col("text") != "", F.lit(False))
     plain = rows.filter(said & F.coalesce(F.col("result_of") == "", F.lit(True))).withColumns({"id": null("string"), "status": F.lit("message")})
     other = answers.select("conv_id", "turn", "role", "text", "id", "status").unionByName(plain.select("conv_id", "turn", "role", "text", "id", "status"))
     other = other.select("conv_id", "turn", null("int").alias("place"), "role", "id", null("string").alias("name"), null("string").alias("arguments"), null(rows.schema["turn"].dataType).alias("result_turn"), "text", null("int").alias("level"), "status", null("string").alias("lost"), F.lit("message").alias("kind"))
 
-    def write(kind: pd.Series, turn: pd.Series, role: pd.Series, id_: pd.Series, name: pd.Series, arguments: pd.Series, answered: pd.Series, text: pd.Series, lost: pd.Series) -> pd.DataFrame:
-        def one(kind, turn, role, id_, name, arguments, answered, text, lost):
+    def write(kind: pd.Series, role: pd.Series, id_: pd.Series, name: pd.Series, arguments: pd.Series, text: pd.Series, lost: pd.Series) -> pd.DataFrame:
+        def one(kind, role, id_, name, arguments, text, lost):
             if kind == "message":
                 return None, canonical({"content": text, "role": role, "tool_call_id": id_} if id_ else {"content": text, "role": role})
-            fault = invalid(name, arguments, schemas) or (f"unknown reference {lost}" if lost else None)
-            try:
-                given = json.loads(arguments or "", parse_constant=lambda c: 1 / 0)
-            except (ValueError, ZeroDivisionError, RecursionError):
-                given = arguments
+            given, fault = parsed(arguments)
+            fault = "unknown tool" if name not in schemas else fault or invalid(name, given, schemas) or (f"unknown reference {lost}" if lost else None)
             return fault, canonical({"arguments": given, "id": id_, "name": name, "result": text, "role": role})
 
         clean = lambda s: s.astype(object).where(s.notna(), None)
-        rows = [one(*r) for r in zip(*map(clean, (kind, turn, role, id_, name, arguments, answered, text, lost)), strict=True)]
-        return pd.DataFrame(rows, columns=["fault", "json"])
+        found = [one(*r) for r in zip(*map(clean, (kind, role, id_, name, arguments, text, lost)), strict=True)]
+        return pd.DataFrame(found, columns=["fault", "json"])
 
-    every = called.unionByName(other)
-    written = F.pandas_udf(write, "fault string, json string")("kind", "turn", "role", "id", "name", "arguments", "result_turn", "text", "lost")
-    every = every.withColumn("written", written)
+    written = F.pandas_udf(write, "fault string, json string")("kind", "role", "id", "name", "arguments", "text", "lost")
+    every = called.unionByName(other).withColumn("written", written)
     status = F.coalesce("status", F.when(F.col("written.fault").isNotNull(), "invalid").when(F.col("result_turn").isNull(), "no_result").otherwise("linked"))
     return every.select("conv_id", "turn", "place", "role", "id", "result_turn", "level", status.alias("status"), F.col("written.fault").alias("fault"), F.col("written.json").alias("json"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 from provisio.llm import tool_calls as X
 
@@ -58,10 +59,14 @@ def test_whole_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     at = {(c, t): (r, x) for c, t, r, x in rows}
     got = X.op6_tool_calls(spark, sf_dir).collect()
-    users = [k for k, (r, _) in at.items() if r == "user"]
+    users = {k for k, (r, _) in at.items() if r == "user"}
     calls = {(r.conv_id, r.turn): r for r in got if r.role == "user"}
-    assert sorted(calls) == sorted(users) and all(r.fault is None and r.level == 0 for r in calls.values())
+    assert sorted(calls) == sorted(users) and all(r.fault is None for r in calls.values())
     for (c, t), r in calls.items():
+        behind = t
+        while (c, behind - 2) in users:
+            behind -= 2
+        assert r.level == (t - behind) // 2
         answer = at.get((c, t + 1))
         linked = answer is not None and answer[0] == "assistant"
         want = {"prompt": at[c, t][1], "turn": t} | ({"after": {"$ref": f"{c}-{t - 2}"}} if (c, t - 2) in users else {})
@@ -80,3 +85,39 @@ def test_text_beside_calls_stays(spark):
     got = _run(spark, rows)
     assert [r.json for r in got if r.status == "message"] == ['{"content":"let me see","role":"assistant"}']
     assert sorted(r.id for r in got if r.status != "message") == ["a", "b", "c"]
+
+
+def test_levels_by_brute_force(spark):
+    """Random graphs with chains, junctions and cycles, and one long chain."""
+    rng = random.Random(6)
+    edges = [(9, i, i - 1) for i in range(1, 600)]
+    nodes = [(9, i) for i in range(600)]
+    for c in range(8):
+        nodes += [(c, i) for i in range(40)]
+        for i in range(40):
+            for j in rng.sample(range(40), rng.choice([0, 1, 1, 1, 2, 3])):
+                if j < i or (c % 4 == 0 and rng.random() < 0.05):
+                    edges.append((c, i, j))
+
+    def level(c, i, seen=()):
+        if i in seen:
+            return None
+        behind = [level(c, j, (*seen, i)) for j in refs.get((c, i), ())]
+        return None if None in behind else 1 + max(behind) if behind else 0
+
+    refs = {}
+    for c, i, j in edges:
+        refs.setdefault((c, i), []).append(j)
+    want = {(c, f"n{i}"): i if c == 9 else level(c, i) for c, i in nodes}
+    got = X.levels(spark.createDataFrame([(c, f"n{i}") for c, i in nodes], "conv_id long, id string"), spark.createDataFrame([(c, f"n{i}", f"n{j}") for c, i, j in edges], "conv_id long, id string, needs string"))
+    assert {(r.conv_id, r.id): r.level for r in got.collect()} == want
+
+
+def test_one_bad_call_does_no_harm(spark):
+    """Numbers out of range, lone surrogates, deep nesting and rows without a conversation."""
+    bad = [("a", "add", '{"a":1e999,"b":1}'), ("b", "say", '{"t":"\\ud800"}'), ("c", "say", '{"t":' * 50_000), ("d", "add", '{"a":' + "9" * 5000 + ',"b":1}'), ("e", "add", '{"a":-1e400,"b":[1e999]}')]
+    rows = [(1, 0, "assistant", None, bad, None, 0), (None, 0, "assistant", None, [call("x"), call("y", t={"$ref": "x"})], None, 0), (None, 1, "tool", "out", None, "x", 0)]
+    got = _run(spark, rows)
+    assert {r.id: r.fault for r in got if r.conv_id == 1} == {"a": "number out of range", "b": "lone surrogate", "c": "not JSON", "d": "not JSON", "e": "number out of range"}
+    assert sorted((r.id, r.status, r.level) for r in got if r.conv_id is None) == [("x", "no_result", 0), ("x", "orphan_result", None), ("y", "no_result", 0)]
+    assert json.loads(next(r.json for r in got if r.id == "a"))["arguments"] == bad[0][2]
