@@ -25,7 +25,7 @@ from .common import in_fold, only, spool, table, unused, whole_text
 #: Labelled rows that the word weights and the curve are fitted on, at most (the smallest by a hash of their id).
 SAMPLE = 8_192
 #: Texts of the usual mix that every word is taken to have been in besides, so rare words say little.
-PRIOR = 1.5
+PRIOR = 2.0
 #: Log-odds beyond which a word says much. Such words are looked for in spaced-out and cut words too; their list is
 #: broadcast, so it has a bound (the weightiest), beyond which words still count by their bucket.
 STRONG, LISTED = 2.5, 65_536
@@ -54,6 +54,10 @@ SYMBOLS = 28
 _EDGES = BETWEEN + HIDES + "!?;\"()[]{}<>|&+«»¿¡…–—"
 _ODD = re.compile(r"[^a-z\x80-\U0010FFFF]|(.)\1\1", re.S)
 _RUN = re.compile(r"(.)\1+", re.S)
+_SIGNS = re.compile(f"[{re.escape(''.join(READINGS) + HIDES)}]")
+_LETTER, _NO_LETTER = re.compile("[a-z]"), re.compile(r"[^a-z\x80-\U0010FFFF]")
+_FIRST, _LAST = re.compile("^[a-z]*"), re.compile("[a-z]*$")
+_DOUBLE = re.compile(r"(.)\1", re.S)
 _LONG_RUN = re.compile(r"(.)\1{2,}", re.S)
 
 
@@ -129,9 +133,12 @@ def squeeze(word: str) -> str:
 
 
 def restored(token: str, model: list[list[float]]) -> str:
-    """squeeze(restore(token)); letters alone need no decoding, which could only merge what squeezing merges too."""
+    """squeeze(restore(token)). Where no character can be read as another one, the best path just drops what is no letter,
+    and merges at most what squeezing merges too."""
     core = token.strip(_EDGES)
-    return squeeze(core if core.isalpha() else restore(token, model))
+    if core.isalpha() or not _LETTER.search(core):
+        return squeeze(core)
+    return squeeze(restore(token, model) if _SIGNS.search(core) else _NO_LETTER.sub("", core))
 
 
 def signs_read(token: str, model: list[list[float]]) -> str:
@@ -304,45 +311,66 @@ class Reader:
     """Reads the texts of a task: numbers its tokens and words, so that a text's evidence is sums over arrays."""
 
     def __init__(self, classifier: Classifier, model: list[list[float]]):
-        self.classifier, self.model, self.listed = classifier, model, classifier.listed
-        self.starts = {w[:k] for w in self.listed for k in range(1, len(w) + 1)}
+        self.model, self.listed, self.table = model, classifier.listed, classifier.table.tolist()
+        self.starts = {w[:k] for w in self.listed for k in range(len(w) + 1)}
+        self.ends = {w[k:] for w in self.listed for k in range(len(w) + 1)}
         self.any_listed = re.compile("|".join(sorted(map(re.escape, self.listed), key=len, reverse=True))) if self.listed else None
         self.forget()
 
     def forget(self) -> None:
         self.tokens: dict[bytes, int] = {}
+        self.joined: dict[bytes, str] = {}
         self.words: dict[str, int] = {"": 0}
-        self.word, self.kind, self.weight = np.zeros(1024, np.int64), np.zeros(1024, np.int8), np.zeros(1024)
+        self.names = [""]
+        self.word, self.kind, self.plain, self.weight = np.zeros(1024, np.int64), np.zeros(1024, np.int8), np.zeros(1024, bool), np.zeros(1024)
 
     def meant(self, text: str) -> str:
         """The word behind a token; one of signs alone is read as a word only if that word is listed."""
+        core = text.strip(_EDGES)
+        if core.isalpha():
+            return _RUN.sub(r"\1", core) if _DOUBLE.search(core) else core
+        if _LETTER.search(core):
+            return restored(text, self.model)
         word = signs_read(text, self.model)
-        return word if word in self.listed else restored(text, self.model)
-
-    def number(self, token: bytes) -> None:
-        """Number a new token. Kinds: 0 plain, 1 a listed word, 2 one character, 3 the start of a listed word."""
-        text = token.decode()
-        word = self.meant(text)
-        if word not in self.words:
-            n = self.words[word] = len(self.words)
-            if n == len(self.weight):
-                self.weight = np.append(self.weight, np.zeros(n))
-            self.weight[n] = self.classifier.weight(word)
-        n = self.tokens[token] = len(self.tokens)
-        if n == len(self.word):
-            self.word, self.kind = np.append(self.word, np.zeros(n, np.int64)), np.append(self.kind, np.zeros(n, np.int8))
-        self.word[n] = self.words[word]
-        self.kind[n] = 1 if word in self.listed else 2 if len(text) == 1 else 3 if word in self.starts else 0
+        return word if word in self.listed else squeeze(core)
+
+    def number(self, tokens: set[bytes]) -> None:
+        """Number new tokens. Kinds: 0 plain, 1 a listed word, 2 one character, 3 the start of a listed word."""
+        first_token, first_word = len(self.tokens), len(self.names)
+        word, kind, plain, weight = [], [], [], []
+        for token in tokens:
+            text = token.decode()
+            if letters := token.isalpha():
+                name = _RUN.sub(r"\1", text) if _DOUBLE.search(text) else text
+            else:
+                name = self.meant(text)
+            at = self.words.get(name)
+            if at is None:
+                at = self.words[name] = len(self.names)
+                self.names.append(name)
+                own = self.listed.get(name)
+                weight.append(self.table[zlib.crc32(name.encode()) % BUCKETS] if own is None else own)
+            self.tokens[token] = len(self.tokens)
+            word.append(at)
+            kind.append(1 if name in self.listed else 2 if len(text) == 1 else 3 if name and name in self.starts else 0)
+            plain.append(letters)
+        while len(self.word) < len(self.tokens):
+            more = len(self.word)
+            self.word, self.kind, self.plain = (np.append(x, np.zeros(more, x.dtype)) for x in (self.word, self.kind, self.plain))
+        while len(self.weight) < len(self.names):
+            self.weight = np.append(self.weight, np.zeros(len(self.weight)))
+        new = slice(first_token, len(self.tokens))
+        self.word[new], self.kind[new], self.plain[new] = word, kind, plain
+        self.weight[first_word : len(self.names)] = weight
 
     def evidence(self, text: bytes) -> tuple[float, float]:
         """(weights beyond STRONG summed, mean weight) over the distinct words of a text and the listed words pieced together in it."""
         tokens = text.lower().split()
-        if len(self.tokens) > HELD:
+        if len(self.tokens) > HELD or len(self.joined) > HELD:
             self.forget()
-        known, number = self.tokens, self.number
-        for t in set(tokens).difference(known):
-            number(t)
-        ids = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+        if new := set(tokens).difference(self.tokens):
+            self.number(new)
+        ids = np.fromiter(map(self.tokens.__getitem__, tokens), np.int64, len(tokens))
         mine = np.unique(self.word[ids])
         mine = mine[mine > 0]
         own = self.weight[mine]
@@ -350,12 +378,12 @@ class Reader:
         kinds = self.kind[ids]
         if self.listed and (kinds >= 2).any():
             have = set(mine.tolist())
-            for w in sorted(self.pieced(tokens, kinds)):
+            for w in sorted(self.pieced(tokens, ids, kinds)):
                 if self.words.get(w, -1) not in have:
                     strong, total, n = strong + self.listed[w] - STRONG, total + self.listed[w], n + 1
         return float(strong), float(total / (n + SHORT))
 
-    def pieced(self, tokens: list[bytes], kinds: np.ndarray) -> set[str]:
+    def pieced(self, tokens: list[bytes], ids: np.ndarray, kinds: np.ndarray) -> set[str]:
         """Listed words that were spaced out or cut in two."""
         words: set[str] = set()
         one = kinds == 2
@@ -368,8 +396,27 @@ class Reader:
                 words.update(self.any_listed.findall(squeeze(restore(run, self.model))))
                 if (word := signs_read(run, self.model)) in self.listed:
                     words.add(word)
-        for i in np.flatnonzero((kinds[:-1] >= 2) & (kinds[1:] != 1)):
-            if (joined := self.meant((tokens[i] + tokens[i + 1]).decode())) in self.listed:
+        both = (kinds[:-1] >= 2) & (kinds[1:] != 1)
+        letters = self.plain[ids]
+        easy = letters[:-1] & letters[1:]
+        # Two tokens of letters alone are read as their squeezed words, joined; each distinct pair is looked at once.
+        at = np.flatnonzero(both & easy)
+        if len(at):
+            pair = np.unique((self.word[ids[at]] << 32) | self.word[ids[at + 1]])
+            for a, b in zip((pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist(), strict=True):
+                a, b = self.names[a], self.names[b]
+                if (joined := a + b[1:] if a[-1] == b[0] else a + b) in self.listed:
+                    words.add(joined)
+        for i in np.flatnonzero(both & ~easy).tolist():
+            pair = tokens[i] + tokens[i + 1]
+            joined = self.joined.get(pair)
+            if joined is None:
+                text = pair.decode()
+                core = text.strip(_EDGES)
+                # Letters are read as themselves, so what is read begins and ends like the token.
+                like = squeeze(_FIRST.search(core)[0]) in self.starts and squeeze(_LAST.search(core)[0]) in self.ends
+                joined = self.joined[pair] = self.meant(text) if like else ""
+            if joined in self.listed:
                 words.add(joined)
         return words
 

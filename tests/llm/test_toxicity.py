@@ -218,3 +218,8 @@ def test_clashing_name(spark):
     docs = docs.withColumn("__toxic", F.lit(0.25))
     kept = X.keep_clean(docs, labels)
     assert kept.columns == docs.columns and {r["__toxic"] for r in kept.collect()} == {0.25}
+
+
+def test_reading_without_signs_needs_no_decoding(model):
+    for token in ["it's", "i.d.i.o.t", "id--iot,", "a;b?c", "mo ron".replace(" ", "\u00e9-"), "aa-aab", "x_", "3.14", "...", "", "\u00a3", "a\u20acb", "l0ser!!", "id*ot", "a'b\u00fcrr", "--q--"]:
+        assert X.restored(token, model) == X.squeeze(X.restore(token, model)), token
