@@ -93,49 +93,50 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def borders(model: Model, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A long text's symbols in blocks [blocks, BLOCK] (-1 behind the end), and the recursion at their borders.
+def borders(model: Model, sequences: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Long sequences in blocks of BLOCK symbols, and the recursion at their borders.
 
-    Returns the blocks, the forward values before each block (zeros before the first) and the backward values behind
-    each, of any scale. A block is a product of matrices, one for each token; the products of all blocks grow side by side.
+    Returns the blocks, sequence after sequence, the forward values before each (zeros before the first of a sequence) and
+    the backward values behind each, of any scale. A block is a product of matrices, one for each symbol; the products of
+    all blocks grow side by side, and only their borders are walked one after another.
     """
-    k, n = len(model.start), -(-len(symbols) // BLOCK)
-    cut = np.full(n * BLOCK, -1, np.int64)
-    cut[: len(symbols)] = symbols
-    cut = cut.reshape(n, BLOCK)
-    emit = np.vstack([model.emit.T, np.ones(k)])  # the last row stands for -1
-    product = np.eye(k)[None] * emit[cut[:, 0]][:, None, :]
-    for t in range(1, BLOCK):
-        on = cut[:, t] >= 0
-        product[on] = (product[on] @ model.move) * emit[cut[on, t]][:, None, :]
-        product /= product.sum((1, 2), keepdims=True)
-    before, behind = np.zeros((n, k)), np.ones((n, k))
-    now = model.start @ product[0]
-    for i in range(1, n):
-        before[i] = now / now.sum()
-        now = before[i] @ model.move @ product[i]
-    for i in range(n - 2, -1, -1):
-        behind[i] = model.move @ (product[i + 1] @ behind[i + 1])
-        behind[i] /= behind[i].sum()
-    return cut, before, behind
+    k = len(model.start)
+    blocks = [s[i : i + BLOCK] for s in sequences for i in range(0, len(s), BLOCK)]
+    flat, order, active = _by_step(blocks)
+    emit, product = np.ascontiguousarray(model.emit.T), np.tile(np.eye(k), (len(blocks), 1, 1))
+    at = 0
+    for t, n in enumerate(active):
+        now = product[:n]
+        if t:
+            now = (now.reshape(-1, k) @ model.move).reshape(n, k, k)
+        product[:n] = now * emit[flat[at : at + n]][:, None, :]
+        at += n
+        if t % 16 == 15:
+            product[:n] /= product[:n].sum((1, 2), keepdims=True)
+    products = np.empty_like(product)
+    products[order] = product
+    before, behind = np.zeros((len(blocks), k)), np.ones((len(blocks), k))
+    at = 0
+    for s in sequences:
+        n = -(-len(s) // BLOCK)
+        now = model.start @ products[at]
+        for i in range(at + 1, at + n):
+            before[i] = now / now.sum()
+            now = before[i] @ model.move @ products[i]
+        for i in range(at + n - 2, at - 1, -1):
+            behind[i] = model.move @ (products[i + 1] @ behind[i + 1])
+            behind[i] /= behind[i].sum()
+        at += n
+    return blocks, before, behind
 
 
 def expected(model: Model, sequences: list[np.ndarray]) -> Model:
     """Expected counts of starts, moves and emissions over the (non-empty) sequences."""
     k = len(model.start)
-    parts, before, behind = [], [], []
-    for s in sequences:
-        if len(s) <= BLOCK:
-            parts.append(s)
-            before.append(np.zeros((1, k)))
-            behind.append(np.ones((1, k)))
-        else:
-            cut, lead, rest = borders(model, s)
-            parts += [c[c >= 0] for c in cut]
-            before.append(lead)
-            behind.append(rest)
-    flat, order, active = _by_step(parts)
-    before, behind = np.concatenate(before)[order], np.concatenate(behind)[order]
+    short = [s for s in sequences if len(s) <= BLOCK]
+    blocks, before, behind = borders(model, long) if (long := [s for s in sequences if len(s) > BLOCK]) else ([], np.zeros((0, k)), np.ones((0, k)))
+    flat, order, active = _by_step(short + blocks)
+    before, behind = np.vstack([np.zeros((len(short), k)), before])[order], np.vstack([np.ones((len(short), k)), behind])[order]
     opens = ~before.any(1)  # parts that begin a sequence; the others follow the block before them
     move, emit = model.move, np.ascontiguousarray(model.emit.T)
     back_move, one = np.ascontiguousarray(move.T), np.ones((k, 1))
@@ -165,17 +166,18 @@ def expected(model: Model, sequences: list[np.ndarray]) -> Model:
     return Model(weight[: active[0]][opens].sum(0), moves * model.move, emitted)
 
 
-def _runs(sequences: Iterator[np.ndarray], tokens: int) -> Iterator[list[np.ndarray]]:
-    """Sequences in lists of about so many tokens."""
-    held, size = [], 0
+def _runs(sequences: Iterator[np.ndarray], tokens: int, apart: int | None = None) -> Iterator[list[np.ndarray]]:
+    """Sequences in lists of about so many tokens; those longer than `apart` in lists of their own, in their order otherwise."""
+    held, size = ([], []), [0, 0]
     for s in sequences:
-        held.append(s)
-        size += len(s)
-        if size >= tokens:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        kind = int(apart is not None and len(s) > apart)
+        held[kind].append(s)
+        size[kind] += len(s)
+        if size[kind] >= tokens:
+            yield held[kind][:]
+            held[kind].clear()
+            size[kind] = 0
+    yield from (h for h in held if h)
 
 
 def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -255,7 +257,7 @@ def baum_welch(texts: DataFrame, model: Model, steps: int = STEPS, smooth: float
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros(k + k * k + k * width)
             texts = (np.frombuffer(t.as_py(), np.uint16) for b in batches for t in b.column(0))
-            for some in _runs(texts, TOKENS):
+            for some in _runs(texts, TOKENS, BLOCK):
                 part = expected(shared.value, some)
                 total += np.concatenate([part.start, part.move.ravel(), part.emit.ravel()])
             at = np.flatnonzero(total)
