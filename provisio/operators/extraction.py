@@ -34,11 +34,17 @@ def term_rank(term: Column) -> Column:
     return out.otherwise(len(PRIORITY) + 50)
 
 
+def _first_of_key(names: Column) -> Column:
+    """Names with a key, the first of each key."""
+    keys = F.transform(names, term_key)
+    return F.filter(names, lambda x, i: (term_key(x) != "") & (F.array_position(keys, term_key(x)) == i + 1))
+
+
 def definitions(rows: DataFrame, id_col: str, text: str, limit: int = 4) -> DataFrame:
-    """id, ord, term, rank of the defined terms of each text, the first `limit` by rank, then place; equal names joined by " / "."""
+    """id, ord, term, rank of the defined terms of each text, the first `limit` by rank, then place; names joined by " / ", of those with one term_key() the first."""
     found = rows.filter(is_definition(F.col(text))).select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(text, F.lit(ENTRY), F.lit(1))).alias("ord", "entry"))
     names = F.transform(F.regexp_extract_all("entry", F.lit(QUOTED), F.lit(1)), lambda x: F.trim(x))
-    cut = found.select("id", "ord", F.array_join(F.array_distinct(F.filter(names, lambda x: x != "")), " / ").alias("term")).withColumn("rank", term_rank(F.col("term")))
+    cut = found.select("id", "ord", F.array_join(_first_of_key(names), " / ").alias("term")).withColumn("rank", term_rank(F.col("term")))
     best = cut.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "ord", "term"))), 1, limit).alias("best"))
     return best.select("id", F.inline("best")).select("id", "ord", "term", "rank")
 

@@ -21,10 +21,12 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0
     """(query_id, item_id, score, rank): the k items of highest cosine at or above the threshold for each query.
 
     queries, items: id, vector. Both sides are cut into blocks; every pair of blocks is one matrix product, which hands on
-    k rows a query at most. Ties go to the smaller item id; a vector of zeros scores 0, the longer vector of a pair is cut to the shorter.
+    k rows a query at most. Ties go to the smaller item id. Products run over the common length of a pair, norms over each
+    whole vector; a vector of zeros or without values scores 0, a null one matches nothing.
     """
 
     def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        df = df.filter("vector IS NOT NULL")
         n = max(1, -(-df.count() // block))
         cut = df.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name))
         return cut.groupBy(name).agg(F.collect_list(F.struct("id", "vector")).alias(f"{name}_rows")), n
@@ -40,19 +42,12 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0
         def padded(vectors: list[np.ndarray], width: int) -> np.ndarray:
             return np.array([np.pad(v, (0, width - len(v))) for v in vectors])
 
-        def cut_norms(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-            found = np.empty((len(rows), len(lengths)))
-            for n in np.unique(lengths):
-                found[:, lengths == n] = np.linalg.norm(rows[:, :n], axis=1)[:, None]
-            return found
-
         for frame in batches:
             for q_rows, i_rows in zip(frame["q_rows"], frame["i_rows"], strict=True):
                 (q_ids, q), (i_ids, i) = matrix(q_rows), matrix(i_rows)
-                long_q, long_i = np.array(list(map(len, q))), np.array(list(map(len, i)))
-                width = max(long_q.max(), long_i.max())
+                width = max(map(len, [*q, *i]))
                 a, b = padded(q, width), padded(i, width)
-                norms = cut_norms(a, long_i) * cut_norms(b, long_q).T
+                norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
                 found = np.round(np.divide(a @ b.T, norms, out=np.zeros((len(a), len(b))), where=norms > 0), 6)
                 for at, own in enumerate(found):
                     good = np.flatnonzero(own >= threshold)

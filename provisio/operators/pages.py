@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SKIPPED, KEPT = {"nav", "script", "style", "header", "footer"}, {"p", "li", "h2", "h3"}
+SKIPPED, KEPT = {"nav", "aside", "script", "style", "header", "footer"}, {"p", "li", "h2", "h3"}
 
 
 class _Lines(HTMLParser):

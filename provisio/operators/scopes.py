@@ -10,38 +10,44 @@ FIELDS = [("proposition_text", "direct", "high"), ("legal_subject", "direct", "h
 
 
 def closure(tree: DataFrame, node: str, parent: str) -> DataFrame:
-    """(ancestor, descendant, depth) of a tree, each node with itself at depth 0; steps number the depth of the tree."""
+    """(ancestor, descendant, depth) of a tree, each node with itself at depth 0; steps number the depth of the tree.
+
+    A pair found before is not walked again, so a cycle ends; its pairs have their least depth.
+    """
     edges = tree.select(F.col(node).alias("n"), F.col(parent).alias("p")).filter("p IS NOT NULL")
     level = tree.select(F.col(node).alias("ancestor"), F.col(node).alias("descendant"), F.lit(0).alias("depth"))
     found = level
     while True:
         level = level.join(edges, F.col("descendant") == F.col("p")).select("ancestor", F.col("n").alias("descendant"), (F.col("depth") + 1).alias("depth"))
+        level = level.join(found.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti").distinct()
         if not level.take(1):
             return found
         found = found.unionByName(level)
 
 
-def _holds(text: Column, term: Column) -> Column:
-    """Whether the lower-case text holds the term between word bounds, in the singular or plural."""
-    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
-    return F.contains(padded, F.concat(F.lit(" "), term, F.lit(" "))) | F.contains(padded, F.concat(F.lit(" "), term, F.lit("s ")))
+def _grams(text: Column, longest: int) -> Column:
+    """The distinct runs of one to `longest` lower-case words of the text."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*(F.when(F.size(words) >= n, runs(n)).otherwise(none) for n in range(1, longest + 1))))
 
 
 def link_scopes(props: DataFrame, scopes: DataFrame) -> DataFrame:
     """The strongest evidence of each scope in each proposition: id, scope_id, relevance, confidence, field, term.
 
-    scopes: scope_id, terms (lower-case words). The taxonomy is small by nature; propositions are read once, against
-    all of its terms.
+    scopes: scope_id, terms (lower-case words). A field holds a term if its words stand there in the singular or
+    plural. Runs of words of each field, as long as the longest term, meet the terms in a hash join, so each
+    field is normalised once, however many terms there are. Null fields and terms hold nothing.
     """
     terms = scopes.select("scope_id", F.explode("terms").alias("term"))
+    longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    forms = terms.select("scope_id", "term", F.explode(F.array("term", F.concat("term", F.lit("s")))).alias("gram")).distinct()
     have = [c for c in FIELDS if c[0] in props.columns]
-    hits = props.select("id", *(F.col(c[0]).alias(f"f_{c[0]}") for c in have)).join(F.broadcast(terms))
-    rank = F.lit(None).cast("int")
-    for place in range(len(have) - 1, -1, -1):
-        text = F.col(f"f_{have[place][0]}")
-        text = F.array_join(text, " ") if props.schema[have[place][0]].dataType.typeName() == "array" else text
-        rank = F.when(_holds(text, F.col("term")), place).otherwise(rank)
-    best = hits.withColumn("rank", rank).filter("rank IS NOT NULL").groupBy("id", "scope_id").agg(F.min(F.struct(F.col("rank"), (-F.length("term")).alias("l"), F.col("term"))).alias("b"))
+    text = lambda c: F.array_join(c, " ") if props.schema[c].dataType.typeName() == "array" else F.col(c)
+    fields = props.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("rank"), _grams(text(c[0]), longest).alias("grams")) for k, c in enumerate(have)))).alias("f"))
+    hits = fields.select("id", F.col("f.rank").alias("rank"), F.explode("f.grams").alias("gram")).join(forms, "gram")
+    best = hits.groupBy("id", "scope_id").agg(F.min(F.struct(F.col("rank"), (-F.length("term")).alias("l"), F.col("term"))).alias("b"))
     pick = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in have)), F.col("b.rank") + 1)
     return best.select("id", "scope_id", pick(1).alias("relevance"), pick(2).alias("confidence"), pick(0).alias("field"), F.col("b.term").alias("term"))
 

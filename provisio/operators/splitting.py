@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -40,26 +41,99 @@ def heading_split(df: DataFrame, text: str, locator: str, kind: str = "Article")
     return cut.withColumns({"fragment_locator": place, "fragment_text": F.trim("__piece")}).drop("__parts", "__piece")
 
 
+def cut_hard(text: str, size: int, overlap: int) -> list[str]:
+    """Windows of `size` characters that share `overlap`, as hard_split() gives them."""
+    step = max(256, size - overlap) if size > overlap else size
+    return [text[at : at + size] for at in range(0, len(text), step)] if len(text) > size else [text]
+
+
 def paragraph_chunks(text: str, size: int, overlap: int) -> list[str]:
-    """Paragraphs packed greedily into chunks of `size` characters; a chunk starts with the last `overlap` ones of the
-    chunk before, and a paragraph above the size is cut hard."""
-    chunks, held = [], ""
-    for para in (p.strip() for p in text.replace("\r\n", "\n").split("\n\n")):
-        if not para:
-            continue
-        if held and len(held) + 2 + len(para) > size:
-            chunks.append(held)
-            held = held[-overlap:] if overlap > 0 else ""
-            if len(held) + 2 + len(para) > size:
-                held = ""
-        while len(para) > size:
-            if held:
-                chunks.append(held)
-                held = ""
-            chunks.append(para[:size])
-            para = para[max(1, size - overlap) :]
-        held = f"{held}\n\n{para}" if held else para
-    return [*chunks, held] if held else chunks
+    """Paragraphs packed greedily into chunks of `size` characters; the next chunk opens with the last `overlap` ones of the
+    chunk before, in addition to its size if need be. A paragraph above the size stands alone, cut hard; the tail of
+    what came before it then opens what follows it. Time is linear in the text."""
+    chunks: list[str] = []
+    held: list[str] = []
+
+    def close() -> None:
+        if held:
+            chunks.append("\n\n".join(held))
+            tail = chunks[-1][-overlap:].strip() if 0 < overlap < len(chunks[-1]) else ""
+            held[:] = [tail] if tail else []
+
+    width = 0
+    for para in filter(None, (p.strip() for p in text.replace("\r\n", "\n").split("\n\n"))):
+        if len(para) > size:
+            close()
+            chunks += cut_hard(para, size, overlap)
+        else:
+            if held and width + 2 + len(para) > size:
+                close()
+            held.append(para)
+        width = sum(map(len, held)) + 2 * len(held) - 2 if len(held) < 3 else width + 2 + len(para)
+    close()
+    return chunks
+
+
+def _from_headings(text: Column, kind: str) -> Column:
+    """What begins at each line of the kind and a number, in order; what stands before the first one is left out."""
+    return F.filter(F.split(text, rf"(?im)^(?={kind}\s+\d)"), lambda p: p.rlike(rf"(?i)^{kind}\s+\d+"))
+
+
+def plan_slices(df: DataFrame, id_col: str, text: str, locator: str, size: int, overlap: int = 0) -> DataFrame:
+    """id, ord, locator, piece, strategy: each text cut at <article> tags, else at Article lines, else at Section lines.
+
+    At least two cuts are needed, else the text is one piece at its own locator (document:full for a placeholder). What
+    is longer than `size` (2,048 at least) is packed by paragraphs and gets |chunk:000 and so on. Null and blank texts give no rows.
+    """
+    size, overlap = max(2048, size), max(0, overlap)
+    body = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\r\n"))
+    own = F.when(T.is_placeholder(F.col(locator)), "document:full").otherwise(F.trim(locator))
+    tags = F.filter(F.split(body, r"(?i)(?=<[\w:-]*article\b[^>]*>)"), lambda p: F.trim(p) != "")
+    number = lambda p: F.regexp_extract(F.left(p, F.lit(240)), r"(?i)(?:n|\bnum|\bnumber)\s*=\s*[\"'](\d+)[\"']", 1)
+    piece = lambda p, loc, how: F.struct(loc.alias("loc"), F.btrim(p, F.lit(" \t\r\n")).alias("piece"), F.lit(how).alias("how"))
+    xml = F.transform(tags, lambda p, i: piece(p, F.concat(F.lit("article:"), F.coalesce(F.nullif(number(p), F.lit("")), (i + 1).cast("string"))), "article_xml"))
+    articles = F.transform(_from_headings(body, "Article"), lambda p: piece(p, F.concat(F.lit("article:"), F.regexp_extract(p, r"(?i)^Article\s+(\d+[a-z]?)", 1)), "article_plain"))
+    sections = F.transform(_from_headings(body, "Section"), lambda p: piece(p, F.concat(F.lit("section:"), F.regexp_extract(p, r"(?i)^Section\s+(\d+[.:]?)", 1)), "section_plain"))
+    cut = F.when(F.lower(body).contains("<article") & (F.size(xml) >= 2), xml).when(F.size(articles) >= 2, articles).when(F.size(sections) >= 2, sections).otherwise(F.array(piece(body, own, "monolith")))
+    rows = df.filter(body != "").select(F.col(id_col).alias("id"), F.posexplode(cut).alias("part", "s")).select("id", "part", "s.*").filter("piece <> ''")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for i, part, loc, whole, how in frame.itertuples(index=False):
+                sub = [whole] if len(whole) <= size else paragraph_chunks(whole, size, overlap)
+                one = len(sub) == 1
+                for k, c in enumerate(sub):
+                    out.append((i, part, k, loc if one else f"{loc}|chunk:{k:03d}", c.strip(), how if len(whole) <= size else how + ("|bounded" if one else "|chunk")))
+            yield pd.DataFrame(out, columns=["id", "part", "nth", "locator", "piece", "strategy"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInPandas(run, f"id {kind}, part int, nth int, locator string, piece string, strategy string")
+
+
+def split_list_items(text: Column) -> Column:
+    """The items of a text whose lines open with list marks, with what stands before them; the text itself without two."""
+    body = F.btrim(text, F.lit(" \t\r\n"))
+    items = F.filter(F.transform(F.split(body, r"(?im)^(?=(?:\(\w+\)|\[\w+\]|[a-z]\)|\d+\))\s+)"), lambda p: F.btrim(p, F.lit(" \t\r\n"))), lambda p: p != "")
+    return F.when(body == "", F.array().cast("array<string>")).when(F.size(items) >= 2, items).otherwise(F.array(body))
+
+
+def expand_fragments(fragments: DataFrame, size: int, overlap: int = 0, large: int = 8000) -> DataFrame:
+    """fragments (id, source_record_id, locator, fragment_text) with the oversized ones replaced by their slices.
+
+    A fragment is cut if its text is longer than `size`, or stands at a placeholder, has `large` characters and several
+    articles or sections. Slices get ids frag-<source>-001 and so on, and parent_id names the fragment they come from;
+    fragments that stay have a null parent_id and the strategy null.
+    """
+    body = F.btrim(F.coalesce("fragment_text", F.lit("")), F.lit(" \t\r\n"))
+    many = (F.size(F.split(body, r"(?i)(?=<[\w:-]*article\b[^>]*>)")) >= 2) | (F.size(_from_headings(body, "Article")) >= 2) | (F.size(_from_headings(body, "Section")) >= 2)
+    marked = fragments.select("id", "source_record_id", "locator", "fragment_text", ((F.length(body) > size) | (T.is_placeholder(F.col("locator")) & (F.length(body) >= large) & many)).alias("cut"))
+    sliced = plan_slices(marked.filter("cut"), "id", "fragment_text", "locator", size, overlap).withColumnRenamed("id", "parent_id")
+    nth = F.row_number().over(W.partitionBy("parent_id").orderBy("part", "nth")).cast("string")
+    named = sliced.join(marked.select(F.col("id").alias("parent_id"), "source_record_id"), "parent_id")
+    fid = F.concat(F.lit("frag-"), T.slug(F.col("source_record_id")), F.lit("-"), F.when(F.length(nth) < 3, F.lpad(nth, 3, "0")).otherwise(nth))
+    stay = marked.filter("NOT cut").select("id", F.lit(None).cast(marked.schema["id"].dataType).alias("parent_id"), "source_record_id", "locator", "fragment_text", F.lit(None).cast("string").alias("strategy"))
+    return stay.unionByName(named.select(fid.alias("id"), "parent_id", "source_record_id", "locator", F.col("piece").alias("fragment_text"), "strategy"))
 
 
 def paragraph_overlap(df: DataFrame, id_col: str, text: str, size: int, overlap: int) -> DataFrame:

@@ -69,6 +69,26 @@ def paragraph_overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("id", "part", F.length("piece").alias("chars"))
 
 
+def slice_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruments made of part names, and documents as one-piece instruments, cut at their articles and to size."""
+    rows = spark.sql(f"SELECT p_partkey AS id, {_INSTRUMENT} AS body, CASE WHEN p_partkey % 2 = 0 THEN 'full' ELSE 'act:' || CAST(p_partkey AS STRING) END AS locator FROM {{part}}", part=_table(spark, sf_dir, "part"))
+    return X.plan_slices(rows, "id", "body", "locator", 4096, 512).drop("nth")
+
+
+SLICE_SQL = """
+WITH p AS (SELECT p_partkey AS id, p_partkey % 3 = 0 AS one, CASE WHEN p_partkey % 2 = 0 THEN 'document:full' ELSE 'act:' || p_partkey END AS base, p_name, p_type, p_size FROM part),
+b AS (SELECT *, 'Preamble of ' || p_name || chr(10) || 'Article 1' || chr(10) || 'The operator must keep ' || p_type || '.' AS head, 'Article 2a Scope' || chr(10) || 'It applies to size ' || p_size || '.' AS rest FROM p)
+SELECT id, 0 AS part, CASE WHEN one THEN base ELSE 'article:1' END AS locator, CASE WHEN one THEN head ELSE substr(head, instr(head, 'Article 1')) END AS piece, CASE WHEN one THEN 'monolith' ELSE 'article_plain' END AS strategy FROM b
+UNION ALL SELECT id, 1, 'article:2a', rest, 'article_plain' FROM b WHERE NOT one
+"""
+
+
+def fragment_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as fragments; those above 4,096 characters become slices that name their parent."""
+    rows = _table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("source_record_id"), F.lit("full").alias("locator"), F.col("text").alias("fragment_text"))
+    return X.expand_fragments(rows, 4096).select("id", "parent_id", "locator", "strategy", F.length("fragment_text").alias("chars"))
+
+
 LIST = "1. The record shall hold:\n(a) the name;\n(b) for horses:\n(i) the code;\n(ii) the mark;\n(c) the date."
 
 
@@ -341,6 +361,8 @@ QUERIES = {
     "token_budget_cost": (token_budget_cost, BUDGET_SQL),
     "heading_split": (heading_split, HEADING_SQL),
     "paragraph_overlap_chunks": (paragraph_overlap_chunks, None),
+    "slice_plan": (slice_plan, SLICE_SQL),
+    "fragment_expansion": (fragment_expansion, None),
     "structured_list_drafts": (structured_list_drafts, LIST_SQL),
     "content_hash_reuse": (content_hash_reuse, REUSE_SQL),
     "shared_hash_lint": (shared_hash_lint, SHARED_SQL),

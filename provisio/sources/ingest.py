@@ -106,22 +106,21 @@ def _provisions(xml: str) -> list[tuple[int, str, str]]:
     found, seen = [], set()
     local = lambda tag: tag.rpartition("}")[2]
 
-    def walk(node: ElementTree.Element) -> None:
+    try:
+        waiting = [ElementTree.fromstring(xml)]
+    except ElementTree.ParseError:
+        return []
+    while waiting:  # in document order, to any depth
+        node = waiting.pop()
         if local(node.tag) in SKIPPED:
-            return
+            continue
         place = node.get("id") or node.get("eId") or node.get("DocumentURI")
         if local(node.tag) in PROVISIONS and place and place not in seen:
             text = " ".join("".join(node.itertext()).split())
             if text:
                 seen.add(place)
                 found.append((len(found), f"xml:{place}", text))
-        for child in node:
-            walk(child)
-
-    try:
-        walk(ElementTree.fromstring(xml))
-    except ElementTree.ParseError:
-        return []
+        waiting.extend(reversed(node))
     return found
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -102,17 +103,63 @@ def test_all_rules_run_on_an_empty_bundle(spark):
 
 def test_splitting():
     text = "\n\n".join(f"paragraph {i} " + "x" * (i * 7 % 40) for i in range(30))
-    for size, overlap in itertools.product((40, 90, 300), (0, 10)):
+    for size, overlap in itertools.product((60, 90, 300), (0, 10)):
         chunks = X.paragraph_chunks(text, size, overlap)
-        assert all(len(c) <= size for c in chunks)
+        assert all(len(c) <= size + (overlap + 2 if overlap else 0) for c in chunks)  # a tail may come on top
         assert all(f"paragraph {i}" in "\n".join(chunks) for i in range(30))
-    assert X.paragraph_chunks("", 10, 2) == []
+    assert X.paragraph_chunks("", 10, 2) == [] and X.paragraph_chunks("a\r\n\r\nb\n\n\n\nc", 10, 0) == ["a\n\nb\n\nc"]
+    assert X.paragraph_chunks("aaaa bbbb\n\ncccc dddd\n\nee", 16, 4) == ["aaaa bbbb", "bbbb\n\ncccc dddd", "dddd\n\nee"]
+    assert X.paragraph_chunks("short one\n\n" + "y" * 700 + "\n\nend", 300, 4) == ["short one", "y" * 300, "y" * 300, "y" * 108, "one\n\nend"]
+    assert X.paragraph_chunks("short one\n\n" + "y" * 301, 300, 3) == ["short one", "y" * 300, "y" * 4, "one"]
+    began = time.perf_counter()
+    assert len(X.paragraph_chunks("word " * 4_000_000, 2_000, 1_999)) > 70_000 and len(X.paragraph_chunks("ab\n\n" * 2_000_000, 2_000_000, 5)) == 5
+    assert time.perf_counter() - began < 30
     assert X.list_drafts("1. It shall hold:\n(a) x;\n(b) y.", "article:1") == [("article:1:list:1-a", "It shall hold x"), ("article:1:list:1-b", "It shall hold y.")]
     assert X.list_drafts("(a) only one", "l") == []
 
 
+def test_slice_plans(spark):
+    long = "\n\n".join(f"para {i} " + "z" * 900 for i in range(5))
+    rows = [
+        (1, "<doc><Article n='4'>One</Article><article>Two</article>", "document:full"), (2, "Intro\nArticle 1\nkeep\nARTICLE 2a Scope\nmove\n", "x"), (3, "Section 3: a\nb\nsection 4.\nc", ""),
+        (4, "Article 1 alone", " act:1 "), (5, long, "full"), (6, " \n", "x"), (7, None, "x"), (8, "Article 1\n" + long + "\nArticle 2\nshort", "x"),
+    ]
+    got = X.plan_slices(spark.createDataFrame(rows, "id long, body string, loc string"), "id", "body", "loc", 100, 0).orderBy("id", "part", "nth").collect()
+    by = {i: [(r.locator, r.piece, r.strategy) for r in got if r.id == i] for i in range(1, 9)}
+    assert by[1] == [("article:1", "<doc>", "article_xml"), ("article:4", "<Article n='4'>One</Article>", "article_xml"), ("article:3", "<article>Two</article>", "article_xml")]
+    assert by[2] == [("article:1", "Article 1\nkeep", "article_plain"), ("article:2a", "ARTICLE 2a Scope\nmove", "article_plain")]
+    assert by[3] == [("section:3:", "Section 3: a\nb", "section_plain"), ("section:4.", "section 4.\nc", "section_plain")]
+    assert by[4] == [("act:1", "Article 1 alone", "monolith")] and by[6] == by[7] == []
+    assert [(r[0], r[2]) for r in by[5]] == [(f"document:full|chunk:00{k}", "monolith|chunk") for k in range(3)]
+    assert [(r[0], r[2]) for r in by[8]] == [*((f"article:1|chunk:00{k}", "article_plain|chunk") for k in range(3)), ("article:2", "article_plain")]
+    items = lambda s: one(spark, X.split_list_items(F.col("s")), s=s)
+    assert items("intro:\n(a) x\n(ii) y\n3) z") == ["intro:", "(a) x", "(ii) y", "3) z"] and items(" one (a) two ") == ["one (a) two"] and items(" ") == []
+    parts = spark.createDataFrame([("f1", "Src A", "full", long), ("f2", "Src A", "article:1", "short")], "id string, source_record_id string, locator string, fragment_text string")
+    assert [(r.id, r.parent_id, r.locator) for r in X.expand_fragments(parts, 2048).orderBy("id").collect()] == [("f2", None, "article:1"), *((f"frag-src-a-00{k + 1}", "f1", f"document:full|chunk:00{k}") for k in range(3))]
+
+
+def test_deep_xml_cycles_and_definition_names(spark):
+    from provisio.operators import extraction as Y
+    from provisio.sources import ingest as I
+
+    deep = "<P1 id='p'>" * 1 + "<b>" * 20_000 + "must hold" + "</b>" * 20_000 + "</P1>"
+    got = I.legislation_provisions(spark.createDataFrame([(1, deep)], "id long, xml string"), "id", "xml").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "xml:p", "must hold")]
+    ring = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b")], "n string, p string")
+    assert {tuple(r) for r in S.closure(ring, "n", "p").collect()} == {(x, y, d) for x, y, d in (("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("b", "b", 0), ("b", "c", 1), ("b", "a", 2), ("c", "c", 0), ("c", "a", 1), ("c", "b", 2))}
+    text = "'Holding' or 'holding' or 'Keeper' means any place."
+    assert [r.term for r in Y.definitions(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect()] == ["Holding / Keeper"]
+
+
+def test_scope_links_meet_terms_of_many_words(spark):
+    props = spark.createDataFrame([(1, "The Official   Veterinarians act.", ["horse-box"]), (2, "unofficial veterinarian", None), (3, None, ["HORSES"])], "id long, proposition_text string, conditions array<string>")
+    scopes = spark.createDataFrame([("vet", ["official veterinarian", "official"]), ("equine", ["horse", "horse box"])], "scope_id string, terms array<string>")
+    got = {(r.id, r.scope_id): (r.field, r.term, r.confidence) for r in S.link_scopes(props, scopes).collect()}
+    assert got == {(1, "vet"): ("proposition_text", "official veterinarian", "high"), (1, "equine"): ("conditions", "horse box", "medium"), (3, "equine"): ("conditions", "horse", "medium")}
+
+
 def test_html_lines(spark):
-    html = "<nav><p>no</p></nav><script>var t='</p>';</script><p>before</p><h2 id='s1'>Head</h2><ul><li>One &amp; two</li><li> </li></ul><p>open"
+    html = "<nav><p>no</p></nav><aside><p>not this</p></aside><script>var t='</p>';</script><p>before</p><h2 id='s1'>Head</h2><ul><li>One &amp; two</li><li> </li></ul><p>open"
     got = [tuple(r) for r in G.html_lines(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).collect()]
     assert got == [(1, 0, "", "p", "before"), (1, 1, "s1", "h2", "Head"), (1, 2, "s1", "li", "One & two"), (1, 3, "s1", "p", "open")]
 
@@ -150,13 +197,12 @@ def test_case_files_runs_and_xml(spark, tmp_path):
 
 
 def test_top_k_of_ragged_vectors(spark):
-    """Each pair is cut to its own shorter vector; an empty or short one changes no other pair."""
+    """Products over the common length of a pair, norms over whole vectors; an empty, short or null one changes no other pair."""
     vectors = {1: [1.0, 2.0, 3.0, 4.0], 2: [4.0, -1.0, 3.0, 4.0], 3: [1.0], 4: [], 5: [3.0, 2.0, -3.0]}
-    df = spark.createDataFrame(list(vectors.items()), "id long, vector array<double>")
+    df = spark.createDataFrame([*vectors.items(), (9, None)], "id long, vector array<double>")
 
     def cosine(a, b):
-        n = min(len(a), len(b))
-        norm = (sum(x * x for x in a[:n]) * sum(x * x for x in b[:n])) ** 0.5
+        norm = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
         return round(sum(x * y for x, y in zip(a, b, strict=False)) / norm, 6) if norm else 0.0
 
     got = {(r.query_id, r.item_id): r.score for r in M.top_k(df, df, 5, -1.0).collect()}
