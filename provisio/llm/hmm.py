@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +37,7 @@ STEPS = 4
 SMOOTH = 0.5
 #: Words whose counts are looked up map-side, at most; longer ones than LONG bytes are left to the join.
 FREQUENT, LONG = 65_536, 64
-#: Distinct words that a task counts before it hands them on.
+#: Distinct words that a task counts before it hands them on, or numbers before it starts anew.
 HELD = 200_000
 #: Tokens that a task puts through the recursion at once, in training and in scoring.
 TOKENS, SCORED = 800_000, 2_000_000
@@ -202,6 +203,23 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return parts.groupBy("token", "cls").agg(F.sum("n").alias("c"))
 
 
+class Codes(dict):
+    """Numbers of words, given out as they are met, after those of the given words; words and their classes by number."""
+
+    def __init__(self, first: Iterable[bytes]):
+        super().__init__()
+        self.words: list[bytes] = []
+        self.classes = array("H")
+        for word in first:
+            self[word]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        self.words.append(word)
+        self.classes.append(word_class(word))
+        return code
+
+
 def read_texts(docs: DataFrame, frequent: dict[bytes, int], id_col: str, text_col: str, held_out) -> DataFrame:
     """One row for each text: its classes in order, the sums over its frequent tokens, and its other tokens.
 
@@ -210,30 +228,20 @@ def read_texts(docs: DataFrame, frequent: dict[bytes, int], id_col: str, text_co
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: (c, math.log10(c + 0.5)) for w, c in shared.value.items()}
-        classes: dict[bytes, int] = {}
+        logs = np.log10(np.fromiter(shared.value.values(), np.float64, len(shared.value)) + 0.5)
+        codes = Codes(shared.value)
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for text in batch.column(2).cast(pa.binary()):
                 words = text.as_py().lower().split()
                 words.append(b"")
-                n_known, logs, rare = 0, [], {}
-                for w, n in Counter(words).items():
-                    if w in known:
-                        n_known += n
-                        logs.append(n * known[w][1])
-                    else:
-                        rare[w] = n
-                    if w not in classes:
-                        if len(classes) > HELD:
-                            classes.clear()
-                        classes[w] = word_class(w)
-                try:
-                    seq = np.fromiter(map(classes.__getitem__, words), np.uint16, len(words))
-                except KeyError:  # the cache was emptied in the middle of this text
-                    seq = np.fromiter(map(word_class, words), np.uint16, len(words))
-                rows.append((uid, len(words), n_known, math.fsum(logs), seq.tobytes(), list(rare), list(rare.values())))
+                if len(codes) > HELD + len(logs):
+                    codes = Codes(shared.value)
+                seen = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+                known = seen[seen < len(logs)]
+                rare, rare_n = np.unique(seen[seen >= len(logs)], return_counts=True) if len(known) < len(seen) else (known[:0], known[:0])
+                rows.append((uid, len(words), len(known), float(logs[known].sum()), np.frombuffer(codes.classes, np.uint16)[seen].tobytes(), [codes.words[i] for i in rare], rare_n))
                 uid += 1
             cols = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
