@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, engine_queries, source_queries, text_queries
+from . import corpus_queries, engine_queries, registry_queries, source_queries, text_queries
 
 FLAGSHIP = "normative_sentences"
-_ALL = {**text_queries.QUERIES, **engine_queries.QUERIES, **corpus_queries.QUERIES, **source_queries.QUERIES}
+_ALL = {**text_queries.QUERIES, **engine_queries.QUERIES, **corpus_queries.QUERIES, **source_queries.QUERIES, **registry_queries.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
