@@ -1,11 +1,15 @@
-"""What comes before extraction: definition provisions, and which fragments are worth a call."""
+"""Definition provisions, which fragments are worth a call, and extraction by rules."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.ingest import is_operative_locator
+from .propositions import with_fields
+from .splitting import structured_items
 
 # Patterns of definitions, and terms that rank first.
 _MARKS = "\"'‘’“”"
@@ -68,3 +72,59 @@ def select_fragments(fragments: DataFrame, required: list[str] = (), focus: list
     reason = reason.when(F.lit(not required and not include_annexes and not focus) | (hits >= 2) | phrase, "focus_term_match").when(F.lit(selection == "required_plus_focus"), "skipped_no_focus_match")
     reason = reason.when(F.length(body) < least_chars, "skipped_too_short").when(kind.isin(NOT_OPERATIVE), "skipped_non_operative").otherwise("skipped_no_focus_match")
     return fragments.withColumn("reason", reason).withColumn("selected", ~F.col("reason").startswith("skipped"))
+
+
+def comparison_form(text: Column) -> Column:
+    return T.squash(F.lower(text))
+
+
+def _list_items(sources: DataFrame, fragments: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """At most `limit` items of each source's lists, by turns over their letters where there are more; and what is said by them."""
+    rows = fragments.withColumn("id", F.struct("source_record_id", "ord"))
+    items = structured_items(rows, "id", "fragment_text", "locator", with_intro=True)
+    items = items.select(F.col("id.source_record_id").alias("source_record_id"), F.struct(F.col("id.ord").alias("fragment"), F.col("ord").alias("item")).alias("place"), "clause", "intro", F.substring_index("item_locator", ":list:", -1).alias("path"))
+    letter = W.partitionBy("source_record_id", F.split_part("path", F.lit("-"), F.lit(2)))
+    source = W.partitionBy("source_record_id")
+    some = items.withColumn("turn", F.row_number().over(letter.orderBy("place"))).filter(F.col("turn") <= limit)
+    some = some.withColumns({"n": F.count(F.lit(1)).over(source), "opens": F.min("place").over(letter)})
+    by_turns = F.when(F.col("n") > limit, F.struct("turn", "opens"))
+    picked = some.withColumn("seq", F.row_number().over(source.orderBy(by_turns, "place"))).filter(F.col("seq") <= limit)
+    base = F.coalesce(F.when(~T.is_placeholder(F.col("locator")), F.col("locator")), T.article_reference(F.col("text")), F.lit("article:unknown"))
+    marks = F.array_join(F.slice(F.split("path", "-"), 2, 9), ")->(")
+    drawn = picked.join(sources.select("source_record_id", "locator", "text"), "source_record_id").select(
+        "source_record_id", "seq", F.left(F.concat(base, F.lit(":list:"), "path"), F.lit(512)).alias("fragment_locator"), F.col("clause").alias("proposition_text"), marks.alias("mark"),
+        F.concat_ws(":", T.slug(F.trim("source_record_id")), T.slug(F.col("path")), F.concat(F.lit("p"), F.lpad(F.col("seq").cast("string"), F.greatest(F.lit(3), F.length(F.col("seq").cast("string"))), F.lit("0")))).alias("proposition_key"),
+    )
+    intros = items.groupBy("source_record_id").agg(F.min_by("intro", "place").alias("said"))
+    return drawn, picked.select("source_record_id", F.col("clause").alias("said")).unionByName(intros)
+
+
+def extract_by_rules(sources: DataFrame, fragments: DataFrame, limit: int) -> DataFrame:
+    """Propositions of each source without a model, `limit` at most: items of lettered lists, then sentences.
+
+    sources: source_record_id (one row each, a text), locator, text; fragments: source_record_id, ord, locator, fragment_text.
+    Sentences that the items say already are left out. Of the rest, normative ones at operative places are taken, without
+    any of these normative ones, else all, else the whole text. Null texts count as empty; a source without any text
+    says so in one proposition. Sources without fragments are taken whole.
+    """
+    items, said = _list_items(sources, fragments, limit)
+    pieces = fragments.select("source_record_id", F.col("locator").alias("fragment_locator"), "ord", F.posexplode(T.sentences(F.coalesce("fragment_text", F.lit("")))).alias("pos", "proposition_text"))
+    normative = T.is_normative(F.col("proposition_text"))
+    tier = F.when(normative & F.coalesce(is_operative_locator(F.col("fragment_locator")), F.lit(False)), 0).when(normative, 1).otherwise(2)
+    whole = sources.select(
+        "source_record_id", F.coalesce(F.nullif("locator", F.lit("")), F.lit("document:full")).alias("fragment_locator"), F.lit(0).alias("ord"), F.lit(0).alias("pos"),
+        F.when(F.col("text").rlike(r"\S"), F.regexp_replace("text", r"^\s+|\s+$", "")).otherwise("No source text provided.").alias("proposition_text"), F.lit(3).alias("tier"),
+    )
+    key = lambda text: T.content_hash(comparison_form(F.col(text))).alias("form")
+    known = said.filter("trim(said) != ''").select("source_record_id", key("said"))
+    fresh = pieces.withColumn("tier", tier).unionByName(whole).withColumn("form", key("proposition_text")).join(known, ["source_record_id", "form"], "left_anti")
+    ranked = fresh.withColumn("seq", F.row_number().over(W.partitionBy("source_record_id").orderBy("tier", "ord", "pos"))).filter(F.col("seq") <= limit)
+    best = ranked.withColumn("best", F.min("tier").over(W.partitionBy("source_record_id"))).filter("tier = best")
+    taken = items.groupBy("source_record_id").agg(F.max("seq").alias("before"))
+    before = F.coalesce("before", F.lit(0))
+    rest = best.join(taken, "source_record_id", "left").filter(F.col("seq") + before <= limit)
+    rest = rest.select("source_record_id", (F.col("seq") + before).alias("seq"), "fragment_locator", "proposition_text", F.lit(None).cast("string").alias("mark"), F.lit(None).cast("string").alias("proposition_key"))
+    number = F.col("seq").cast("string")
+    found = with_fields(items.unionByName(rest)).withColumn("id", F.concat(F.lit("prop-"), T.slug(F.col("source_record_id")), F.lit("-"), F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0"))))
+    reference = F.coalesce("text_reference", T.locator_reference(F.col("fragment_locator")), "mark")
+    return found.withColumn("article_reference", reference).drop("text_reference", "mark", "normative")

@@ -155,38 +155,44 @@ _ROMANS = {"i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x"}
 
 def list_drafts(text: str, locator: str) -> list[tuple[str, str]]:
     """(locator, clause) of each item of a lettered list with its introduction; at least two letters make a list."""
+    return [(where, clause) for where, clause, _ in drafts_with_intro(text, locator)]
+
+
+def drafts_with_intro(text: str, locator: str) -> list[tuple[str, str, str]]:
+    """list_drafts() and the introduction of each."""
     number, intro, letter, found, letters = "1", "", None, [], set()
     for line in text.split("\n"):
         if m := _ITEM.match(line):
             mark, body = m.group(1).lower(), m.group(2).strip().rstrip(";,")
             if mark in _ROMANS and letter and not (mark == "i" and letter == "h"):
-                found.append((f"{locator}:list:{number}-{letter[0]}-{mark}", " ".join(filter(None, [intro, letter[1].rstrip(":"), body]))))
+                found.append((f"{locator}:list:{number}-{letter[0]}-{mark}", " ".join(filter(None, [intro, letter[1].rstrip(":"), body])), intro))
                 continue
             letter = (mark, body)
             letters.add(mark)
             if not body.endswith(":"):
-                found.append((f"{locator}:list:{number}-{mark}", " ".join(filter(None, [intro, body]))))
+                found.append((f"{locator}:list:{number}-{mark}", " ".join(filter(None, [intro, body])), intro))
         elif line.strip():
             m = _NUMBER.match(line)
             number, intro, letter = (m.group(1), m.group(2).strip().rstrip(":"), None) if m else (number, line.strip().rstrip(":"), None)
     return found if len(letters) >= 2 else []
 
 
-def structured_items(df: DataFrame, id_col: str, text: str, locator: str) -> DataFrame:
-    """id, ord, item_locator, clause: list_drafts() of every fragment, first wins on equal clauses."""
+def structured_items(df: DataFrame, id_col: str, text: str, locator: str, with_intro: bool = False) -> DataFrame:
+    """id, ord, item_locator, clause (and intro): list_drafts() of every fragment, first wins on equal clauses."""
+    names = ["id", "ord", "item_locator", "clause", *["intro"] * with_intro]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             rows = []
             for i, t, loc in zip(frame["id"], frame["t"], frame["loc"], strict=True):
-                seen: dict[str, str] = {}
-                for where, clause in list_drafts(t, loc):
-                    seen.setdefault(" ".join(clause.lower().split()), where + "\0" + clause)
-                rows += [(i, k, *x.split("\0")) for k, x in enumerate(seen.values())]
-            yield pd.DataFrame(rows, columns=["id", "ord", "item_locator", "clause"])
+                seen: dict[str, tuple[str, str, str]] = {}
+                for draft in drafts_with_intro(t, loc):
+                    seen.setdefault(" ".join(draft[1].lower().split()), draft)
+                rows += [(i, k, *draft)[: len(names)] for k, draft in enumerate(seen.values())]
+            yield pd.DataFrame(rows, columns=names)
 
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.coalesce(F.col(locator), F.lit("")).alias("loc"))
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, ord int, item_locator string, clause string")
+    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, ord int, item_locator string, clause string" + ", intro string" * with_intro)
 
 
 def cost_class(sources: Column, calls: Column, tokens: Column, over_budget: Column) -> Column:

@@ -207,3 +207,39 @@ def test_top_k_of_ragged_vectors(spark):
 
     got = {(r.query_id, r.item_id): r.score for r in M.top_k(df, df, 5, -1.0).collect()}
     assert got == {(i, j): cosine(a, b) for i, a in vectors.items() for j, b in vectors.items()}
+
+
+def test_extraction_by_rules(spark, sf_dir):
+    """Items of lists first, by turns over their letters, then sentences of the best tier that the items don't say."""
+    import re
+    from collections import defaultdict
+
+    from provisio.plans import extraction_queries as Q
+
+    pieces = defaultdict(list)
+    for r in sorted(Q.fragments(spark, sf_dir).collect()):
+        pieces[r.source_record_id].append((r.locator, r.fragment_text or ""))
+    got = defaultdict(list)
+    for r in sorted(Q.rule_extraction(spark, sf_dir).collect(), key=lambda r: r.seq):
+        assert r.id == f"prop-{r.source_record_id.lower().replace(' ', '-')}-{r.seq:03d}"
+        got[r.source_record_id].append(r.proposition_text)
+    assert set(got) == set(pieces)
+    low = lambda x: " ".join(x.lower().split())
+    normative = lambda x: any(w in x.lower() for w in ("must", "shall", "may", "required", "prohibited"))
+    for source, parts in pieces.items():
+        lists = defaultdict(list)
+        for locator, text in parts:
+            for where, clause in X.list_drafts(text, locator):
+                lists[where.split("-")[1]].append(clause)
+        drafts = [c for letter in lists.values() for c in letter]
+        if len(drafts) > Q.LIMIT:
+            drafts = [letter[k] for k in range(9) for letter in lists.values() if k < len(letter)][: Q.LIMIT]
+        said = {low(c) for c in drafts}
+        tiers = [[], [], []]
+        for locator, text in parts:
+            for s in re.split(r"(?<=[.!?;])\s+(?=(?:\(?[a-z0-9ivx]+\)|[A-Z]))", " ".join(text.split())):
+                s = " ".join(s.strip(" ;").split())
+                if s and low(s) not in said:
+                    tiers[0 if normative(s) and locator.startswith("article") else 1 if normative(s) else 2].append(s)
+        rest = tiers[0] or tiers[1] or tiers[2] or ["No source text provided."]
+        assert got[source] == (drafts + rest)[: Q.LIMIT], source
