@@ -12,6 +12,7 @@ from .substring_dedup import op1_substring_dedup
 from .tool_calls import op6_tool_calls
 from .toxicity import op3_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
+from .vector_codes import OP12_SQL, op12_vector_codes
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_vector_codes": op12_vector_codes,
 }
 ORACLE_SQL = {
     "op4_url_filter": OP4_SQL,
     "op5_mixing": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_vector_codes": OP12_SQL,
 }
