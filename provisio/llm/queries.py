@@ -7,6 +7,7 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .hmm import op2_hmm
 from .mixing import OP5_SQL, op5_mixing
 from .quality import op7_quality
+from .sharding import op11_sharding
 from .simhash import op9_simhash
 from .substring_dedup import op1_substring_dedup
 from .tool_calls import op6_tool_calls
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_simhash": op9_simhash,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_sharding": op11_sharding,
     "op12_vector_codes": op12_vector_codes,
 }
 ORACLE_SQL = {
