@@ -7,6 +7,7 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .hmm import op2_hmm
 from .mixing import OP5_SQL, op5_mixing
 from .quality import op7_quality
+from .ranked_search import OP13_SQL, op13_ranked_search
 from .sharding import op11_sharding
 from .simhash import op9_simhash
 from .substring_dedup import op1_substring_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_sharding": op11_sharding,
     "op12_vector_codes": op12_vector_codes,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL = {
     "op4_url_filter": OP4_SQL,
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op8_decontaminate": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op12_vector_codes": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
