@@ -2,51 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.runs import written
+
 #: Evidence fields of a proposition, the strongest first: (field, relevance, confidence).
 FIELDS = [("proposition_text", "direct", "high"), ("legal_subject", "direct", "high"), ("required_documents", "direct", "medium"), ("conditions", "direct", "medium"), ("label", "contextual", "low")]
+#: First words of the terms of a taxonomy, at most; they are a constant of the plan.
+MAX_TERMS = 10_000
 
 
 def closure(tree: DataFrame, node: str, parent: str) -> DataFrame:
     """(ancestor, descendant, depth) of a tree, each node with itself at depth 0; steps number the depth of the tree.
 
-    A pair found before is not walked again, so a cycle ends; its pairs have their least depth.
+    A pair found before is not walked again, so a cycle ends; its pairs have their least depth. Each level is written once.
     """
     edges = tree.select(F.col(node).alias("n"), F.col(parent).alias("p")).filter("p IS NOT NULL")
-    level = tree.select(F.col(node).alias("ancestor"), F.col(node).alias("descendant"), F.lit(0).alias("depth"))
+    level = tree.select(F.col(node).alias("ancestor"), F.col(node).alias("descendant"), F.lit(0).alias("depth")).distinct()
     found = level
     while True:
         level = level.join(edges, F.col("descendant") == F.col("p")).select("ancestor", F.col("n").alias("descendant"), (F.col("depth") + 1).alias("depth"))
-        level = level.join(found.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti").distinct()
+        level = written(level.join(found.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti").distinct(), "level")
         if not level.take(1):
             return found
         found = found.unionByName(level)
 
 
-def _grams(text: Column, longest: int) -> Column:
-    """The distinct runs of one to `longest` lower-case words of the text."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(*(F.when(F.size(words) >= n, runs(n)).otherwise(none) for n in range(1, longest + 1))))
-
-
 def link_scopes(props: DataFrame, scopes: DataFrame) -> DataFrame:
     """The strongest evidence of each scope in each proposition: id, scope_id, relevance, confidence, field, term.
 
-    scopes: scope_id, terms (lower-case words). A field holds a term if its words stand there in the singular or
-    plural. Runs of words of each field, as long as the longest term, meet the terms in a hash join, so each
-    field is normalised once, however many terms there are. Null fields and terms hold nothing.
+    scopes: scope_id, terms (lower-case words), a taxonomy of at most MAX_TERMS first words. A field holds a term if its
+    words stand there in the singular or plural. Each field is split once; only those of its words that begin a term go
+    on to a hash join with the terms, whose further words are then compared. Null fields and terms hold nothing.
     """
     terms = scopes.select("scope_id", F.explode("terms").alias("term"))
-    longest = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    forms = terms.select("scope_id", "term", F.explode(F.array("term", F.concat("term", F.lit("s")))).alias("gram")).distinct()
+    forms = terms.select("scope_id", "term", F.explode(F.array("term", F.concat("term", F.lit("s")))).alias("gram")).distinct().withColumn("first", F.split("gram", " ")[0])
+    firsts = sorted(r.first for r in forms.select("first").distinct().limit(MAX_TERMS + 1).collect() if r.first)
+    if len(firsts) > MAX_TERMS:
+        raise ValueError(f"a taxonomy has {MAX_TERMS} first words at most")
     have = [c for c in FIELDS if c[0] in props.columns]
     text = lambda c: F.array_join(c, " ") if props.schema[c].dataType.typeName() == "array" else F.col(c)
-    fields = props.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("rank"), _grams(text(c[0]), longest).alias("grams")) for k, c in enumerate(have)))).alias("f"))
-    hits = fields.select("id", F.col("f.rank").alias("rank"), F.explode("f.grams").alias("gram")).join(forms, "gram")
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(text(c)), "[^a-z0-9]+", " "))
+    fields = props.select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("rank"), plain(c[0]).alias("text")) for k, c in enumerate(have)))).alias("f")).select("id", "f.rank", "f.text")
+    begun = fields.withColumn("first", F.explode(F.array_intersect(F.array_distinct(F.split("text", " ")), F.array(*map(F.lit, firsts)).cast("array<string>"))))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    hits = begun.join(F.broadcast(forms), "first").filter(F.contains(padded("text"), padded("gram")))
     best = hits.groupBy("id", "scope_id").agg(F.min(F.struct(F.col("rank"), (-F.length("term")).alias("l"), F.col("term"))).alias("b"))
     pick = lambda i: F.element_at(F.array(*(F.lit(c[i]) for c in have)), F.col("b.rank") + 1)
     return best.select("id", "scope_id", pick(1).alias("relevance"), pick(2).alias("confidence"), pick(0).alias("field"), F.col("b.term").alias("term"))

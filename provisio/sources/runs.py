@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +29,20 @@ def list_runs(spark: SparkSession, root: str, relation: str = "sources") -> Data
 def export_csv(rows: DataFrame, path: str) -> None:
     """Quoted CSV with a header, for spreadsheets."""
     rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet into the folder of spark.checkpoint.dir and read again: it cuts the lineage, survives lost executors.
+
+    A local session without the setting gets a folder of its own; a cluster must name one that all share.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not (folder := context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="provisio-"))
+        folder = context.getCheckpointDir()
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
