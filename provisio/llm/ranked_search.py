@@ -231,7 +231,10 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     stats = parsed.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     depth = min(DEPTH, max(0, (stats.docs // SEGMENT).bit_length()))
     # The smallest hashes are a sample that does not depend on how the rows lie; a document has BUCKETS numbers at most.
-    sample = parsed.select("buckets", F.xxhash64("doc_id", "buckets").alias("hash")).orderBy("hash", "buckets").limit(SAMPLE).collect() if depth else []
+    # Twice the share that is needed is cut off by the hash first, so that all tasks together hand over no more than that.
+    share = min(1.0, 2 * SAMPLE / max(1, stats.docs))
+    hashed = parsed.select("buckets", F.xxhash64("doc_id", "buckets").alias("hash")).filter(F.col("hash") <= min(2**63 - 1, int(share * 2**64) - 2**63))
+    sample = hashed.orderBy("hash", "buckets").limit(SAMPLE).collect() if depth else []
     tree = Tree.fit(Lists.of([np.frombuffer(r.buckets, np.uint16) for r in sample]), depth)
 
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
