@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import locators as L
 from ..functions import text as T
+from ..sources.runs import written
 
 MAX_PAGE = 500
 
@@ -23,8 +24,8 @@ def with_keys(props: DataFrame) -> DataFrame:
     rows = props.withColumn("__bare", L.plain(place)).withColumn("lineage", L.lineage_key(place, F.col("__bare")))
     rows = rows.withColumns({"coarse": F.coalesce(L.is_coarse(place, F.col("__bare")), F.lit(False)), "cluster": F.coalesce(L.cluster_key(place, article, F.col("lineage"), F.col("__bare")), F.lit("none"))})
     core = F.when(F.col("lineage").isNotNull(), F.concat(F.lit("lineage:"), F.col("lineage"))).when(F.col("coarse"), F.concat_ws(":", F.lit("coarse"), "cluster", T.short_hash(lineage_text(F.col("proposition_text"))))).otherwise(F.concat(F.lit("id:"), F.col("id")))
-    # Persisted: the rows are read more than once, and filters on a key must not be rewritten into its long expression.
-    return rows.withColumn("group_key", F.concat(F.col("source_record_id"), F.lit("\u001f"), core)).drop("__bare").persist()
+    # Written: the rows are read more than once, and filters on a key must not be rewritten into its long expression.
+    return written(rows.withColumn("group_key", F.concat(F.col("source_record_id"), F.lit("\u001f"), core)).drop("__bare"), "keyed")
 
 
 def without_coarse_parents(props: DataFrame) -> DataFrame:
