@@ -76,34 +76,6 @@ def overlay_status(matches: DataFrame) -> DataFrame:
     return matches.groupBy("query_id").agg(status.alias("status"), n.alias("grounded"), F.count(F.lit(1)).alias("matches"))
 
 
-def title_words(title: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(title), "[^a-z0-9]+"), lambda w: F.length(w) > 2))
-
-
-def dice(a: Column, b: Column) -> Column:
-    """Sørensen-Dice of two arrays of distinct words."""
-    return F.when(F.size(a) + F.size(b) > 0, 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))).otherwise(0.0)
-
-
-def duplicate_matches(candidates: DataFrame, registry: DataFrame, least: float = 0.72) -> DataFrame:
-    """The registry entry that each candidate repeats: equal citation 40, close title up to 20; entries must share a word.
-
-    candidates: id, title, citation; registry: entry_id, title, citation. Pairs meet on a title word or on the
-    citation, never all with all.
-    """
-    c = candidates.select("id", F.col("title").alias("title_a"), F.col("citation").alias("citation_a"), title_words(F.col("title")).alias("words_a"))
-    r = registry.select("entry_id", F.col("title").alias("title_b"), F.col("citation").alias("citation_b"), title_words(F.col("title")).alias("words_b"))
-    # A title pair at or above the threshold shares at least one of the words; the rarest shared word would do, any will.
-    by_word = c.select("id", F.explode("words_a").alias("w")).join(r.select("entry_id", F.explode("words_b").alias("w")), "w").select("id", "entry_id")
-    by_citation = c.join(r, c["citation_a"] == r["citation_b"]).select("id", "entry_id")
-    pairs = by_word.unionByName(by_citation).distinct().join(c, "id").join(r, "entry_id")
-    close = dice(F.col("words_a"), F.col("words_b"))
-    cited = (F.col("citation_a") == F.col("citation_b")) & (F.length("citation_a") > 6)
-    titled = (close >= least) & (F.length("title_a") > 14) & (F.length("title_b") > 14)
-    scored = pairs.select("id", "entry_id", (F.when(cited, 40).otherwise(0) + F.when(titled, F.floor(close * 20 + 0.5)).otherwise(0)).cast("int").alias("score"), F.round(close, 6).alias("similarity"))
-    return scored.filter("score > 0").groupBy("id").agg(F.max_by(F.struct("entry_id", "score", "similarity"), F.struct(F.col("score"), -F.col("entry_id"))).alias("b")).select("id", "b.*")
-
-
 def two_pass_pairs(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     """Rows of two runs paired by id, then the first unmatched ones of each instrument: id_b, id_c, how.
 

@@ -85,24 +85,6 @@ FROM embeddings e LEFT JOIN (SELECT * FROM ranked WHERE place = 1) b ON b.query_
 """
 
 
-def duplicate_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry entries (part names) that candidates (every 50th part, a word dropped) repeat."""
-    parts = _table(spark, sf_dir, "part")
-    registry = parts.select(F.col("p_partkey").alias("entry_id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title"), F.concat_ws("/", "p_brand", F.col("p_partkey")).alias("citation"))
-    candidates = parts.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.when(F.col("p_partkey") % 100 == 0, F.concat_ws("/", "p_brand", F.col("p_partkey"))).otherwise("").alias("citation"))
-    return M.duplicate_matches(candidates, registry)
-
-
-_WORDS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: length(w) > 2))"
-DUPLICATE_SQL = f"""
-WITH r AS (SELECT p_partkey AS entry_id, p_name || ' ' || p_brand || ' ' || p_type AS t, p_brand || '/' || p_partkey AS c FROM part),
-q AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS t, CASE WHEN p_partkey % 100 = 0 THEN p_brand || '/' || p_partkey ELSE '' END AS c FROM part WHERE p_partkey % 50 = 0),
-s AS (SELECT id, entry_id, q.t AS qt, r.t AS rt, q.c AS qc, r.c AS rc, 2.0::DOUBLE * len(list_intersect(qw, rw)) / (len(qw) + len(rw)) AS d FROM (SELECT *, {_WORDS.format('t')} AS qw FROM q) q, (SELECT *, {_WORDS.format('t')} AS rw FROM r) r),
-p AS (SELECT id, entry_id, round(d, 6) AS similarity, CAST(CASE WHEN qc = rc AND length(qc) > 6 THEN 40 ELSE 0 END + CASE WHEN d >= 0.72 AND length(qt) > 14 AND length(rt) > 14 THEN floor(d * 20 + 0.5) ELSE 0 END AS INT) AS score FROM s)
-SELECT id, entry_id, score, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, entry_id) AS place FROM p WHERE score > 0) WHERE place = 1
-"""
-
-
 # --- review: events are decisions on the artefact of their user ------------------------------------------------------
 _DECISIONS = """
 SELECT 'dec-' || lpad(CAST(event_id AS STRING), 8, '0') AS id, 'art-' || CAST(user_id AS STRING) AS artifact_id, CASE event_type WHEN 'click' THEN 'approved' WHEN 'purchase' THEN 'overridden' WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'needs_review' ELSE 'deferred' END AS decision,
@@ -268,7 +250,6 @@ QUERIES = {
     "best_match": (best_match, BEST_SQL),
     "overlay_status": (overlay_status, OVERLAY_SQL),
     "csv_export_rows": (csv_export_rows, CSV_SQL),
-    "duplicate_scoring": (duplicate_scoring, DUPLICATE_SQL),
     "latest_decision": (latest_decision, LATEST_SQL),
     "effective_view": (effective_view, EFFECTIVE_SQL),
     "review_transitions": (review_transitions, TRANSITIONS_SQL),
