@@ -2,9 +2,10 @@
 
 Units are the sentences of every line (or whole lines, or paragraphs); one of more than PIECE words is cut again by
 winnowing: after the word of least hash in each window of PIECE words. No piece is longer, and a passage loses at most
-PIECE words at each edge, wherever it stands. Digests are grouped over all documents; only those that occur again meet
-the units a second time. Consecutive repeated units form a span, and a span of
-enough words is removed. Offsets are code points of the original text.
+PIECE words at each edge, wherever it stands. Digests are grouped over all documents; of those that occur again, neighbours are
+put together to sequences of enough words, whose digests are grouped in the same way: a sequence stays at its earliest place
+and is removed elsewhere, so all that goes stands as a whole in one earlier document. Offsets are code points of the
+original text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import only, spool, table, unused, whole_text
 
-#: Words that a span of repeated units needs to be removed: what counts as a repeated passage. With 1, and lines as units,
+#: Words that a sequence of units needs to be removed where it is repeated: what counts as a repeated passage. With 1, and lines as units,
 #: every line that occurs before is removed, however short.
 LEAST_WORDS = 20
 #: Words of a piece, at most, and of the windows that choose where units are cut. A repeated passage of n words keeps
@@ -102,29 +103,58 @@ def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, ord int, start int, stop int, words int, high long, low long")
 
 
+def _sequences(repeated: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, text_hash, ord, n, h, l: the shortest sequences of neighbouring units with least_words words or more.
+
+    repeated: rows of units() whose digests occur again, a place once. One sequence begins at each unit and one ends there,
+    as far as the run of neighbours reaches; n units from ord on, and the 128-bit digest of their digests. A document's
+    units are all that a window takes.
+    """
+    document = ["doc_id", "text_hash"]
+    runs = repeated.withColumn("run", F.col("ord") - F.row_number().over(W.partitionBy(*document).orderBy("ord")))
+    run = W.partitionBy(*document, "run")
+    before = F.coalesce(F.sum("words").over(run.orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = runs.withColumn("begin", before).withColumn("end", F.col("begin") + F.col("words"))
+    unit = F.struct("ord", "words", "high", "low")
+    ahead = F.collect_list(unit).over(run.orderBy("begin").rangeBetween(W.currentRow, least_words - 1))
+    behind = F.collect_list(unit).over(run.orderBy("end").rangeBetween(1 - least_words, W.currentRow))
+    both = placed.withColumns({"ahead": ahead, "behind": behind}).select(*document, F.explode(F.array("ahead", F.sort_array("behind"))).alias("seq"))
+    enough = both.filter(F.aggregate("seq", F.lit(0), lambda n, u: n + u["words"]) >= least_words)
+    parts = [F.col("seq.high"), F.col("seq.low")]
+    return enough.select(*document, F.col("seq")[0]["ord"].alias("ord"), F.size("seq").alias("n"), F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit(1), *parts).alias("l"))
+
+
 def repeated_spans(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, start, stop, words, first_id for each span to remove.
 
-    A unit stays at its earliest place by (doc_id, hash of the text, place in the text), a null id last, and is
-    repeated everywhere else, in the same document too. A span is a run of neighbouring repeated units with
-    least_words words in all; first_id is the document that keeps its first unit. Rows that agree in id and text are
-    one document. Null and blank texts have no units.
+    A sequence of units of least_words words or more stays at its earliest place by (doc_id, hash of the text, place in the
+    text), a null id last, and is repeated everywhere else, in the same document too. What lies in a repeated sequence
+    is removed. A span is what one document holds in one piece at an earlier place: first_id is that document (the
+    earliest, where several hold a unit's sequences), and its words stand there in the same order. Neighbouring spans may have different
+    origins. Rows that agree in id and text are one document. Null and blank texts have no units.
     """
-    cut = units(docs, unit, id_col, text_col)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("ord").alias("ord"))
+    document = ["doc_id", "text_hash"]
+    cut = spool(units(docs, unit, id_col, text_col), "units")
     spot = F.xxhash64("doc_id", "text_hash", "ord")
     grouped = cut.groupBy("high", "low").agg(F.min(spot).alias("one"), F.max(spot).alias("other"))
     digests = spool(grouped.filter("one <> other").select(F.col("high").alias("h"), F.col("low").alias("l")), "digests")
-    same = (F.col("high") == F.col("h")) & (F.col("low") == F.col("l"))
-    cut = spool(cut.join(digests, same, "left_semi"), "repeated")
-    again = cut.groupBy(F.col("high").alias("h"), F.col("low").alias("l")).agg(F.min(place).alias("first"))
-    again = spool(again.select("h", "l", F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"), F.col("first.ord").alias("first_ord")), "firsts")
-    own = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")) & (F.col("ord") == F.col("first_ord"))
-    later = cut.join(again, same).filter(~own).select("doc_id", "text_hash", "ord", "start", "stop", "words", "first_id").distinct()
-    text = W.partitionBy("doc_id", "text_hash").orderBy("ord")
-    runs = later.withColumn("run", F.col("ord") - F.row_number().over(text))
-    spans = runs.groupBy("doc_id", "text_hash", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min_by("first_id", "ord").alias("first_id"))
-    return spans.filter(F.col("words") >= least_words).drop("run")
+    met = cut.join(digests, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")), "left_semi")
+    # Dealt by document once: for the rows that agree in id and text, and for the windows of the sequences.
+    repeated = spool(met.repartition(*document).dropDuplicates([*document, "ord"]), "repeated")
+    found = spool(_sequences(repeated, least_words), "sequences")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("ord").alias("ord"))
+    firsts = spool(found.groupBy("h", "l").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last"), "firsts")
+    later = found.join(firsts, ["h", "l"]).filter(place > F.col("first"))
+    each = later.select(*document, "ord", "first", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    origin = F.struct("first.no_id", "first.id", "first.hash", (F.col("first.ord") + F.col("i")).alias("ord"))
+    owned = each.groupBy(*document, (F.col("ord") + F.col("i")).alias("ord")).agg(F.min(origin).alias("from"))
+    owned = owned.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("ord").alias("__ord"), "from")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")) & (F.col("ord") == F.col("__ord"))
+    known = repeated.join(owned, same).select(*document, "ord", "start", "stop", "words", F.col("from.id").alias("first_id"), F.col("from.hash").alias("first_hash"), (F.col("ord") - F.col("from.ord")).alias("shift"))
+    piece = [*document, "first_id", "first_hash", "shift"]
+    island = F.col("ord") - F.row_number().over(W.partitionBy(*piece).orderBy("ord"))
+    spans = known.withColumn("island", island).groupBy(*piece, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"))
+    return spans.select(*document, "start", "stop", "words", "first_id")
 
 
 def removals(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

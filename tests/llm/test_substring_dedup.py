@@ -10,30 +10,51 @@ from pyspark.sql import functions as F
 from provisio.llm import substring_dedup as X
 
 
+def sequences(us, least):
+    """(first, stop) of the shortest sequences with enough words that begin, and that end, at each unit."""
+    out = set()
+    for k in range(len(us)):
+        for step in (1, -1):
+            n, at = 0, k
+            while n < least and 0 <= at < len(us):
+                n += len(us[at][2])
+                at += step
+            if n >= least:
+                out.add((k, at) if step == 1 else (at + 1, k + 1))
+    return out
+
+
 def brute(docs, least=X.LEAST_WORDS):
-    """{doc_id: [(start, stop)]} for documents with distinct ids."""
-    first, found, out = {}, {}, {}
+    """{doc_id: places of removed units} and the units, for documents with distinct ids."""
+    first, us, out = {}, {}, {}
     for d, t in sorted(docs):
-        found[d] = list(X.cut_units(t or "", X.ENDS["sentence"]))
-        for k, (_, _, w) in enumerate(found[d]):
-            first.setdefault(" ".join(w), (d, k))
-    for d, us in found.items():
-        spans, run = [], []
-        for k, u in [*enumerate(us), (None, None)]:
-            if u and first[" ".join(u[2])] != (d, k):
-                run.append(u)
-                continue
-            if sum(len(x[2]) for x in run) >= least:
-                spans.append((run[0][0], run[-1][1]))
-            run = []
-        out[d] = spans
-    return out
+        us[d] = list(X.cut_units(t or "", X.ENDS["sentence"]))
+        for a, b in sorted(sequences(us[d], least)):
+            first.setdefault(tuple(" ".join(u[2]) for u in us[d][a:b]), (d, a))
+    for d in us:
+        again = [(a, b) for a, b in sequences(us[d], least) if first[tuple(" ".join(u[2]) for u in us[d][a:b])] != (d, a)]
+        out[d] = sorted({k for a, b in again for k in range(a, b)})
+    return out, us
+
+
+def words_of(us, ks):
+    return [w for k in ks for w in us[k][2]]
 
 
 def test_whole_table(spark, sf_dir):
+    """The removed units are those of brute force, and every span stands as a whole in the document that it names."""
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    got = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in X.op1_substring_dedup(spark, sf_dir).collect()}
-    assert got == brute(docs)
+    want, us = brute(docs)
+    plain = {d: " " + " ".join((t or "").lower().split()) + " " for d, t in docs}
+    spans = 0
+    for r in X.op1_substring_dedup(spark, sf_dir).collect():
+        inside = [k for s in r.spans for k, (a, b, _) in enumerate(us[r.doc_id]) if s.start <= a and b <= s.stop]
+        assert sorted(inside) == want[r.doc_id] and r.removed_words == len(words_of(us[r.doc_id], inside))
+        for s in r.spans:
+            spans += 1
+            said = [w for a, b, ws in us[r.doc_id] if s.start <= a and b <= s.stop for w in ws]
+            assert f" {' '.join(said)} " in plain[s.first_id] and s.first_id <= r.doc_id
+    assert spans > 20
 
 
 def test_units_cover_the_words_in_place():
@@ -85,8 +106,8 @@ def test_short_passages_at_random_places():
             for d in (1, 2):
                 words, at = own(d), rng.randrange(80)
                 docs.append((d, " ".join(words[:at] + told + words[at:])))
-            text = docs[1][1]
-            cut = [w for a, b in brute(docs)[2] for w in text[a:b].split()]
+            gone, us = brute(docs)
+            cut = words_of(us[2], gone[2])
             assert set(cut) <= set(told) and len(cut) >= 51 - 2 * X.PIECE, (trial, len(cut))
 
 
@@ -102,3 +123,12 @@ def test_clashing_names_and_whole_lines(spark):
     cut = X.deduplicate(docs, "line", 1)
     assert cut.columns == docs.columns
     assert {r.doc_id: r.text.split("\n") for r in cut.collect()} == {1: ["One line.", "mine alone", ""], 2: ["", long, "other"], 3: ["own", ""]}
+
+
+def test_pieces_of_several_sources_are_no_passage(spark):
+    """Short sentences that each occur somewhere, but never together, stay; a passage together with them goes with its own origin."""
+    short = [f"short sentence number {i} of many." for i in range(8)]
+    told = " ".join(f"t{i}" for i in range(60))
+    docs = [(i, f"own{i} a{i} b{i} c{i}. {s} end{i} of it all.") for i, s in enumerate(short)] + [(20, told), (30, " ".join(short)), (31, " ".join(short[:4]) + " " + told), (32, "x. " + " ".join(short[:4]))]
+    found = {r.doc_id: r.spans for r in X.removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found[30] == [] and {s.first_id for s in found[31]} == {20, 30} and {s.first_id for s in found[32]} == {30}
