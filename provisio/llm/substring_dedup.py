@@ -2,10 +2,10 @@
 
 Units are the sentences of every line (or whole lines, or paragraphs); one of more than PIECE words is cut again by
 winnowing: after the word of least hash in each window of PIECE words. No piece is longer, and a passage loses at most
-PIECE words at each edge, wherever it stands. Digests are grouped over all documents; of those that occur again, neighbours are
-put together to sequences of enough words, whose digests are grouped in the same way: a sequence stays at its earliest place
-and is removed elsewhere, so all that goes stands as a whole in one earlier document. Offsets are code points of the
-original text.
+PIECE words at each edge, wherever it stands. Digests are grouped over all documents; those that occur again meet their units a
+second time and learn their earliest place. Repeated units of a document form a span with those whose earliest places lie
+in the same document at the same distance, if all between them agrees, too. A span of enough words is removed: it stands as
+a whole at one earlier place. Offsets are code points of the original text.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import only, spool, table, unused, whole_text
 
-#: Words that a sequence of units needs to be removed where it is repeated: what counts as a repeated passage. With 1, and lines as units,
+#: Words that a span of repeated units needs to be removed: what counts as a repeated passage. With 1, and lines as units,
 #: every line that occurs before is removed, however short.
 LEAST_WORDS = 20
 #: Words of a piece, at most, and of the windows that choose where units are cut. A repeated passage of n words keeps
 #: n - 2 * PIECE words or more in repeated pieces: 31 of 51.
 PIECE = 10
+#: Modulus of the sums that tell whether two documents agree between two places.
+LINK = 2**60
 #: Where units end.
 ENDS = {"sentence": re.compile(r"(?<=[.!?])[ \t]+|\n+"), "line": re.compile(r"\n+"), "paragraph": re.compile(r"\n\s*\n")}
 _WORD = re.compile(r"\S+")
@@ -71,90 +73,83 @@ def cut_units(text: str, ends: re.Pattern) -> Iterator[tuple[int, int, list[str]
 
 
 def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, ord, start, stop, words, high, low (the 128-bit digest) for each unit."""
+    """doc_id, text_hash, ord, start, stop, begin, words, nth, prior, linked, high, low (the 128-bit digest) for each unit.
+
+    begin counts the words of the text before the unit, nth the equal units right before it; linked sums, modulo
+    LINK, the hashes of all neighbouring pairs of units up to this one, prior those up to the one before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = ENDS[unit]
         for batch in batches:
-            row, order, start, stop, words, digests = [], [], [], [], [], []
+            row, ints, sums, digests = [], [], [], []
 
             def out() -> pa.RecordBatch:
                 parts = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
                 ids, hashes = batch.column(0).take(pa.array(row, pa.int64())), batch.column(1).take(pa.array(row, pa.int64()))
-                ints = [pa.array(x, pa.int32()) for x in (order, start, stop, words)]
-                return pa.RecordBatch.from_arrays([ids, hashes, *ints, pa.array(parts[:, 0]), pa.array(parts[:, 1])], ["doc_id", "text_hash", "ord", "start", "stop", "words", "high", "low"])
+                columns = [pa.array(c) for c in (*np.array(ints, np.int32).T, *np.array(sums, np.int64).T, *parts.T)]
+                return pa.RecordBatch.from_arrays([ids, hashes, *columns], ["doc_id", "text_hash", "ord", "start", "stop", "begin", "words", "nth", "prior", "linked", "high", "low"])
 
             for i, text in enumerate(batch.column(2)):
+                begin, total, last, nth = 0, 0, b"", 0
                 for k, (a, b, w) in enumerate(cut_units(text.as_py(), ends)):
+                    digest = xxhash.xxh3_128_digest(" ".join(w))
+                    prior, nth = total, nth + 1 if digest == last else 0
+                    total = (total + xxhash.xxh3_64_intdigest(last + digest)) % LINK
                     row.append(i)
-                    order.append(k)
-                    start.append(a)
-                    stop.append(b)
-                    words.append(len(w))
-                    digests.append(xxhash.xxh3_128_digest(" ".join(w)))
+                    ints.append((k, a, b, begin, len(w), nth))
+                    sums.append((prior, total))
+                    digests.append(digest)
+                    begin, last = begin + len(w), digest
                 if len(row) >= 100_000:
                     yield out()
-                    row, order, start, stop, words, digests = [], [], [], [], [], []
+                    row, ints, sums, digests = [], [], [], []
             if row:
                 yield out()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), whole_text(F.col(text_col)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, ord int, start int, stop int, words int, high long, low long")
-
-
-def _sequences(repeated: DataFrame, least_words: int) -> DataFrame:
-    """doc_id, text_hash, ord, n, h, l: the shortest sequences of neighbouring units with least_words words or more.
-
-    repeated: rows of units() whose digests occur again, a place once. One sequence begins at each unit and one ends there,
-    as far as the run of neighbours reaches; n units from ord on, and the 128-bit digest of their digests. A document's
-    units are all that a window takes.
-    """
-    document = ["doc_id", "text_hash"]
-    runs = repeated.withColumn("run", F.col("ord") - F.row_number().over(W.partitionBy(*document).orderBy("ord")))
-    run = W.partitionBy(*document, "run")
-    before = F.coalesce(F.sum("words").over(run.orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = runs.withColumn("begin", before).withColumn("end", F.col("begin") + F.col("words"))
-    unit = F.struct("ord", "words", "high", "low")
-    ahead = F.collect_list(unit).over(run.orderBy("begin").rangeBetween(W.currentRow, least_words - 1))
-    behind = F.collect_list(unit).over(run.orderBy("end").rangeBetween(1 - least_words, W.currentRow))
-    both = placed.withColumns({"ahead": ahead, "behind": behind}).select(*document, F.explode(F.array("ahead", F.sort_array("behind"))).alias("seq"))
-    enough = both.filter(F.aggregate("seq", F.lit(0), lambda n, u: n + u["words"]) >= least_words)
-    parts = [F.col("seq.high"), F.col("seq.low")]
-    return enough.select(*document, F.col("seq")[0]["ord"].alias("ord"), F.size("seq").alias("n"), F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit(1), *parts).alias("l"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, ord int, start int, stop int, begin int, words int, nth int, prior long, linked long, high long, low long")
 
 
 def repeated_spans(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, start, stop, words, first_id for each span to remove.
 
-    A sequence of units of least_words words or more stays at its earliest place by (doc_id, hash of the text, place in the
-    text), a null id last, and is repeated everywhere else, in the same document too. What lies in a repeated sequence
-    is removed. A span is what one document holds in one piece at an earlier place: first_id is that document (the
-    earliest, where several hold a unit's sequences), and its words stand there in the same order. Neighbouring spans may have different
-    origins. Rows that agree in id and text are one document. Null and blank texts have no units.
+    A unit stays at its earliest place by (doc_id, hash of the text, place in the text), a null id last, and is
+    repeated everywhere else, in the same document too. Repeated units of a document whose earliest places lie in one
+    document at one distance belong together as far as all units between them, too, are the same in both
+    documents: the sums of the units' linked hashes tell. So a span stands as a whole in the document first_id. A unit
+    that follows its like has its earliest place as the nth of equal neighbours, and besides repeats the one before it. Spans of PIECE words or more
+    (least_words, if that is less) are removed where they, with such neighbours no more than PIECE words away, have least_words words; of spans that
+    overlap, the later one keeps what is left of it. Rows that agree in id and text are one document. Null and blank
+    texts have no units.
     """
     document = ["doc_id", "text_hash"]
-    cut = spool(units(docs, unit, id_col, text_col), "units")
-    spot = F.xxhash64("doc_id", "text_hash", "ord")
-    grouped = cut.groupBy("high", "low").agg(F.min(spot).alias("one"), F.max(spot).alias("other"))
-    digests = spool(grouped.filter("one <> other").select(F.col("high").alias("h"), F.col("low").alias("l")), "digests")
-    met = cut.join(digests, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")), "left_semi")
-    # Dealt by document once: for the rows that agree in id and text, and for the windows of the sequences.
-    repeated = spool(met.repartition(*document).dropDuplicates([*document, "ord"]), "repeated")
-    found = spool(_sequences(repeated, least_words), "sequences")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("ord").alias("ord"))
-    firsts = spool(found.groupBy("h", "l").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last"), "firsts")
-    later = found.join(firsts, ["h", "l"]).filter(place > F.col("first"))
-    each = later.select(*document, "ord", "first", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    origin = F.struct("first.no_id", "first.id", "first.hash", (F.col("first.ord") + F.col("i")).alias("ord"))
-    owned = each.groupBy(*document, (F.col("ord") + F.col("i")).alias("ord")).agg(F.min(origin).alias("from"))
-    owned = owned.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("ord").alias("__ord"), "from")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")) & (F.col("ord") == F.col("__ord"))
-    known = repeated.join(owned, same).select(*document, "ord", "start", "stop", "words", F.col("from.id").alias("first_id"), F.col("from.hash").alias("first_hash"), (F.col("ord") - F.col("from.ord")).alias("shift"))
+    cut = units(docs, unit, id_col, text_col)
+    # Screened by half of the digest: a digest too many does no harm here.
+    digests = spool(cut.groupBy("high").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("high").alias("h")), "digests")
+    cut = spool(cut.join(digests, F.col("high") == F.col("h"), "left_semi"), "repeated")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("ord").alias("ord"), F.col("linked").alias("linked"))
+    firsts = spool(cut.groupBy(F.col("high").alias("h"), F.col("low").alias("l"), F.col("nth").alias("n")).agg(F.min(place).alias("first")), "firsts")
+    later = cut.join(firsts, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("nth") == F.col("n"))).filter(place > F.col("first"))
+    where = [*document, "ord", "start", "stop", "begin", "words", "linked"]
+    origin = later.select(*where, F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"), (F.col("ord") - F.col("first.ord")).alias("shift"), F.col("first.linked").alias("first_linked"))
+    echoes = cut.filter("nth > 0").select(*where, F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.lit(1).alias("shift"), F.col("prior").alias("first_linked"))
+    origin = origin.unionByName(echoes)
     piece = [*document, "first_id", "first_hash", "shift"]
-    island = F.col("ord") - F.row_number().over(W.partitionBy(*piece).orderBy("ord"))
-    spans = known.withColumn("island", island).groupBy(*piece, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"))
-    return spans.select(*document, "start", "stop", "words", "first_id")
+    in_order = W.partitionBy(*piece).orderBy("ord")
+    gap = lambda c: F.pmod(F.col(c) - F.lag(c).over(in_order), F.lit(LINK))
+    joined = F.coalesce(gap("linked") == gap("first_linked"), F.lit(False))
+    runs = origin.withColumn("new", (~joined).cast("int")).withColumn("run", F.sum("new").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
+    spans = runs.groupBy(*piece, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("begin").alias("begin"), F.max(F.col("begin") + F.col("words")).alias("end")).filter(F.col("end") - F.col("begin") >= min(PIECE, least_words))
+    before = W.partitionBy(*document).orderBy("start", F.desc("stop"), "first_id", "first_hash", "shift").rowsBetween(W.unboundedPreceding, -1)
+    cleared = spans.withColumns({"done": F.coalesce(F.max("stop").over(before), F.lit(0)), "done_words": F.coalesce(F.max("end").over(before), F.lit(0))}).filter(F.col("stop") > F.col("done"))
+    cleared = cleared.select(*document, F.greatest("start", "done").alias("start"), "stop", F.greatest("begin", "done_words").alias("begin"), "end", "first_id")
+    text = W.partitionBy(*document).orderBy("begin")
+    apart = F.coalesce(F.col("begin") - F.lag("end").over(text) > PIECE, F.lit(False)).cast("int")
+    chains = cleared.withColumn("apart", apart).withColumn("chain", F.sum("apart").over(text.rowsBetween(W.unboundedPreceding, 0)))
+    total = F.sum(F.col("end") - F.col("begin")).over(W.partitionBy(*document, "chain"))
+    return chains.withColumn("total", total).filter(F.col("total") >= least_words).select(*document, "start", "stop", (F.col("end") - F.col("begin")).alias("words"), "first_id")
 
 
 def removals(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,30 +10,44 @@ from pyspark.sql import functions as F
 from provisio.llm import substring_dedup as X
 
 
-def sequences(us, least):
-    """(first, stop) of the shortest sequences with enough words that begin, and that end, at each unit."""
-    out = set()
-    for k in range(len(us)):
-        for step in (1, -1):
-            n, at = 0, k
-            while n < least and 0 <= at < len(us):
-                n += len(us[at][2])
-                at += step
-            if n >= least:
-                out.add((k, at) if step == 1 else (at + 1, k + 1))
-    return out
-
-
 def brute(docs, least=X.LEAST_WORDS):
-    """{doc_id: places of removed units} and the units, for documents with distinct ids."""
+    """{doc_id: places of removed units} and the units, for documents with distinct ids, by comparing the units themselves."""
     first, us, out = {}, {}, {}
+    key = {}
     for d, t in sorted(docs):
         us[d] = list(X.cut_units(t or "", X.ENDS["sentence"]))
-        for a, b in sorted(sequences(us[d], least)):
-            first.setdefault(tuple(" ".join(u[2]) for u in us[d][a:b]), (d, a))
+        for k, u in enumerate(us[d]):
+            nth = key[d, k - 1][1] + 1 if k and us[d][k - 1][2] == u[2] else 0
+            key[d, k] = (tuple(u[2]), nth)
+            first.setdefault(key[d, k], (d, k))
     for d in us:
-        again = [(a, b) for a, b in sequences(us[d], least) if first[tuple(" ".join(u[2]) for u in us[d][a:b])] != (d, a)]
-        out[d] = sorted({k for a, b in again for k in range(a, b)})
+        groups, spans = {}, []
+        for k in range(len(us[d])):
+            if (place := first[key[d, k]]) != (d, k):
+                groups.setdefault((place[0], k - place[1]), set()).add(k)
+            if key[d, k][1]:
+                groups.setdefault((d, 1), set()).add(k)
+        count = lambda a, b: sum(len(us[d][x][2]) for x in range(a, b))  # noqa: B023, E731
+        for (o, shift), ks in groups.items():
+            ks = sorted(ks)
+            run = ks[:1]
+            for k in [*ks[1:], None]:
+                if k is not None and all(us[d][x][2] == us[o][x - shift][2] for x in range(run[-1], k)):
+                    run.append(k)
+                    continue
+                if count(run[0], run[-1] + 1) >= min(least, X.PIECE):
+                    spans.append((run[0], run[-1] + 1))
+                run = [k]
+        done, chains = 0, []
+        for a, b in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if b > done:
+                a = max(a, done)
+                if chains and count(chains[-1][-1][1], a) <= X.PIECE:
+                    chains[-1].append((a, b))
+                else:
+                    chains.append([(a, b)])
+                done = b
+        out[d] = [k for c in chains if sum(count(a, b) for a, b in c) >= least for a, b in c for k in range(a, b)]
     return out, us
 
 
@@ -48,8 +62,8 @@ def test_whole_table(spark, sf_dir):
     plain = {d: " " + " ".join((t or "").lower().split()) + " " for d, t in docs}
     spans = 0
     for r in X.op1_substring_dedup(spark, sf_dir).collect():
-        inside = [k for s in r.spans for k, (a, b, _) in enumerate(us[r.doc_id]) if s.start <= a and b <= s.stop]
-        assert sorted(inside) == want[r.doc_id] and r.removed_words == len(words_of(us[r.doc_id], inside))
+        inside = sorted(k for s in r.spans for k, (a, b, _) in enumerate(us[r.doc_id]) if s.start <= a and b <= s.stop)
+        assert inside == want[r.doc_id] and r.removed_words == len(words_of(us[r.doc_id], inside))
         for s in r.spans:
             spans += 1
             said = [w for a, b, ws in us[r.doc_id] if s.start <= a and b <= s.stop for w in ws]
@@ -131,4 +145,4 @@ def test_pieces_of_several_sources_are_no_passage(spark):
     told = " ".join(f"t{i}" for i in range(60))
     docs = [(i, f"own{i} a{i} b{i} c{i}. {s} end{i} of it all.") for i, s in enumerate(short)] + [(20, told), (30, " ".join(short)), (31, " ".join(short[:4]) + " " + told), (32, "x. " + " ".join(short[:4]))]
     found = {r.doc_id: r.spans for r in X.removals(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert found[30] == [] and {s.first_id for s in found[31]} == {20, 30} and {s.first_id for s in found[32]} == {30}
+    assert found[30] == [] and {s.first_id for s in found[31]} == {20} and found[32] == []
