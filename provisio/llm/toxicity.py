@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,10 @@ FOLDS = 5
 BUCKETS = 262_144
 #: Distinct tokens whose reading a task keeps at hand.
 HELD = 300_000
+#: A word cut into more than two pieces is looked for where its pieces have this many bytes at most, or are letters alone.
+SHORT_PIECE, PIECES = 3, 8
+#: A word in pieces has this many letters at least; so many of a token's letters can be hidden.
+PIECED_WORD, HIDDEN_LETTERS = 4, 2
 
 #: The letters a character may stand for.
 READINGS = {
@@ -132,6 +137,11 @@ def squeeze(word: str) -> str:
     return _RUN.sub(r"\1", word)
 
 
+def join(a: str, b: str) -> str:
+    """Two squeezed words as one squeezed word."""
+    return a + b[1:] if a and b and a[-1] == b[0] else a + b
+
+
 def restored(token: str, model: list[list[float]]) -> str:
     """squeeze(restore(token)). Where no character can be read as another one, the best path just drops what is no letter,
     and merges at most what squeezing merges too."""
@@ -300,7 +310,11 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, allowed: Column,
     weighed = counts.select("word", "bad", "good", _odds(F.col("bad"), F.col("good"), share).alias("weight"))
     best = weighed.filter(F.col("weight") > STRONG).orderBy(F.desc("weight"), "word").limit(LISTED).select("word", "weight").toArrow()
     listed = dict(zip(best.column("word").to_pylist(), best.column("weight").to_pylist(), strict=True))
-    rest = weighed.filter(F.col("weight") <= STRONG).groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("bucket")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    beyond = F.col("weight") <= STRONG
+    if len(listed) == LISTED:
+        last, least = list(listed.items())[-1]
+        beyond |= (F.col("weight") < least) | ((F.col("weight") == least) & (F.col("word") > last))
+    rest = weighed.filter(beyond).groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("bucket")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     rest = rest.select("bucket", _odds(F.col("bad"), F.col("good"), share).alias("weight")).toArrow()  # one row for each bucket at most
     table_ = np.zeros(BUCKETS)
     table_[rest.column("bucket").to_numpy()] = np.minimum(rest.column("weight").to_numpy(), STRONG)
@@ -323,6 +337,7 @@ class Reader:
         self.words: dict[str, int] = {"": 0}
         self.names = [""]
         self.word, self.kind, self.plain, self.weight = np.zeros(1024, np.int64), np.zeros(1024, np.int8), np.zeros(1024, bool), np.zeros(1024)
+        self.short = np.zeros(1024, bool)
 
     def meant(self, text: str) -> str:
         """The word behind a token; one of signs alone is read as a word only if that word is listed."""
@@ -330,14 +345,28 @@ class Reader:
         if core.isalpha():
             return _RUN.sub(r"\1", core) if _DOUBLE.search(core) else core
         if _LETTER.search(core):
-            return restored(text, self.model)
+            return self.uncovered(core) or restored(text, self.model)
         word = signs_read(text, self.model)
         return word if word in self.listed else squeeze(core)
 
+    def uncovered(self, core: str) -> str:
+        """The weightiest listed word that a token with a hidden letter or two can be; empty if none."""
+        spots = [i for i, c in enumerate(core) if c in HIDES]
+        if not 0 < len(spots) <= HIDDEN_LETTERS or len(core) < PIECED_WORD:
+            return ""
+        found = {""}
+        for letters in product(LETTERS, repeat=len(spots)):
+            said = list(core)
+            for i, letter in zip(spots, letters, strict=True):
+                said[i] = letter
+            word = "".join(said)
+            found.add(squeeze(word) if word.isalpha() else restored(word, self.model) if len(spots) == 1 else "")
+        return max(found, key=lambda w: (self.listed.get(w, 0.0), w)) if not found.isdisjoint(self.listed) else ""
+
     def number(self, tokens: set[bytes]) -> None:
         """Number new tokens. Kinds: 0 plain, 1 a listed word, 2 one character, 3 the start of a listed word."""
         first_token, first_word = len(self.tokens), len(self.names)
-        word, kind, plain, weight = [], [], [], []
+        word, kind, plain, weight, short = [], [], [], [], []
         for token in tokens:
             text = token.decode()
             if letters := token.isalpha():
@@ -354,13 +383,14 @@ class Reader:
             word.append(at)
             kind.append(1 if name in self.listed else 2 if len(text) == 1 else 3 if name and name in self.starts else 0)
             plain.append(letters)
+            short.append(len(token) <= SHORT_PIECE)
         while len(self.word) < len(self.tokens):
             more = len(self.word)
-            self.word, self.kind, self.plain = (np.append(x, np.zeros(more, x.dtype)) for x in (self.word, self.kind, self.plain))
+            self.word, self.kind, self.plain, self.short = (np.append(x, np.zeros(more, x.dtype)) for x in (self.word, self.kind, self.plain, self.short))
         while len(self.weight) < len(self.names):
             self.weight = np.append(self.weight, np.zeros(len(self.weight)))
         new = slice(first_token, len(self.tokens))
-        self.word[new], self.kind[new], self.plain[new] = word, kind, plain
+        self.word[new], self.kind[new], self.plain[new], self.short[new] = word, kind, plain, short
         self.weight[first_word : len(self.names)] = weight
 
     def evidence(self, text: bytes) -> tuple[float, float]:
@@ -384,7 +414,7 @@ class Reader:
         return float(strong), float(total / (n + SHORT))
 
     def pieced(self, tokens: list[bytes], ids: np.ndarray, kinds: np.ndarray) -> set[str]:
-        """Listed words that were spaced out or cut in two."""
+        """Listed words that were spaced out or cut into pieces."""
         words: set[str] = set()
         one = kinds == 2
         runs = np.flatnonzero(one[:-2] & one[1:-1] & one[2:])
@@ -400,26 +430,54 @@ class Reader:
         letters = self.plain[ids]
         easy = letters[:-1] & letters[1:]
         # Two tokens of letters alone are read as their squeezed words, joined; each distinct pair is looked at once.
-        at = np.flatnonzero(both & easy)
+        # One that goes on to begin a listed word is followed over the tokens behind it.
+        at = np.flatnonzero((kinds[:-1] >= 2) & easy)
         if len(at):
-            pair = np.unique((self.word[ids[at]] << 32) | self.word[ids[at + 1]])
-            for a, b in zip((pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist(), strict=True):
-                a, b = self.names[a], self.names[b]
-                if (joined := a + b[1:] if a[-1] == b[0] else a + b) in self.listed:
+            pairs, where = np.unique((self.word[ids[at]] << 32) | self.word[ids[at + 1]], return_inverse=True)
+            for n, (a, b) in enumerate(zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), strict=True)):
+                joined = join(self.names[a], self.names[b])
+                if joined not in self.starts:
+                    continue
+                if joined in self.listed and self.names[b] not in self.listed:
                     words.add(joined)
+                for i in at[where == n].tolist():
+                    words.update(self.followed(joined, ids[i + 2 : i + PIECES]))
+        # Short tokens with signs among them are read through the lattice of their characters together.
+        small = self.short[ids]
+        three = small[:-2] & small[1:-1] & small[2:] & ~(letters[:-2] & letters[1:-1] & letters[2:])
+        for i in np.flatnonzero(three & ((kinds[:-2] >= 1) | ~letters[:-2])).tolist():
+            for j in range(i + 3, min(i + PIECES, len(tokens)) + 1):
+                if not small[j - 1]:
+                    break
+                if len(word := self.read(b"".join(tokens[i:j]))) >= PIECED_WORD and word in self.listed:
+                    words.add(word)
         for i in np.flatnonzero(both & ~easy).tolist():
-            pair = tokens[i] + tokens[i + 1]
-            joined = self.joined.get(pair)
-            if joined is None:
-                text = pair.decode()
-                core = text.strip(_EDGES)
-                # Letters are read as themselves, so what is read begins and ends like the token.
-                like = squeeze(_FIRST.search(core)[0]) in self.starts and squeeze(_LAST.search(core)[0]) in self.ends
-                joined = self.joined[pair] = self.meant(text) if like else ""
-            if joined in self.listed:
-                words.add(joined)
+            if (word := self.read(tokens[i] + tokens[i + 1])) in self.listed:
+                words.add(word)
         return words
 
+    def read(self, pieces: bytes) -> str:
+        """The word that joined tokens stand for, as far as they begin and end like a listed word; else empty."""
+        found = self.joined.get(pieces)
+        if found is None:
+            text = pieces.decode()
+            core = text.strip(_EDGES)
+            # Letters are read as themselves, so what is read begins and ends like the token.
+            like = squeeze(_FIRST.search(core)[0]) in self.starts and squeeze(_LAST.search(core)[0]) in self.ends
+            found = self.joined[pieces] = self.meant(text) if like else ""
+        return found
+
+    def followed(self, begun: str, ids: np.ndarray) -> Iterator[str]:
+        """Listed words of PIECED_WORD letters or more that tokens of letters spell on from a beginning, piece by piece."""
+        for token in ids.tolist():
+            if not self.plain[token]:
+                return
+            begun = join(begun, self.names[self.word[token]])
+            if begun not in self.starts:
+                return
+            if begun in self.listed and len(begun) >= PIECED_WORD:
+                yield begun
+
 
 def score(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", score_col: str = "__toxic") -> DataFrame:
     """All columns of docs and score_col, the probability (0 to 1) that the text is toxic; a column of that name is replaced.

@@ -70,6 +70,25 @@ def test_obfuscated_texts_are_caught(spark):
         assert (scored[t] >= 0.5) == bad, t
 
 
+def test_words_in_pieces_and_with_hidden_letters(spark):
+    """Gaps anywhere in a word, gaps between signs, one or two hidden letters; the same pieces apart from each other say nothing."""
+    docs, labels = _planted(spark)
+    bad = ["id iot", "i d i o t", "id i ot", "i di ot", "id io t", "mo ro n", "m oro n", "1d 10 t", "1d i 0t", "mo r0 n", "i*iot", "m*ron", "m#r*n", "id10t", "i*10t"]
+    clean = ["id was i here ot", "mo said ro n", "i dine", "id: 10 to 20", "more on it", "50% of m*n", "10 20 30 40", "i d", "mo ro"]
+    rows = [(1000 + i, f"what an {w} he is") for i, w in enumerate(bad)] + [(2000 + i, f"what an {w} he is") for i, w in enumerate(clean)]
+    scored = {r.doc_id: r["__toxic"] for r in X.score(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")), labels, F.lit(True)).collect()}
+    assert [t for d, t in rows if (scored[d] >= 0.5) != (d < 2000)] == []
+
+
+def test_words_beyond_the_list_count_by_their_bucket(spark, monkeypatch):
+    docs, labels = _planted(spark)
+    monkeypatch.setattr(X, "LISTED", 1)
+    made = X.fit(docs, labels, X.character_model(docs), F.lit(True))
+    assert len(made.listed) == 1
+    other = ({"idiot", "moron"} - set(made.listed)).pop()
+    assert made.weight(other) == X.STRONG
+
+
 def test_edge_cases(spark):
     docs, labels = _planted(spark)
     docs = docs.withColumn("score", F.lit("kept"))
