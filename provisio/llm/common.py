@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -69,6 +70,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_warehouse(spark: SparkSession) -> None:
+    """Raise if tables would go to a folder that executors on other machines don't share: the default warehouse of a cluster session."""
+    here = spark.conf.get("spark.sql.warehouse.dir")
+    local = here.startswith("file:") or "://" not in here
+    if local and os.path.realpath(here.removeprefix("file:")) == os.path.realpath("spark-warehouse") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.sql.warehouse.dir to a folder that driver and executors share")
+
+
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 

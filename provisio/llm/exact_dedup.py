@@ -8,12 +8,16 @@ shuffled nor sorted again; what passes is appended. Which row stands for a text
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, only, spool, table, unused, whole_text
+from .common import SPACES, only, shared_warehouse, spool, table, unused, whole_text
 
+#: Digests of a bucket, at most, when the index chooses their number.
+BUCKET_ROWS = 1_000_000
 #: Texts of so many code points or more make the first batch of the query, shorter ones the second. Any number gives
 #: the same result, as the longest text of a group stays and equal lengths share a batch.
 FIRST_BATCH_POINTS = 1_500
@@ -30,21 +34,32 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.length(whole_text(text)).cast("long").alias("n_points"), digest(text).alias("text_sha256"))
 
 
+def buckets_for(rows: int) -> int:
+    """How many buckets hold so many digests, BUCKET_ROWS each; at least 16."""
+    return max(16, -(-rows // BUCKET_ROWS))
+
+
 class DigestIndex:
     """A digest index that lives in a bucketed table and outlasts the session that made it.
 
-    name: table to create or to go on with; buckets: files a batch adds, so choose it for the corpus the index is
-    to hold (about a million digests a bucket); more batches than a few dozen call for compact().
+    name: table to create or to go on with; buckets: files a batch adds. A new index without them takes as many as its
+    first batch calls for, so give them for a corpus that will grow; one that exists keeps its own. More batches than a few
+    dozen call for compact(). The warehouse must be a folder that driver and executors share.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 16):
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
+        shared_warehouse(spark)
         self.spark, self.name, self.buckets = spark, name, buckets
+        if spark.catalog.tableExists(name):
+            found = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+            self.buckets = int(found["Num Buckets"])
 
     def rows(self) -> DataFrame | None:
         """text_sha256, keep_id, keep_points, batch of all that the index holds; None before the first batch."""
         return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
 
     def _write(self, rows: DataFrame, name: str, mode: str) -> None:
+        self.buckets = self.buckets or buckets_for(rows.count())
         (rows.repartition(self.buckets, "text_sha256").write.mode(mode).format("parquet")
          .bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(name))
 
@@ -104,6 +119,16 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+@contextmanager
+def temporary_index(spark: SparkSession, docs: DataFrame) -> Iterator[DigestIndex]:
+    """An index with room for all of docs that is dropped at the end, also if the work fails."""
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets_for(docs.count()))
+    try:
+        yield index
+    finally:
+        index.drop()
+
+
 def longest_first(index: DigestIndex, docs: DataFrame, first_points: int = FIRST_BATCH_POINTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Decisions as of DigestIndex.add() for docs in two batches: long texts, then the short ones against the index of them.
 
@@ -132,9 +157,9 @@ def keep_distinct(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", t
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact deduplication of all documents by an index that takes the long texts first and the short ones after them."""
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    found = longest_first(index, table(spark, sf_dir, "documents"))
-    index.drop()
+    docs = table(spark, sf_dir, "documents")
+    with temporary_index(spark, docs) as index:
+        found = longest_first(index, docs)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -48,5 +48,5 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, sf_dir, k):
 
 def test_all_eleven_are_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
