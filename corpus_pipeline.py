@@ -5,8 +5,6 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage but
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from provisio.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
@@ -26,10 +24,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts are empty texts, a null id comes last, and of rows that agree in id and text one stays. No rows give none.
     """
-    index = exact_dedup.DigestIndex(spark, f"pipeline_index_{uuid.uuid4().hex}")
-    kept = exact_dedup.keep_distinct(docs, index)
-    index.drop()
-    return kept
+    with exact_dedup.temporary_index(spark, docs) as index:
+        return exact_dedup.keep_distinct(docs, index)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
