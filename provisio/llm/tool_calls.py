@@ -1,15 +1,18 @@
 """Tool calls in chats: join calls with results, order them by their references, validate, write canonical JSON.
 
 Calls and results meet in one grouping by conversation and identifier. A call may refer to the result of another one
-by {"$ref": "<id>"} in its arguments. A call's level is the longest chain of references behind it: chains of calls with one
-reference are cut short by doubling their length each round, and only calls with several references are peeled one after another.
+by {"$ref": "<id>"} in its arguments. A call's level is the longest chain of references behind it. Small conversations are ordered in
+the task they lie in; in large ones, chains of calls with one reference are cut short by doubling their length each round, and
+only calls with several references are peeled one after another.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,8 @@ from .common import spool, table
 
 #: Argument fields by tool: (type, required). Fixed values.
 SCHEMAS = {"reply": {"prompt": ("string", True), "turn": ("integer", True), "after": ("object", False)}}
-REFERENCE = r'"\$ref"\s*:\s*"([^"\\]*)"'
+#: Conversations of so many calls, at most, are ordered by one task each; larger ones by rounds of joins.
+SMALL = 256
 CALL = "array<struct<id:string,name:string,arguments:string>>"
 
 
@@ -60,9 +64,80 @@ def invalid(name: str | None, given: object, schemas: dict) -> str | None:
     return f"unexpected {extra[0]}" if extra else None
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def references(arguments: str | None) -> list[str]:
+    """The identifiers that {"$ref": "<id>"} names anywhere in the arguments, each once; none where they are no JSON."""
+    if not arguments or ("ref" not in arguments and "\\" not in arguments):
+        return []
+    value, fault = parsed(arguments)
+    found, waiting = {}, [] if fault else [value]
+    while waiting:
+        at = waiting.pop()
+        if isinstance(at, dict):
+            if isinstance(named := at.get("$ref"), str):
+                found[named] = None
+            waiting += at.values()
+        elif isinstance(at, list):
+            waiting += at
+    return sorted(found)
+
+
+def group_levels(ids: list[str], needs: list[tuple[str, str]]) -> dict[str, int | None]:
+    """The level of each call of one conversation: one more than the highest it needs; None on or behind a cycle."""
+    left, wanted_by, level = dict.fromkeys(ids, 0), {}, dict.fromkeys(ids, 0)
+    for a, b in set(needs):
+        left[a] += 1
+        wanted_by.setdefault(b, []).append(a)
+    ready = [i for i, n in left.items() if n == 0]
+    while ready:
+        done = ready.pop()
+        for a in wanted_by.get(done, []):
+            level[a] = max(level[a], level[done] + 1)
+            left[a] -= 1
+            if left[a] == 0:
+                ready.append(a)
+    return {i: level[i] if left[i] == 0 else None for i in level}
+
+
+def levels(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(conv_id, id, level) of calls: 0 without references, else one more than the highest level referred to; null on or behind a cycle.
 
+    nodes: conv_id, id; edges: conv_id, id, needs, both ids being nodes. Conversations of `small` calls or fewer are ordered where
+    they lie, one after another; those of more by level_rounds(), with the same result.
+    """
+    sizes = nodes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("calls"))
+    large = spool(sizes.filter(F.col("calls") > small).select("conv_id"), "large")
+    rows = nodes.select("conv_id", "id", F.lit(None).cast("string").alias("needs")).unionByName(edges.select("conv_id", "id", "needs"))
+    kind = rows.schema["conv_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str | None]] = []
+        of: object = None
+
+        def out() -> pa.RecordBatch:
+            found = group_levels([i for i, n in held if n is None], [(i, n) for i, n in held if n is not None])
+            return pa.RecordBatch.from_arrays([pa.array([of] * len(found), types), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int32())], ["conv_id", "id", "level"])
+
+        for batch in batches:
+            types = batch.schema.field(0).type
+            for conv, id_, needs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if conv != of and held:
+                    yield out()
+                    held = []
+                of = conv
+                held.append((id_, needs))
+        if held:
+            yield out()
+
+    few = rows.join(large, "conv_id", "left_anti") if (any_large := bool(large.take(1))) else rows
+    found = few.repartition("conv_id").sortWithinPartitions("conv_id").mapInArrow(run, f"conv_id {kind}, id string, level int")
+    if not any_large:
+        return found
+    return found.unionByName(level_rounds(nodes.join(large, "conv_id", "left_semi"), edges.join(large, "conv_id", "left_semi")))
+
+
+def level_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """levels() by joins, for conversations of any size: 0 without references, else one more than the highest level referred to; null on or behind a cycle.
+
     nodes: conv_id, id; edges: conv_id, id, needs, both ids being nodes. Calls with one reference hand on the end of
     their chain in rounds that double its length; they number about log2 of the longest chain, or of the calls of the
     largest conversation where there are cycles. Calls with several references wait for each other, one round for each
@@ -122,7 +197,7 @@ def link_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     rows = messages.select("conv_id", "turn", "role", "text", F.col("calls").cast(CALL).alias("calls"), F.col("result_of").cast("string").alias("result_of"))
     key = ["conv_id", "id"]
     calls = rows.select("conv_id", "turn", "role", F.posexplode("calls").alias("place", "call")).select("conv_id", "turn", "role", "place", F.col("call.id").alias("id"), F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
-    needs = F.array_distinct(F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(REFERENCE), F.lit(1)))
+    needs = F.pandas_udf(lambda texts: texts.map(references), "array<string>")("arguments")
     named = calls.filter("id <> '' AND conv_id IS NOT NULL").select(*key, F.struct("turn", "place", needs.alias("needs")).alias("call"))
     answered = rows.filter("result_of <> '' AND conv_id IS NOT NULL").select("conv_id", F.col("result_of").alias("id"), F.struct("turn", "text").alias("answer"))
     both = named.unionByName(answered, allowMissingColumns=True)

@@ -109,8 +109,26 @@ def test_levels_by_brute_force(spark):
     for c, i, j in edges:
         refs.setdefault((c, i), []).append(j)
     want = {(c, f"n{i}"): i if c == 9 else level(c, i) for c, i in nodes}
-    got = X.levels(spark.createDataFrame([(c, f"n{i}") for c, i in nodes], "conv_id long, id string"), spark.createDataFrame([(c, f"n{i}", f"n{j}") for c, i, j in edges], "conv_id long, id string, needs string"))
-    assert {(r.conv_id, r.id): r.level for r in got.collect()} == want
+    tables = spark.createDataFrame([(c, f"n{i}") for c, i in nodes], "conv_id long, id string"), spark.createDataFrame([(c, f"n{i}", f"n{j}") for c, i, j in edges], "conv_id long, id string, needs string")
+    for small in (0, X.SMALL, 10_000):
+        assert {(r.conv_id, r.id): r.level for r in X.levels(*tables, small).collect()} == want
+
+
+def test_a_chain_of_junctions(spark):
+    """Every call needs the two before it."""
+    edges = [(1, f"n{i}", f"n{i - k}") for i in range(200) for k in (1, 2) if i >= k]
+    got = X.levels(spark.createDataFrame([(1, f"n{i}") for i in range(200)], "conv_id long, id string"), spark.createDataFrame(edges, "conv_id long, id string, needs string"))
+    assert {r.id: r.level for r in got.collect()} == {f"n{i}": i for i in range(200)}
+
+
+def test_references_are_read_from_the_json(spark):
+    """Identifiers with quotes, backslashes and escapes; a reference key written with an escape; text that only looks like one."""
+    odd = ['a"b', "back\\slash", "é\n", "plain"]
+    calls = [call(i) for i in odd] + [call(f"to {n}", t={"$ref": i}) for n, i in enumerate(odd)]
+    calls += [("esc", "say", '{"t":{"\\u0024ref":"a\\u0022b"}}'), call("text", t='{"$ref": "plain"}'), call("lost", t={"$ref": 'no"ne'}), call("deep", t={"x": [{"y": {"$ref": "plain"}}]})]
+    got = {r.id: r for r in _run(spark, [(1, 0, "assistant", None, calls, None, 0)])}
+    assert all(got[f"to {n}"].level == 1 for n in range(len(odd))) and got["esc"].level == got["deep"].level == 1
+    assert got["text"].level == 0 and got["lost"].fault == 'unknown reference no"ne' and got["to 0"].fault is None
 
 
 def test_one_bad_call_does_no_harm(spark):
