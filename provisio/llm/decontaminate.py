@@ -11,6 +11,8 @@ from .common import ascii_lower, only, spool, table, unused, whole_text
 WINDOW = 10
 #: The set of test windows is broadcast up to this many rows (about 200 bytes each); a larger set is joined by shuffle.
 MAX_BROADCAST = 1_000_000
+#: Bits of the bitmap that keeps most positions out of that shuffle: 16 MB.
+BITS = 2**27
 #: Words of a window that are looked up first.
 HEAD = 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -42,6 +44,21 @@ def test_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item
     return windows.groupBy("gram").agg(F.array_compact(F.collect_set("item")).alias("items")).select("gram", "items", F.size("gram").alias("length"), F.xxhash64("gram").alias("hash"))
 
 
+def maybe_begins(at: DataFrame, windows: DataFrame) -> DataFrame:
+    """The positions (start, words, at_length, word) whose first words have the hash, modulo BITS, of a window's first words.
+
+    The bits are a broadcast table of BITS / 8 bytes, whatever the number of windows; a position too many does no harm.
+    """
+    heads = windows.select(F.pmod(_head(F.col("length"), *(F.get("gram", F.lit(i)) for i in range(HEAD))), F.lit(BITS)).alias("bit"))
+    bitmaps = heads.groupBy(F.bitmap_bucket_number("bit").alias("map_number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    bit = F.pmod(_head(F.col("at_length"), F.col("word"), *(F.get("words", F.col("start") + i) for i in range(1, HEAD))), F.lit(BITS))
+    told = at.withColumn("at_bit", bit)
+    met = told.join(F.broadcast(bitmaps), F.bitmap_bucket_number("at_bit") == F.col("map_number"))
+    place = F.bitmap_bit_position("at_bit").cast("int")
+    byte = F.conv(F.hex(F.substring("map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.filter((F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1)).drop("at_bit", "map_number", "map")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each occurrence of a test window in a text: doc_id, text_hash, start (word, from 0), length, items."""
     windows = spool(test_windows(benchmark, window), "windows")
@@ -60,7 +77,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadc
         at = at.join(F.broadcast(heads), _head(F.col("at_length"), F.col("word"), *(F.get("words", F.col("start") + i) for i in range(1, HEAD))) == F.col("head"), "left_semi")
         matched = at.join(F.broadcast(windows.drop("items")), (F.xxhash64(gram) == F.col("hash")) & (gram == F.col("gram")))
     else:
-        # Too many windows to broadcast: the windows of the texts are shuffled, each with its own words alone.
+        # Too many windows to broadcast: the windows of the texts are shuffled, each with its own words alone, and of them
+        # only those whose first words have their bit in a bitmap of a fixed size.
+        at = maybe_begins(at, windows)
         at = at.select("doc_id", "text_hash", "start", gram.alias("at_gram")).withColumn("at_hash", F.xxhash64("at_gram"))
         matched = at.join(windows.drop("items"), (F.col("at_hash") == F.col("hash")) & (F.col("at_gram") == F.col("gram")))
     # The list of a window's items has no bound, so it is not broadcast with the window but joined to the hits.

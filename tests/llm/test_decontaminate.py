@@ -60,3 +60,15 @@ def test_clashing_names(spark):
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
     cut = X.remove_spans(docs, items)
     assert cut.columns == docs.columns and {r.doc_id: r.text for r in cut.collect()} == {1: "", 2: "clean text"}
+
+
+def test_bitmap_keeps_every_beginning_and_few_others(spark):
+    """The bitmap before the shuffle lets all windows' beginnings through, and hardly any other position."""
+    from pyspark.sql import functions as F
+
+    items = spark.createDataFrame([(i, " ".join(f"t{i}x{k}" for k in range(11))) for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(f"own{i}x{k}" for k in range(30)) + " " + " ".join(f"t{i}x{k}" for k in range(11))) for i in range(300)], "doc_id long, text string")
+    words = docs.select("doc_id", F.split("text", " ").alias("words"), F.lit(10).alias("at_length")).select("*", F.posexplode("words").alias("start", "word")).filter("start + 10 <= size(words)")
+    kept = X.maybe_begins(words, X.test_windows(items)).groupBy("start").count().collect()
+    at = {r.start: r["count"] for r in kept}
+    assert at[30] == at[31] == 300 and sum(at.values()) < 610
