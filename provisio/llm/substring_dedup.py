@@ -5,13 +5,14 @@ winnowing: after the word of least hash in each window of PIECE words. No piece
 PIECE words at each edge, wherever it stands. Digests are grouped over all documents; those that occur again meet their units a
 second time and learn their earliest place. Repeated units of a document form a span with those whose earliest places lie
 in the same document at the same distance, if all between them agrees, too. A span of enough words is removed: it stands as
-a whole at one earlier place. Offsets are code points of the original text.
+a whole at one earlier place. Digests that occur once are kept out by a bitmap of fixed size. Offsets are code points of the original text.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ LEAST_WORDS = 20
 #: Words of a piece, at most, and of the windows that choose where units are cut. A repeated passage of n words keeps
 #: n - 2 * PIECE words or more in repeated pieces: 31 of 51.
 PIECE = 10
+#: Bits of the bitmap that tells repeated digests: 16 MB.
+BITS = 2**27
 #: Modulus of the sums that tell whether two documents agree between two places.
 LINK = 2**60
 #: Where units end.
@@ -72,42 +75,99 @@ def cut_units(text: str, ends: re.Pattern) -> Iterator[tuple[int, int, list[str]
         at = after
 
 
-def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_words(text: str, ends: re.Pattern) -> Iterator[list[str]]:
+    """The words of the units of cut_units() alone."""
+    for unit in ends.split(text):
+        words = unit.lower().split()
+        if len(words) > PIECE:
+            first = 0
+            for last in cuts([zlib.crc32(w.encode()) for w in words]):
+                yield words[first : last + 1]
+                first = last + 1
+            words = words[first:]
+        if words:
+            yield words
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), whole_text(F.col(text_col)).alias("text"))
+
+
+def _highs(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+def repeated_bits(docs: DataFrame, unit: str = "sentence", text_col: str = "text") -> np.ndarray:
+    """A bitmap of BITS bits: those of the digests that occur more than once in docs, modulo BITS.
+
+    Digests are counted by a shuffle; only the bitmap, whose size is fixed, reaches the driver. The more digests repeat, the more
+    others share their bits; that costs work, but no harm.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = ENDS[unit]
+        for batch in batches:
+            digests: list[bytes] = []
+            for text in batch.column(0):
+                digests += [xxhash.xxh3_128_digest(" ".join(w)) for w in cut_words(text.as_py(), ends)]
+                if len(digests) >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(_highs(digests)[:, 0])], ["high"])
+                    digests = []
+            if digests:
+                yield pa.RecordBatch.from_arrays([pa.array(_highs(digests)[:, 0])], ["high"])
+
+    highs = docs.select(whole_text(F.col(text_col)).alias("text")).mapInArrow(run, "high long")
+    bit = F.pmod("high", F.lit(BITS)) + 1  # these functions count from 1
+    maps = highs.groupBy("high").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy(F.bitmap_bucket_number(bit).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map"))
+    found = np.zeros(BITS // 8, np.uint8)
+    for row in maps.toLocalIterator():  # BITS / 32,768 rows of 4 KB
+        at = (row.number - 1) * 4096
+        found[at : at + 4096] = np.frombuffer(row.map, np.uint8)
+    return found
+
+
+def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text", bits: np.ndarray | None = None) -> DataFrame:
     """doc_id, text_hash, ord, start, stop, begin, words, nth, prior, linked, high, low (the 128-bit digest) for each unit.
 
     begin counts the words of the text before the unit, nth the equal units right before it; linked sums, modulo
-    LINK, the hashes of all neighbouring pairs of units up to this one, prior those up to the one before.
+    LINK, the hashes of all neighbouring pairs of units up to this one, prior those up to the one before (0 where nth is 0).
+    bits: of repeated_bits(); units without their bit are left out.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = ENDS[unit]
+        ends, bits = ENDS[unit], shared.value
         for batch in batches:
-            row, ints, sums, digests = [], [], [], []
+            row, ints, sums, digests = array("q"), array("i"), array("q"), []
 
             def out() -> pa.RecordBatch:
-                parts = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-                ids, hashes = batch.column(0).take(pa.array(row, pa.int64())), batch.column(1).take(pa.array(row, pa.int64()))
-                columns = [pa.array(c) for c in (*np.array(ints, np.int32).T, *np.array(sums, np.int64).T, *parts.T)]
-                return pa.RecordBatch.from_arrays([ids, hashes, *columns], ["doc_id", "text_hash", "ord", "start", "stop", "begin", "words", "nth", "prior", "linked", "high", "low"])
+                highs = _highs(digests)
+                columns = [np.frombuffer(row, np.int64), *np.frombuffer(ints, np.int32).reshape(-1, 6).T, *np.frombuffer(sums, np.int64).reshape(-1, 2).T, *highs.T]
+                if bits is not None:
+                    bit = highs[:, 0] % BITS
+                    keep = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                    columns = [c[keep] for c in columns]
+                rows, *rest = map(pa.array, columns)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *rest], ["doc_id", "text_hash", "ord", "start", "stop", "begin", "words", "nth", "prior", "linked", "high", "low"])
 
             for i, text in enumerate(batch.column(2)):
                 begin, total, last, nth = 0, 0, b"", 0
                 for k, (a, b, w) in enumerate(cut_units(text.as_py(), ends)):
                     digest = xxhash.xxh3_128_digest(" ".join(w))
-                    prior, nth = total, nth + 1 if digest == last else 0
+                    prior, nth = (total, nth + 1) if digest == last else (0, 0)
                     total = (total + xxhash.xxh3_64_intdigest(last + digest)) % LINK
                     row.append(i)
-                    ints.append((k, a, b, begin, len(w), nth))
-                    sums.append((prior, total))
+                    ints.extend((k, a, b, begin, len(w), nth))
+                    sums.extend((prior, total))
                     digests.append(digest)
                     begin, last = begin + len(w), digest
                 if len(row) >= 100_000:
                     yield out()
-                    row, ints, sums, digests = [], [], [], []
+                    row, ints, sums, digests = array("q"), array("i"), array("q"), []
             if row:
                 yield out()
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), whole_text(F.col(text_col)).alias("text"))
+    rows = _texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, ord int, start int, stop int, begin int, words int, nth int, prior long, linked long, high long, low long")
 
@@ -125,10 +185,7 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", least_words: int = L
     texts have no units.
     """
     document = ["doc_id", "text_hash"]
-    cut = units(docs, unit, id_col, text_col)
-    # Screened by half of the digest: a digest too many does no harm here.
-    digests = spool(cut.groupBy("high").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("high").alias("h")), "digests")
-    cut = spool(cut.join(digests, F.col("high") == F.col("h"), "left_semi"), "repeated")
+    cut = spool(units(docs, unit, id_col, text_col, repeated_bits(docs, unit, text_col)), "repeated")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("ord").alias("ord"), F.col("linked").alias("linked"))
     firsts = spool(cut.groupBy(F.col("high").alias("h"), F.col("low").alias("l"), F.col("nth").alias("n")).agg(F.min(place).alias("first")), "firsts")
     later = cut.join(firsts, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("nth") == F.col("n"))).filter(place > F.col("first"))

@@ -75,6 +75,7 @@ def test_units_cover_the_words_in_place():
     text = "One two. Three\n four five! " + " ".join(f"w{i}" for i in range(200)) + "\n\nend"
     cut = list(X.cut_units(text, X.ENDS["sentence"]))
     assert [w for _, _, ws in cut for w in ws] == text.lower().split()
+    assert [ws for _, _, ws in cut] == list(X.cut_words(text, X.ENDS["sentence"]))
     for a, b, ws in cut:
         assert text[a:b].lower().split() == ws
 
