@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .overrides import override_faults
+
 Tables = dict[str, DataFrame]
 Rule = Callable[[Tables], DataFrame]
 
@@ -23,6 +25,17 @@ class Check:
     broken: Rule
 
 
+class Absent(LookupError):
+    """A rule has asked for a table that the run lacks."""
+
+
+class Given(dict):
+    """A run's tables, which tells a table that is not there from any other error."""
+
+    def __missing__(self, name: str) -> DataFrame:
+        raise Absent(name)
+
+
 def is_blank(column: str) -> Column:
     return F.coalesce(F.trim(F.col(column).cast("string")), F.lit("")) == ""
 
@@ -89,15 +102,16 @@ def unreviewed(table: str, condition: str, decisions: str = "decisions", id_: st
 
 
 def lint(tables: Tables, checks: list[Check]) -> DataFrame:
-    """All findings: code, severity, gate, id, message; rules whose table is absent are left out."""
-    found = None
+    """All findings: code, severity, gate, id, message; rules whose table is absent are left out. Without any table it is an error."""
+    if not tables:
+        raise ValueError("a run has at least one table")
+    found = next(iter(tables.values())).sparkSession.createDataFrame([], "code string, severity string, gate string, id string, message string")
     for c in checks:
         try:
-            rows = c.broken(tables)
-        except KeyError:
+            rows = c.broken(Given(tables))
+        except Absent:
             continue
-        rows = rows.select(F.lit(c.code).alias("code"), F.lit(c.severity).alias("severity"), F.lit(c.gate).alias("gate"), "id", F.concat(F.lit(c.message + ": "), F.coalesce("id", F.lit("unknown"))).alias("message"))
-        found = rows if found is None else found.unionByName(rows)
+        found = found.unionByName(rows.select(F.lit(c.code).alias("code"), F.lit(c.severity).alias("severity"), F.lit(c.gate).alias("gate"), "id", F.concat(F.lit(c.message + ": "), F.coalesce("id", F.lit("unknown"))).alias("message")))
     return found
 
 
@@ -124,6 +138,9 @@ RELEVANCES, INHERITANCES = ["direct", "indirect", "contextual"], ["explicit", "i
 
 #: The rules over a run's tables; the tables go by the names of the relations.
 RUN_CHECKS = [
+    Check("L1", "error", "overrides", "override of an unsupported artifact_type", lambda t: override_faults(t["decisions"], t["artefacts"]).filter("rule = 'L1'").select("id")),
+    Check("L2", "error", "overrides", "override references missing artifact", lambda t: override_faults(t["decisions"], t["artefacts"]).filter("rule = 'L2'").select("id")),
+    Check("L3", "error", "overrides", "invalid override replacement", lambda t: override_faults(t["decisions"], t["artefacts"]).filter("rule = 'L3'").select("id")),
     Check("L4", "error", "artifacts", "run_artifact missing content_hash", blank("run_artifacts", "content_hash")),
     Check("L5", "error", "propositions", "proposition missing source_record_id", blank("propositions", "source_record_id")),
     Check("L6", "error", "propositions", "orphan proposition source_record_id", orphan("propositions", "source_record_id", "sources", "id")),
@@ -148,7 +165,7 @@ RUN_CHECKS = [
     Check("L25", "error", "traces", "extraction trace references mismatched fragment/snapshot", mismatch("traces", "source_fragment_id", "fragments", "id", "source_snapshot_id", "source_snapshot_id")),
     Check("L26", "error", "inventory", "source_inventory rows are missing", empty("inventory")),
     Check("L27", "warning", "fetch", "source_fetch_metadata missing", orphan("sources", "id", "fetch_metadata", "source_record_id")),
-    Check("L28", "error", "fetch", "fetched source has no fetch attempt", lambda t: orphan("fetched", "id", "fetch_attempts", "source_record_id")({**t, "fetched": t["sources"].filter(~is_blank("source_url"))})),
+    Check("L28", "error", "fetch", "fetched source has no fetch attempt", lambda t: orphan("fetched", "id", "fetch_attempts", "source_record_id")(Given({**t, "fetched": t["sources"].filter(~is_blank("source_url"))}))),
     Check("L29", "warning", "snapshots", "snapshot parser metadata missing", where("snapshots", "coalesce(trim(parser_name), '') = '' OR coalesce(trim(parser_version), '') = ''")),
     Check("L30", "error", "fragments", "source fragment has no source_record_id", blank("fragments", "source_record_id")),
     Check("L31", "error", "fragments", "source fragment source_record_id not found", orphan("fragments", "source_record_id", "sources", "id")),
@@ -159,7 +176,7 @@ RUN_CHECKS = [
     Check("L36", "warning", "fragments", "source fragment fragment_type is unknown", where("fragments", "fragment_type = 'unknown'")),
     Check("L37", "warning", "fragments", "source fragment locator missing", blank("fragments", "locator")),
     Check("L38", "warning", "fragments", "duplicate source fragment id exists", duplicated("fragments")),
-    Check("L39", "warning", "parse", "parse trace missing for snapshot with fragments", lambda t: orphan("f", "source_snapshot_id", "parse_traces", "source_snapshot_id", "source_snapshot_id")({**t, "f": t["fragments"].select("source_snapshot_id").distinct()})),
+    Check("L39", "warning", "parse", "parse trace missing for snapshot with fragments", lambda t: orphan("f", "source_snapshot_id", "parse_traces", "source_snapshot_id", "source_snapshot_id")(Given({**t, "f": t["fragments"].select("source_snapshot_id").distinct()}))),
     Check("L40", "warning", "parse", "parse trace status failed but fragments exist", lambda t: t["parse_traces"].filter("status = 'failed'").join(t["fragments"].select("source_snapshot_id"), "source_snapshot_id", "left_semi").select(F.col("source_snapshot_id").alias("id"))),
     Check("L41", "error", "fetch", "successful fetch/cache_hit has no content_hash", where("fetch_attempts", "status IN ('success', 'cache_hit') AND coalesce(content_hash, '') = ''", "source_record_id")),
     Check("L42", "warning", "fetch", "successful fetch/cache_hit has no raw_artifact_uri", where("fetch_attempts", "status IN ('success', 'cache_hit') AND coalesce(raw_artifact_uri, '') = ''", "source_record_id")),
