@@ -51,6 +51,10 @@ def repair_in_place(spark: SparkSession, root: str, name: str, run_id: str, targ
     old = read_relation(spark, root, name, run_id).filter(F.col("bucket").isin(touched))
     new = written(_bucket(repaired(old.drop("bucket"), targets, rerun)).withColumn("run_id", F.lit(run_id)), "repaired")
     new.repartition("run_id", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "bucket").parquet(f"{root}/{name}")
+    # A partition that has lost all its rows is in no output, so it is overwritten by itself, with none.
+    left = {r.bucket for r in new.select("bucket").distinct().collect()}
+    for bucket in set(touched) - left:
+        new.limit(0).drop("run_id", "bucket").write.mode("overwrite").parquet(f"{root}/{name}/run_id={run_id}/bucket={bucket}")
     return touched
 
 
