@@ -84,7 +84,7 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     It cuts the lineage, and what is read twice is computed once; lost executors cost only their running tasks.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -11,6 +11,7 @@ a whole at one earlier place. Digests that occur once are kept out by a bitmap o
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ LEAST_WORDS = 20
 #: Words of a piece, at most, and of the windows that choose where units are cut. A repeated passage of n words keeps
 #: n - 2 * PIECE words or more in repeated pieces: 31 of 51.
 PIECE = 10
+#: Words of the units that are looked up; shorter ones go with those on either side, and stay where they end a passage.
+ANCHOR = 4
 #: Bits of the bitmap that tells repeated digests: 16 MB.
 BITS = 2**27
 #: Modulus of the sums that tell whether two documents agree between two places.
@@ -56,49 +59,30 @@ def cuts(hashes: list[int], window: int = PIECE) -> list[int]:
     return found
 
 
-def cut_units(text: str, ends: re.Pattern) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, stop, words) of each unit that has words; words are lower-cased."""
-    at = 0
-    for stop, after in [*((m.start(), m.end()) for m in ends.finditer(text)), (len(text), len(text))]:
-        unit = text[at:stop]
-        words = unit.lower().split()
-        if len(words) > PIECE:
-            spans = [m.span() for m in _WORD.finditer(unit)]
-            first = 0
-            for last in cuts([zlib.crc32(w.encode()) for w in words]):
-                yield at + spans[first][0], at + spans[last][1], words[first : last + 1]
-                first = last + 1
-            if first < len(words):
-                yield at + spans[first][0], stop, words[first:]
-        elif words:
-            yield at, stop, words
-        at = after
+def pieces(words: list[str]) -> list[int]:
+    """Where the pieces of a unit of these words end."""
+    if len(words) <= PIECE:
+        return [len(words)] if words else []
+    found = [last + 1 for last in cuts([zlib.crc32(w.encode()) for w in words])]
+    return found if found[-1] == len(words) else [*found, len(words)]
 
 
 def cut_words(text: str, ends: re.Pattern) -> Iterator[list[str]]:
-    """The words of the units of cut_units() alone."""
+    """The words of each unit, lower-cased, long ones cut into pieces."""
     for unit in ends.split(text):
         words = unit.lower().split()
-        if len(words) > PIECE:
-            first = 0
-            for last in cuts([zlib.crc32(w.encode()) for w in words]):
-                yield words[first : last + 1]
-                first = last + 1
-            words = words[first:]
-        if words:
-            yield words
-
+        first = 0
+        for end in pieces(words):
+            yield words[first:end]
+            first = end
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), whole_text(F.col(text_col)).alias("text"))
 
+def _digest(words: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words)) - 2**63
 
-def _highs(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
 
-
-def repeated_bits(docs: DataFrame, unit: str = "sentence", text_col: str = "text") -> np.ndarray:
-    """A bitmap of BITS bits: those of the digests that occur more than once in docs, modulo BITS.
+def repeated_bits(docs: DataFrame, unit: str = "sentence", anchor: int = ANCHOR, text_col: str = "text") -> bytes:
+    """A bitmap of BITS bits: those of the digests of anchors (units of so many words) that occur more than once in docs, modulo BITS.
 
     Digests are counted by a shuffle; only the bitmap, whose size is fixed, reaches the driver. The more digests repeat, the more
     others share their bits; that costs work, but no harm.
@@ -107,75 +91,77 @@ def repeated_bits(docs: DataFrame, unit: str = "sentence", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = ENDS[unit]
         for batch in batches:
-            digests: list[bytes] = []
+            digests = array("q")
             for text in batch.column(0):
-                digests += [xxhash.xxh3_128_digest(" ".join(w)) for w in cut_words(text.as_py(), ends)]
+                digests.extend(_digest(w) for w in cut_words(text.as_py(), ends) if len(w) >= anchor)
                 if len(digests) >= 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(_highs(digests)[:, 0])], ["high"])
-                    digests = []
-            if digests:
-                yield pa.RecordBatch.from_arrays([pa.array(_highs(digests)[:, 0])], ["high"])
-
-    highs = docs.select(whole_text(F.col(text_col)).alias("text")).mapInArrow(run, "high long")
-    bit = F.pmod("high", F.lit(BITS)) + 1  # these functions count from 1
-    maps = highs.groupBy("high").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy(F.bitmap_bucket_number(bit).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map"))
-    found = np.zeros(BITS // 8, np.uint8)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(digests, np.int64))], ["digest"])
+                    digests = array("q")
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(digests, np.int64), pa.int64())], ["digest"])
+
+    found = docs.select(whole_text(F.col(text_col)).alias("text")).mapInArrow(run, "digest long")
+    bit = F.pmod("digest", F.lit(BITS)) + 1  # these functions count from 1
+    maps = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy(F.bitmap_bucket_number(bit).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map"))
+    bits = bytearray(BITS // 8)
     for row in maps.toLocalIterator():  # BITS / 32,768 rows of 4 KB
-        at = (row.number - 1) * 4096
-        found[at : at + 4096] = np.frombuffer(row.map, np.uint8)
-    return found
+        bits[(row.number - 1) * 4096 : row.number * 4096] = row.map
+    return bytes(bits)
 
 
-def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text", bits: np.ndarray | None = None) -> DataFrame:
-    """doc_id, text_hash, ord, start, stop, begin, words, nth, prior, linked, high, low (the 128-bit digest) for each unit.
+def units(docs: DataFrame, unit: str = "sentence", anchor: int = 1, bits: bytes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, ord, start, stop, begin, words, nth, prior, linked, digest (64 bits) for each unit of `anchor` words or more.
 
-    begin counts the words of the text before the unit, nth the equal units right before it; linked sums, modulo
+    ord counts all units; begin counts the words of the text before the unit, nth the equal units right before it; linked sums, modulo
     LINK, the hashes of all neighbouring pairs of units up to this one, prior those up to the one before (0 where nth is 0).
-    bits: of repeated_bits(); units without their bit are left out.
+    bits: of repeated_bits(); units without their bit are left out, and their offsets aren't looked for.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, bits = ENDS[unit], shared.value
+        ends, bits, pair = ENDS[unit], shared.value, xxhash.xxh3_64_intdigest
+        pack = struct.Struct("<qq").pack
         for batch in batches:
-            row, ints, sums, digests = array("q"), array("i"), array("q"), []
+            row, ints, longs = array("q"), array("i"), array("q")
 
             def out() -> pa.RecordBatch:
-                highs = _highs(digests)
-                columns = [np.frombuffer(row, np.int64), *np.frombuffer(ints, np.int32).reshape(-1, 6).T, *np.frombuffer(sums, np.int64).reshape(-1, 2).T, *highs.T]
-                if bits is not None:
-                    bit = highs[:, 0] % BITS
-                    keep = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                    columns = [c[keep] for c in columns]
-                rows, *rest = map(pa.array, columns)
-                return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *rest], ["doc_id", "text_hash", "ord", "start", "stop", "begin", "words", "nth", "prior", "linked", "high", "low"])
+                rows = pa.array(np.frombuffer(row, np.int64), pa.int64())
+                columns = [*np.frombuffer(ints, np.int32).reshape(-1, 6).T, *np.frombuffer(longs, np.int64).reshape(-1, 3).T]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, columns)], ["doc_id", "text_hash", "ord", "start", "stop", "begin", "words", "nth", "prior", "linked", "digest"])
 
             for i, text in enumerate(batch.column(2)):
-                begin, total, last, nth = 0, 0, b"", 0
-                for k, (a, b, w) in enumerate(cut_units(text.as_py(), ends)):
-                    digest = xxhash.xxh3_128_digest(" ".join(w))
-                    prior, nth = (total, nth + 1) if digest == last else (0, 0)
-                    total = (total + xxhash.xxh3_64_intdigest(last + digest)) % LINK
-                    row.append(i)
-                    ints.extend((k, a, b, begin, len(w), nth))
-                    sums.extend((prior, total))
-                    digests.append(digest)
-                    begin, last = begin + len(w), digest
+                text, at, k, begin, total, last, nth = text.as_py(), 0, 0, 0, 0, 0, 0
+                for stop, after in [*((m.start(), m.end()) for m in ends.finditer(text)), (len(text), len(text))]:
+                    words = text[at:stop].lower().split()
+                    spans, first = None, 0
+                    for end in pieces(words):
+                        digest = _digest(words[first:end])
+                        prior, nth = (total, nth + 1) if k and digest == last else (0, 0)
+                        total = (total + pair(pack(last, digest))) % LINK
+                        if end - first >= anchor and (bits is None or bits[digest % BITS >> 3] >> (digest & 7) & 1):
+                            if len(words) <= PIECE:
+                                a, b = at, stop
+                            else:
+                                spans = spans or [m.span() for m in _WORD.finditer(text, at, stop)]
+                                a, b = spans[first][0], spans[end - 1][1] if end < len(words) else stop
+                            row.append(i)
+                            ints.extend((k, a, b, begin + first, end - first, nth))
+                            longs.extend((prior, total, digest))
+                        first, last, k = end, digest, k + 1
+                    begin, at = begin + len(words), after
                 if len(row) >= 100_000:
                     yield out()
-                    row, ints, sums, digests = array("q"), array("i"), array("q"), []
-            if row:
-                yield out()
+                    row, ints, longs = array("q"), array("i"), array("q")
+            yield out()
 
-    rows = _texts(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), whole_text(F.col(text_col)).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, ord int, start int, stop int, begin int, words int, nth int, prior long, linked long, high long, low long")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, ord int, start int, stop int, begin int, words int, nth int, prior long, linked long, digest long")
 
 
-def repeated_spans(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", anchor: int = ANCHOR) -> DataFrame:
     """doc_id, text_hash, start, stop, words, first_id for each span to remove.
 
-    A unit stays at its earliest place by (doc_id, hash of the text, place in the text), a null id last, and is
+    A unit of `anchor` words or more (least_words, if that is less) stays at its earliest place by (doc_id, hash of the text, place in the text), a null id last, and is
     repeated everywhere else, in the same document too. Repeated units of a document whose earliest places lie in one
     document at one distance belong together as far as all units between them, too, are the same in both
     documents: the sums of the units' linked hashes tell. So a span stands as a whole in the document first_id. A unit
@@ -185,10 +171,11 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", least_words: int = L
     texts have no units.
     """
     document = ["doc_id", "text_hash"]
-    cut = spool(units(docs, unit, id_col, text_col, repeated_bits(docs, unit, text_col)), "repeated")
+    anchor = min(anchor, least_words)
+    cut = spool(units(docs, unit, anchor, repeated_bits(docs, unit, anchor, text_col), id_col, text_col), "repeated")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("ord").alias("ord"), F.col("linked").alias("linked"))
-    firsts = spool(cut.groupBy(F.col("high").alias("h"), F.col("low").alias("l"), F.col("nth").alias("n")).agg(F.min(place).alias("first")), "firsts")
-    later = cut.join(firsts, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("nth") == F.col("n"))).filter(place > F.col("first"))
+    firsts = spool(cut.groupBy(F.col("digest").alias("d"), F.col("nth").alias("n")).agg(F.min(place).alias("first")), "firsts")
+    later = cut.join(firsts, (F.col("digest") == F.col("d")) & (F.col("nth") == F.col("n"))).filter(place > F.col("first"))
     where = [*document, "ord", "start", "stop", "begin", "words", "linked"]
     origin = later.select(*where, F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"), (F.col("ord") - F.col("first.ord")).alias("shift"), F.col("first.linked").alias("first_linked"))
     echoes = cut.filter("nth > 0").select(*where, F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"), F.lit(1).alias("shift"), F.col("prior").alias("first_linked"))

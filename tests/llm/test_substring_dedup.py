@@ -10,12 +10,29 @@ from pyspark.sql import functions as F
 from provisio.llm import substring_dedup as X
 
 
-def brute(docs, least=X.LEAST_WORDS):
+def cut_units(text):
+    """(start, stop, words) of all units, in the way that one would write down the rule."""
+    at = 0
+    for m in [*X.ENDS["sentence"].finditer(text), None]:
+        stop = m.start() if m else len(text)
+        words = [(at + w.start(), at + w.end()) for w in re.finditer(r"\S+", text[at:stop])]
+        said = text[at:stop].lower().split()
+        first = 0
+        for end in X.pieces(said):
+            if len(said) <= X.PIECE:
+                yield at, stop, said
+            else:
+                yield words[first][0], words[end - 1][1] if end < len(said) else stop, said[first:end]
+            first = end
+        at = m.end() if m else stop
+
+
+def brute(docs, least=X.LEAST_WORDS, anchor=X.ANCHOR):
     """{doc_id: places of removed units} and the units, for documents with distinct ids, by comparing the units themselves."""
     first, us, out = {}, {}, {}
     key = {}
     for d, t in sorted(docs):
-        us[d] = list(X.cut_units(t or "", X.ENDS["sentence"]))
+        us[d] = list(cut_units(t or ""))
         for k, u in enumerate(us[d]):
             nth = key[d, k - 1][1] + 1 if k and us[d][k - 1][2] == u[2] else 0
             key[d, k] = (tuple(u[2]), nth)
@@ -23,6 +40,8 @@ def brute(docs, least=X.LEAST_WORDS):
     for d in us:
         groups, spans = {}, []
         for k in range(len(us[d])):
+            if len(us[d][k][2]) < min(anchor, least):
+                continue
             if (place := first[key[d, k]]) != (d, k):
                 groups.setdefault((place[0], k - place[1]), set()).add(k)
             if key[d, k][1]:
@@ -73,7 +92,7 @@ def test_whole_table(spark, sf_dir):
 
 def test_units_cover_the_words_in_place():
     text = "One two. Three\n four five! " + " ".join(f"w{i}" for i in range(200)) + "\n\nend"
-    cut = list(X.cut_units(text, X.ENDS["sentence"]))
+    cut = list(cut_units(text))
     assert [w for _, _, ws in cut for w in ws] == text.lower().split()
     assert [ws for _, _, ws in cut] == list(X.cut_words(text, X.ENDS["sentence"]))
     for a, b, ws in cut:
@@ -111,7 +130,7 @@ def test_edge_cases(spark):
 
 
 def test_short_passages_at_random_places():
-    """A passage of 51 words, in the middle of sentences, keeps all but PIECE words at each edge in repeated units."""
+    """A passage of 51 words, in the middle of sentences, keeps all but PIECE words at each edge in repeated units; without short units, less."""
     rng = random.Random(51)
     own = lambda d: [f"own{d}x{k}" + "." * (rng.random() < 0.08) for k in range(80)]
     for end in (0.0, 0.08):
@@ -121,14 +140,16 @@ def test_short_passages_at_random_places():
             for d in (1, 2):
                 words, at = own(d), rng.randrange(80)
                 docs.append((d, " ".join(words[:at] + told + words[at:])))
-            gone, us = brute(docs)
+            gone, us = brute(docs, anchor=1)
             cut = words_of(us[2], gone[2])
             assert set(cut) <= set(told) and len(cut) >= 51 - 2 * X.PIECE, (trial, len(cut))
+            usual = words_of(us[2], brute(docs)[0][2])
+            assert set(usual) <= set(cut) and len(usual) >= 20, (trial, len(usual))
 
 
 def test_no_piece_is_long():
     text = " ".join(f"w{i % 7}" for i in range(300))
-    assert max(len(w) for _, _, w in X.cut_units(text, X.ENDS["sentence"])) <= X.PIECE
+    assert max(len(w) for _, _, w in cut_units(text)) <= X.PIECE
 
 
 def test_clashing_names_and_whole_lines(spark):
