@@ -78,13 +78,13 @@ def shared_warehouse(spark: SparkSession) -> None:
         raise ValueError("set spark.sql.warehouse.dir to a folder that driver and executors share")
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
+def spool(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     It cuts the lineage, and what is read twice is computed once; lost executors cost only their running tasks.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -172,7 +172,7 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", least_words: int = L
     """
     document = ["doc_id", "text_hash"]
     anchor = min(anchor, least_words)
-    cut = spool(units(docs, unit, anchor, repeated_bits(docs, unit, anchor, text_col), id_col, text_col), "repeated")
+    cut = spool(units(docs, unit, anchor, repeated_bits(docs, unit, anchor, text_col), id_col, text_col), "repeated", "zstd")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("ord").alias("ord"), F.col("linked").alias("linked"))
     firsts = spool(cut.groupBy(F.col("digest").alias("d"), F.col("nth").alias("n")).agg(F.min(place).alias("first")), "firsts")
     later = cut.join(firsts, (F.col("digest") == F.col("d")) & (F.col("nth") == F.col("n"))).filter(place > F.col("first"))
