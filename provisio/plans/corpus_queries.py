@@ -83,6 +83,29 @@ UNION ALL SELECT id, 1, 'article:2a', rest, 'article_plain' FROM b WHERE NOT one
 """
 
 
+_FORMS = """SELECT p_partkey AS id, CASE WHEN p_partkey % 8 < 4 THEN ' ' ELSE 'act:' || CAST(p_partkey AS STRING) END AS locator, CASE CAST(p_partkey % 4 AS INT)
+ WHEN 0 THEN '<act>' || p_brand || '<Article n="7">' || p_name || '</Article><eu:article>' || p_type || '</eu:article><article num=''09''>end</article></act>'
+ WHEN 1 THEN 'Intro of ' || p_name || chr(10) || 'Section 1 Scope' || chr(10) || p_type || chr(10) || 'section 2. Rules' || chr(10) || p_brand || chr(10) || 'See Section 3'
+ WHEN 2 THEN {long} ELSE 'Article 5' || chr(10) || p_name || chr(10) || 'no other article' END AS body FROM {part}"""
+#: Five paragraphs of 1,000 characters: two fit into a chunk of 2,048.
+_LONG = "chr(10) || " + " || chr(10) || chr(10) || ".join(f"rpad(p_name || ' paragraph {i} ', 999, 'x{i}') || '.'" for i in range(5))
+
+
+def slice_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruments with article tags, with sections, with long paragraphs and in one piece, cut to 2,048 characters."""
+    rows = spark.sql(_FORMS.replace("{long}", _LONG), part=_table(spark, sf_dir, "part"))
+    return X.plan_slices(rows, "id", "body", "locator", 2048).drop("nth")
+
+
+FORMS_SQL = f"""
+WITH p AS (SELECT *, CASE WHEN p_partkey % 8 < 4 THEN 'document:full' ELSE 'act:' || p_partkey END AS own FROM part),
+x AS (SELECT p_partkey AS id, unnest([0, 1, 2, 3]) AS part, unnest(['article:1', 'article:7', 'article:3', 'article:09']) AS locator, unnest(['<act>' || p_brand, '<Article n="7">' || p_name || '</Article>', '<eu:article>' || p_type || '</eu:article>', '<article num=''09''>end</article></act>']) AS piece, 'article_xml' AS strategy FROM p WHERE p_partkey % 4 = 0),
+s AS (SELECT p_partkey, unnest([0, 1]), unnest(['section:1', 'section:2.']), unnest(['Section 1 Scope' || chr(10) || p_type, 'section 2. Rules' || chr(10) || p_brand || chr(10) || 'See Section 3']), 'section_plain' FROM p WHERE p_partkey % 4 = 1),
+l AS (SELECT p_partkey, 0, own || '|chunk:00' || unnest([0, 1, 2]), unnest([{", ".join(" || chr(10) || chr(10) || ".join(f"rpad(p_name || ' paragraph {i} ', 999, 'x{i}') || '.'" for i in pair) for pair in ((0, 1), (2, 3), (4,)))}]), 'monolith|chunk' FROM p WHERE p_partkey % 4 = 2)
+SELECT * FROM x UNION ALL SELECT * FROM s UNION ALL SELECT * FROM l UNION ALL SELECT p_partkey, 0, own, 'Article 5' || chr(10) || p_name || chr(10) || 'no other article', 'monolith' FROM p WHERE p_partkey % 4 = 3
+"""
+
+
 def fragment_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as fragments; those above 4,096 characters become slices that name their parent."""
     rows = _table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("source_record_id"), F.lit("full").alias("locator"), F.col("text").alias("fragment_text"))
@@ -362,6 +385,7 @@ QUERIES = {
     "heading_split": (heading_split, HEADING_SQL),
     "paragraph_overlap_chunks": (paragraph_overlap_chunks, None),
     "slice_plan": (slice_plan, SLICE_SQL),
+    "slice_forms": (slice_forms, FORMS_SQL),
     "fragment_expansion": (fragment_expansion, None),
     "structured_list_drafts": (structured_list_drafts, LIST_SQL),
     "content_hash_reuse": (content_hash_reuse, REUSE_SQL),
