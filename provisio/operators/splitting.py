@@ -207,3 +207,21 @@ def budget(docs: DataFrame, id_col: str, text: str, source: str, prompt_chars: i
     rows = docs.select(F.col(source).alias("source"), F.col(id_col).alias("id"), T.estimated_tokens(F.length(F.coalesce(F.col(text), F.lit(""))) + prompt_chars).alias("tokens"))
     by = rows.groupBy("source").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("total_tokens"), F.max("tokens").alias("max_tokens"), F.min_by("id", F.struct(-F.col("tokens"), F.col("id"))).alias("largest_id"), F.count_if(F.col("tokens") > PROMPT_TOKENS).alias("over_budget"))
     return by.withColumn("cost_class", cost_class(F.lit(1), F.col("calls"), F.col("max_tokens"), F.col("over_budget")))
+
+
+def text_headings(docs: DataFrame, id_col: str, text_col: str, longest: int = 80, words: int = 10) -> DataFrame:
+    """id, ord, heading, body of plain texts, cut at lines that look like headings: short, with a capital first, of few words, no item
+    of a list and without a full stop at the end. What stands before the first one is the "Introduction"; headings without
+    a body give no row. Null texts are empty.
+    """
+    ends = F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "\r\n?", "\n"), "\n")
+    # Numbered before they are taken apart, so that rows of one id stay apart.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), ends.alias("lines"))
+    lines = rows.select("row", "id", F.posexplode("lines").alias("nth", "line"))
+    bare = F.regexp_replace("line", r"^\s+|\s+$", "")
+    heading = (F.length(bare) < longest) & bare.rlike(r"^\p{Lu}") & ~F.endswith(bare, F.lit(".")) & (F.size(F.split(bare, r"\s+")) <= words)
+    over = W.partitionBy("row").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
+    runs = lines.withColumn("heading", F.when(heading, bare)).withColumn("ord", F.count("heading").over(over))
+    said = F.transform(F.sort_array(F.collect_list(F.when(F.col("heading").isNull(), F.struct("nth", "line")))), lambda x: x["line"])
+    cut = runs.groupBy("row", "id", "ord").agg(F.coalesce(F.max("heading"), F.lit("Introduction")).alias("heading"), F.regexp_replace(F.array_join(said, "\n"), r"^\s+|\s+$", "").alias("body"))
+    return cut.filter("body <> ''").drop("row")
