@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.runs import written
 from .explorer import lineage_text
 
 # The separators of keys.
@@ -61,7 +62,8 @@ def merged(rows: DataFrame, links: DataFrame) -> DataFrame:
     with_id = found.filter(_or_empty("id") != "")
     others = [c for c in found.columns if c not in ("merged_key", "id")]
     once = with_id.groupBy("merged_key", "id").agg(F.min_by(F.struct(*others), F.struct("sub_key", "ord")).alias("r")).select("merged_key", "id", "r.*")
-    return once.select(found.columns).unionByName(found.filter(_or_empty("id") == ""))
+    # Written, as summaries, sections and details read the rows several times.
+    return written(once.select(found.columns).unionByName(found.filter(_or_empty("id") == "")), "merged")
 
 
 def row_order() -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import evidence as V
+from ..sources.runs import written
 from .fixture import _pick
 
 # The seed taxonomy: scope_id (also its slug), label, parent, type, synonyms.
@@ -73,13 +74,13 @@ def scope_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scope_evidence_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links with the scopes above."""
     props, sources, scopes = _tables(spark, sf_dir)
-    return V.inherited_evidence(V.scope_evidence(props, sources, scopes), scopes)
+    return V.inherited_evidence(written(V.scope_evidence(props, sources, scopes), "links"), scopes)
 
 
 def scope_review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reviewer of the links should look at."""
     props, sources, scopes = _tables(spark, sf_dir)
-    links = V.scope_evidence(props, sources, scopes)
+    links = written(V.scope_evidence(props, sources, scopes), "links")  # read four times
     return V.review_candidates(links, V.inherited_evidence(links, scopes), scopes, "run-1")
 
 
