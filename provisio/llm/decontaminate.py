@@ -15,8 +15,9 @@ MAX_BROADCAST = 1_000_000
 BITS = 2**27
 #: Words of a window that are looked up first.
 HEAD = 3
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ matches, told by what is in the class: Java takes a quarter of the time for it.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+ANY_CASE_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def _words(text: Column) -> Column:
@@ -67,9 +68,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadc
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("items")).filter("false")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), _words(F.col(text_col)).alias("words"))
     lengths = F.array(*(F.lit(r["length"]) for r in sorted(found)))
-    # Positions come last, so that no row with a whole text is copied for each of its words.
+    # Positions come last, so that no row with a whole text is copied for each of its words. The outer form keeps Spark from
+    # cutting the words twice: for the inner one it first filters texts by whether they have any. The null start drops out.
     at = texts.withColumn("at_length", F.explode(lengths)) if len(found) > 1 else texts.withColumn("at_length", F.lit(found[0]["length"]))
-    at = at.select("*", F.posexplode("words").alias("start", "word")).filter(F.col("start") + F.col("at_length") <= F.size("words"))
+    at = at.select("*", F.posexplode_outer("words").alias("start", "word")).filter(F.col("start") + F.col("at_length") <= F.size("words"))
     gram = F.slice("words", F.col("start") + 1, F.col("at_length"))
     if sum(r["n"] for r in found) <= max_broadcast:
         # Few positions begin with the first words of a test window; only those build and hash the whole window.

@@ -72,3 +72,22 @@ def test_bitmap_keeps_every_beginning_and_few_others(spark):
     kept = X.maybe_begins(words, X.test_windows(items)).groupBy("start").count().collect()
     at = {r.start: r["count"] for r in kept}
     assert at[30] == at[31] == 300 and sum(at.values()) < 610
+
+
+def test_words_are_cut_once(spark):
+    """One pass over the texts for the windows, one for n_words: the words of a text are cut once in each, also with several lengths."""
+    docs, many = spark.createDataFrame(DOCS, "doc_id long, text string, items int"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    for items in (many, many.filter("item_id IN (1, 10)")):
+        for max_broadcast in (X.MAX_BROADCAST, 0):
+            plan = X.hits(docs, items, max_broadcast=max_broadcast)._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("regexp_extract_all") == 1
+
+
+def test_words_at_every_code_point(spark):
+    from pyspark.sql import functions as F
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [(k, "".join(f"Qx{chr(c)}" for c in points[k : k + 4096])) for k in range(0, len(points), 4096)]
+    rows = spark.createDataFrame(texts, "k long, text string").select("k", X._words(F.col("text")).alias("w"), F.regexp_count("text", F.lit(X.ANY_CASE_WORD)).alias("n")).collect()
+    want = {k: words(t) for k, t in texts}
+    assert {r.k: r.w for r in rows} == want and {r.k: r.n for r in rows} == {k: len(w) for k, w in want.items()}
