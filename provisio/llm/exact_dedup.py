@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, only, shared_warehouse, spool, table, unused, whole_text
+from .common import SPACES, only, shared_dir, shared_warehouse, spool, table, unused, whole_text
 
 #: Digests of a bucket, at most, when the index chooses their number.
 BUCKET_ROWS = 1_000_000
@@ -44,12 +44,14 @@ class DigestIndex:
 
     name: table to create or to go on with; buckets: files a batch adds. A new index without them takes as many as its
     first batch calls for, so give them for a corpus that will grow; one that exists keeps its own. More batches than a few
-    dozen call for compact(). The warehouse must be a folder that driver and executors share.
+    dozen call for compact(). path: folder of the table's files, which driver and executors must share; without it they
+    go to the warehouse, which must be such a folder. drop() leaves the files below a given path.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
-        shared_warehouse(spark)
-        self.spark, self.name, self.buckets = spark, name, buckets
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None, path: str | None = None):
+        if path is None:
+            shared_warehouse(spark)
+        self.spark, self.name, self.buckets, self.path = spark, name, buckets, path
         if spark.catalog.tableExists(name):
             found = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
             self.buckets = int(found["Num Buckets"])
@@ -60,8 +62,8 @@ class DigestIndex:
 
     def _write(self, rows: DataFrame, name: str, mode: str) -> None:
         self.buckets = self.buckets or buckets_for(rows.count())
-        (rows.repartition(self.buckets, "text_sha256").write.mode(mode).format("parquet")
-         .bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").saveAsTable(name))
+        writer = rows.repartition(self.buckets, "text_sha256").write.mode(mode).format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256")
+        (writer.option("path", self.path) if self.path else writer).saveAsTable(name)
 
     def missing(self, rows: DataFrame) -> DataFrame:
         """The rows whose digest the index lacks."""
@@ -110,8 +112,9 @@ class DigestIndex:
 
     def compact(self) -> "DigestIndex":
         """Rewrite the index with one sorted file a bucket, under a new name; return that index."""
-        target = DigestIndex(self.spark, f"{self.name}_{uuid.uuid4().hex[:8]}", self.buckets)
-        self._write(self.rows(), target.name, "errorifexists")
+        tail = f"_{uuid.uuid4().hex[:8]}"
+        target = DigestIndex(self.spark, self.name + tail, self.buckets, self.path and self.path + tail)
+        target._write(self.rows(), target.name, "errorifexists")
         return target
 
     def drop(self) -> None:
@@ -121,8 +124,12 @@ class DigestIndex:
 
 @contextmanager
 def temporary_index(spark: SparkSession, docs: DataFrame) -> Iterator[DigestIndex]:
-    """An index with room for all of docs that is dropped at the end, also if the work fails."""
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets_for(docs.count()))
+    """An index with room for all of docs that is dropped at the end, also if the work fails.
+
+    Its files stand beside the spooled ones: all that the work needs of the cluster is the folder of spark.checkpoint.dir.
+    """
+    name = f"digest_index_{uuid.uuid4().hex}"
+    index = DigestIndex(spark, name, buckets_for(docs.count()), f"{shared_dir(spark)}/{name}")
     try:
         yield index
     finally:

@@ -97,3 +97,20 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a", 7, 8), (2, "a", 7, 8), (3, "b", 7, 8)], "doc_id long, text string, __id int, __own_sha int")
     kept = X.keep_distinct(docs, _index(spark))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_query_and_stage_do_without_the_warehouse(spark, sf_dir, monkeypatch):
+    """A cluster session may have a warehouse of its own machine only; the index stands in the shared folder then."""
+
+    def refuse(session):
+        raise ValueError("set spark.sql.warehouse.dir to a folder that driver and executors share")
+
+    monkeypatch.setattr(X, "shared_warehouse", refuse)
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    with X.temporary_index(spark, docs) as index:
+        kept = X.keep_distinct(docs, index)
+        files = index.rows().inputFiles()
+        assert files and all(X.shared_dir(spark).removeprefix("file:") in f for f in files)
+        assert index.compact().rows().count() == index.rows().count()
+    assert index.rows() is None and sorted((r.doc_id or 0, r.kept) for r in kept.collect()) == [(2, 2), (4, 4), (5, 5), (6, 7)]
+    assert X.op10_exact_dedup(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
