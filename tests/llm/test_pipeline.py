@@ -50,3 +50,16 @@ def test_all_eleven_are_registered():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_stage_of_exact_copies_does_without_the_warehouse(spark, sf_dir, monkeypatch):
+    """Stage 2 reads and writes nothing outside the shared folder, so a warehouse that a cluster doesn't share is no error."""
+    from provisio.llm import exact_dedup
+
+    def refuse(session):
+        raise ValueError("set spark.sql.warehouse.dir to a folder that driver and executors share")
+
+    monkeypatch.setattr(exact_dedup, "shared_warehouse", refuse)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = corpus_pipeline.drop_copies(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
