@@ -76,7 +76,7 @@ def csv_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = M.best_match(_related(spark, sf_dir))
     rows = statements.join(best, "query_id", "left")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return rows.select("query_id", "label", text("item_id").alias("item"), text("relationship").alias("relationship"), text("confidence").alias("confidence"), F.when(F.col("score").isNotNull(), F.format_string("%.2f", "score")).otherwise("").alias("score"))
+    return rows.select("query_id", "label", text("item_id").alias("item"), text("relationship").alias("relationship"), text("confidence").alias("confidence"), F.coalesce(F.format_number("score", 2), F.lit("")).alias("score"))
 
 
 CSV_SQL = f"""
