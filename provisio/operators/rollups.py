@@ -51,12 +51,13 @@ def gate_of(message: Column, gates: list[tuple[str, list[str]]] = GATES) -> Colu
     return F.coalesce(*hit, F.lit("general"))
 
 
-def extraction_traces(props: DataFrame, use_llm: bool, prompt: tuple[str, str] = ("extract.propositions.default", "v2"), strategy: str = "v1") -> DataFrame:
+def extraction_traces(props: DataFrame, use_llm: bool, prompt: tuple[str, str] = ("extract.propositions.default", "v2"), strategy: str = "v1", carry: list[str] | None = None) -> DataFrame:
     """A trace for each proposition: how it was extracted, by what, how sure, with what warnings.
 
     props: id, proposition_text, notes, meta (JSON text or null), review_status, fragment_locator, article_reference.
     Returns trace_id, id, method, extractor, prompt_id, prompt_version, rule_id, confidence, reason, warnings, errors,
-    validation_errors, status, evidence_text, evidence_locator, fallback_used. Meta that is no JSON object counts as none.
+    validation_errors, status, evidence_text, evidence_locator, fallback_used, and the columns of props named by carry. Meta that
+    is no JSON object counts as none.
     """
     meta = F.from_json("meta", META)
     rows = props.withColumn("m", F.when(F.substring(F.trim("meta"), 1, 1) == "{", meta))
@@ -81,7 +82,7 @@ def extraction_traces(props: DataFrame, use_llm: bool, prompt: tuple[str, str] =
     return rows.select(
         F.concat(F.lit("trace:"), T.short_hash(F.col("id"))).alias("trace_id"), "id", "method", extractor.alias("extractor"), F.when(method != "heuristic", prompt[0]).alias("prompt_id"), F.when(method != "heuristic", F.coalesce(place("m.prompt_version"), F.lit(prompt[1]))).alias("prompt_version"), F.when(method != "llm", "extract.heuristic.normative_sentences").alias("rule_id"), F.lit(strategy).alias("rule_version"),
         confidence.alias("confidence"), F.when(has & wrong, F.array_join("validation_errors", "; ")).when(has, of(REASONS["traced"])).otherwise(of(REASONS["classified"])).alias("reason"), warnings.alias("warnings"), F.when(empty, F.array(F.lit("empty proposition_text"))).otherwise(none).alias("errors"), "validation_errors",
-        F.when(empty, "failed").when(wrong, "partial_success").otherwise("success").alias("status"), F.coalesce(F.when(has, F.col("m.evidence_quote")), "proposition_text").alias("evidence_text"), F.coalesce(place("fragment_locator"), place("article_reference")).alias("evidence_locator"), F.when(has, fell).alias("fallback_used"),
+        F.when(empty, "failed").when(wrong, "partial_success").otherwise("success").alias("status"), F.coalesce(F.when(has, F.col("m.evidence_quote")), "proposition_text").alias("evidence_text"), F.coalesce(place("fragment_locator"), place("article_reference")).alias("evidence_locator"), F.when(has, fell).alias("fallback_used"), *(carry or []),
     )
 
 
@@ -92,9 +93,11 @@ def trace_metrics(traces: DataFrame) -> DataFrame:
     return traces.agg(F.count(F.lit(1)).alias("traced_count"), *by.values(), total("warnings").alias("warning_count"), total("errors").alias("error_count"), F.count_if(F.col("fallback_used")).alias("fallback_used_count"), F.count_if(F.lower("confidence") == "low").alias("low_confidence_count"))
 
 
-def call_summary(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def call_summary(calls: DataFrame, keys: list[str] | None = None, more: list[Column] | None = None) -> DataFrame:
     """Counts over traces of model calls (of each key, or in all), and the place of the largest call, the first at a tie.
 
+    more: aggregates that the same pass is to return besides.
+
     calls: ord, llm_invoked, skipped_llm, skip_reason, estimated_input_tokens, fragment_locator, source_record_id. One
     pass: the largest call is kept as a struct ordered by tokens, then by the earliest ord. Estimates that are
     not above zero don't count; blank places are null.
@@ -102,7 +105,7 @@ def call_summary(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
     tokens = F.when(F.col("estimated_input_tokens") > 0, F.col("estimated_input_tokens"))
     place = lambda c: F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.trim(c))
     largest = F.min(F.when(tokens.isNotNull(), F.struct((-tokens).alias("less"), F.col("ord"), place("fragment_locator").alias("locator"), place("source_record_id").alias("source"))))
-    counts = [F.count_if(F.col("llm_invoked")).alias("llm_extraction_call_count"), F.count_if(F.col("skipped_llm")).alias("llm_extraction_skipped_count"), F.count_if(F.col("skip_reason") == "context_window_risk").alias("context_window_risk_count"), F.coalesce(F.sum(tokens), F.lit(0)).alias("estimated_input_tokens"), largest.alias("__l")]
+    counts = [F.count_if(F.col("llm_invoked")).alias("llm_extraction_call_count"), F.count_if(F.col("skipped_llm")).alias("llm_extraction_skipped_count"), F.count_if(F.col("skip_reason") == "context_window_risk").alias("context_window_risk_count"), F.coalesce(F.sum(tokens), F.lit(0)).alias("estimated_input_tokens"), largest.alias("__l"), *(more or [])]
     found = calls.groupBy(*keys).agg(*counts) if keys else calls.agg(*counts)
     return found.select(*(keys or []), *(c for c in found.columns if c not in {"__l", *(keys or [])}), (-F.col("__l.less")).alias("max_estimated_input_tokens"), F.col("__l.locator").alias("largest_fragment_locator"), F.col("__l.source").alias("largest_source_record_id"))
 
@@ -110,12 +113,20 @@ def call_summary(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def calls_of_stages(stages: DataFrame) -> DataFrame:
     """The call traces nested in the inputs of a run's first stage "proposition extraction", one row each, with ord.
 
-    stages: run_id, position, stage_name, inputs (JSON text with extraction_mode and extraction_llm_call_traces).
+    stages: run_id, position, stage_name, inputs (JSON text with extraction_mode and extraction_llm_call_traces), and part where
+    the inputs of a long stage stand in several rows, each with the next calls. Every row is parsed by itself, so no
+    task needs all calls of a run at once; ord goes on from part to part.
     """
     call = "struct<llm_invoked:boolean,skipped_llm:boolean,skip_reason:string,estimated_input_tokens:long,fragment_locator:string,source_record_id:string>"
-    parsed = stages.filter("stage_name = 'proposition extraction'").groupBy("run_id").agg(F.min_by("inputs", "position").alias("inputs"))
+    named = stages.filter("stage_name = 'proposition extraction'")
+    if "part" in stages.columns:
+        first = named.groupBy("run_id").agg(F.min("position").alias("position"))
+        named = named.join(first, ["run_id", "position"]).select("run_id", F.col("part").cast("long").alias("part"), "inputs")
+    else:
+        named = named.groupBy("run_id").agg(F.min_by("inputs", "position").alias("inputs")).select("run_id", F.lit(0).cast("long").alias("part"), "inputs")
     inputs = F.from_json("inputs", f"extraction_mode string, extraction_llm_call_traces array<{call}>")
-    return parsed.withColumn("i", inputs).select("run_id", F.col("i.extraction_mode").alias("extraction_mode"), F.posexplode_outer("i.extraction_llm_call_traces").alias("ord", "c")).select("run_id", "extraction_mode", "ord", "c.*")
+    rows = named.withColumn("i", inputs).select("run_id", "part", F.col("i.extraction_mode").alias("extraction_mode"), F.posexplode_outer("i.extraction_llm_call_traces").alias("at", "c"))
+    return rows.select("run_id", "extraction_mode", (F.col("part") * 2**32 + F.col("at")).alias("ord"), "c.*")
 
 
 def job_metrics(runs: DataFrame, calls: DataFrame, traces: DataFrame, props: DataFrame) -> DataFrame:
@@ -124,11 +135,11 @@ def job_metrics(runs: DataFrame, calls: DataFrame, traces: DataFrame, props: Dat
     runs: run_id, status, source_count, proposition_count, warning_count, llm_extraction_call_count (nulls and zeros fall back); calls: of
     calls_of_stages(); traces: run_id, confidence, fallback_used; props: run_id. job_status: fail, warning or pass.
     """
-    summary = call_summary(calls.filter("ord IS NOT NULL"), ["run_id"]).withColumnRenamed("llm_extraction_call_count", "__calls")
+    # A run without calls has one row of nulls, which counts nothing but may state the mode.
+    summary = call_summary(calls, ["run_id"], [F.first("extraction_mode", True).alias("extraction_mode")]).withColumnRenamed("llm_extraction_call_count", "__calls")
     sure = traces.groupBy("run_id").agg(F.count_if(F.col("fallback_used")).alias("fallback_count"), F.count_if(F.lower("confidence") == "low").alias("low_confidence_count"))
     counted = props.groupBy("run_id").agg(F.count(F.lit(1)).alias("__props"), F.countDistinct("source_record_id").alias("__sources"))
-    mode = calls.groupBy("run_id").agg(F.first("extraction_mode").alias("extraction_mode"))
-    rows = runs.join(summary, "run_id", "left").join(sure, "run_id", "left").join(counted, "run_id", "left").join(mode, "run_id", "left")
+    rows = runs.join(summary, "run_id", "left").join(sure, "run_id", "left").join(counted, "run_id", "left")
     stated = lambda a, b: F.coalesce(F.when(F.col(a) != 0, F.col(a)), F.col(b), F.lit(0)).cast("long").alias(a)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     low = F.lower(F.trim("status"))

@@ -130,12 +130,16 @@ def call_trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.call_summary(_rows(spark, sf_dir, _CALLS), ["run_id"])
 
 
+#: Events whose calls share a row of a stage trace: 4,096 calls of each of the eight runs.
+PART_EVENTS = 32_768
+
+
 def _stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage traces of the runs with their calls nested in JSON."""
-    calls = _rows(spark, sf_dir, _CALLS)
+    """Stage traces of the runs with their calls nested in JSON, in parts of bounded size."""
+    calls = _rows(spark, sf_dir, _CALLS).withColumn("part", F.floor(F.col("ord") / PART_EVENTS))
     fields = F.struct("ord", "llm_invoked", "skipped_llm", "skip_reason", "estimated_input_tokens", "fragment_locator", "source_record_id")
-    nested = calls.groupBy("run_id").agg(F.to_json(F.struct(F.when(F.col("run_id") != "run-3", "frontier").alias("extraction_mode"), F.sort_array(F.collect_list(fields)).alias("extraction_llm_call_traces"))).alias("inputs"))
-    first = nested.select("run_id", F.lit(1).alias("position"), F.lit("proposition extraction").alias("stage_name"), "inputs")
+    nested = calls.groupBy("run_id", "part").agg(F.to_json(F.struct(F.when(F.col("run_id") != "run-3", "frontier").alias("extraction_mode"), F.sort_array(F.collect_list(fields)).alias("extraction_llm_call_traces"))).alias("inputs"))
+    first = nested.select("run_id", F.lit(1).alias("position"), "part", F.lit("proposition extraction").alias("stage_name"), "inputs")
     return first.unionByName(first.withColumns({"position": F.lit(2), "inputs": F.lit("{}")})).unionByName(first.withColumns({"position": F.lit(0), "stage_name": F.lit("other")}))
 
 
@@ -143,7 +147,7 @@ def job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of each run from its stage traces, traces and propositions."""
     props = _noted(spark, sf_dir)
     runs = props.select("run_id").distinct().select("run_id", F.when(F.col("run_id") == "run-1", "FAIL").when(F.col("run_id") == "run-2", "pass_with_warnings").otherwise("pass").alias("status"), F.when(F.col("run_id") == "run-4", 77).otherwise(0).alias("source_count"), F.lit(None).cast("long").alias("proposition_count"), F.lit(3).alias("warning_count"), F.lit(0).alias("llm_extraction_call_count"))
-    traces = R.extraction_traces(props, True).join(props.select("id", "run_id"), "id")
+    traces = R.extraction_traces(props, True, carry=["run_id"])
     return R.job_metrics(runs, R.calls_of_stages(_stages(spark, sf_dir)), traces, props)
 
 

@@ -152,3 +152,31 @@ def test_traces_and_merges_without_rows(spark):
     row = lambda *r: spark.createDataFrame([r], "ord int, id string, title string")
     got = N.merged_sources(row(1, "a", "mirror"), row(1, " a ", None), row(1, "b", "listed"), ["title"]).collect()
     assert {r.id: (r.title, r.summary_only) for r in got} == {"a": (None, False), "b": ("listed", True)}
+
+
+def test_calls_of_stages_in_parts(spark):
+    """A stage trace in several rows gives the calls of one whole row, in its order; no row of the query holds all calls of a run."""
+    import json
+
+    from provisio.operators import rollups as U
+
+    calls = [{"llm_invoked": i % 2 == 0, "skipped_llm": False, "skip_reason": None, "estimated_input_tokens": i % 3 + 1, "fragment_locator": f"a{i}", "source_record_id": f"s{i}"} for i in range(7)]
+    text = lambda c: json.dumps({"extraction_mode": "frontier", "extraction_llm_call_traces": c})
+    name, columns = "proposition extraction", "run_id string, position int, stage_name string, inputs string"
+    whole = U.calls_of_stages(spark.createDataFrame([("r", 1, name, text(calls)), ("r", 2, name, text(calls[:1]))], columns))
+    rows = [("r", 1, name, text(calls[i : i + 3]), i // 3) for i in (3, 6, 0)] + [("r", 2, name, text(calls[:1]), 0)]
+    parts = U.calls_of_stages(spark.createDataFrame(rows, columns + ", part int"))
+    plain = lambda d: [tuple(r) for r in d.orderBy("ord").drop("ord").collect()]
+    assert plain(parts) == plain(whole) and len(plain(whole)) == 7
+    assert U.call_summary(parts, ["run_id"]).first().largest_fragment_locator == "a2"
+
+
+def test_stage_traces_hold_a_bounded_number_of_calls(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from provisio.plans import record_queries as Q
+
+    n = 3 * 32_768
+    spark.range(n).selectExpr("id AS event_id", "id % 100 AS user_id", "'click' AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    held = Q._stages(spark, str(tmp_path)).filter("position = 1").select(F.expr("json_array_length(get_json_object(inputs, '$.extraction_llm_call_traces'))").alias("n"))
+    assert held.agg(F.max("n"), F.sum("n")).first() == (4096, n)
