@@ -2,61 +2,121 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors in a block; a task holds two blocks and their scores.
-BLOCK = 2048
+#: Components of all vectors of a block; a task holds two blocks, in single and in double precision.
+BLOCK_VALUES = 2**21
+#: Vectors of a block that are worth a task of their own.
+LEAST_BLOCK = 1024
+#: Queries and items whose products a task holds at once; pairs whose exact scores it computes at once.
+TILE, PAIRS = (256, 4096), 2**16
 # Order of relationships and confidences in the choice of a best match.
 RELATIONSHIPS = ["confirmed", "guidance omits detail", "guidance contains additional detail", "outdated", "contradicts", "does not match"]
 CONFIDENCES = ["high", "medium", "low"]
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.4, block: int = BLOCK) -> DataFrame:
-    """(query_id, item_id, score, rank): the k items of highest cosine at or above the threshold for each query.
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows, filled up with zeros to the longest; null components are not numbers."""
+    lists = column.combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+    rows = np.zeros((len(sizes), sizes.max(initial=0)))
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return rows
+
+
+def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The norm of each row, and the row over it in single precision (zeros where the norm is none)."""
+    norms = np.linalg.norm(rows, axis=1)
+    some = (norms > 0) & np.isfinite(norms)
+    return norms, np.divide(rows, norms[:, None], out=np.zeros_like(rows), where=some[:, None]).astype(np.float32)
 
-    queries, items: id, vector. Both sides are cut into blocks; every pair of blocks is one matrix product, which hands on
-    k rows a query at most. Ties go to the smaller item id. Products run over the common length of a pair, norms over each
-    whole vector; a vector of zeros or without values scores 0, a null one matches nothing.
+
+def _best_pairs(a: np.ndarray, b: np.ndarray, ids: np.ndarray, starts: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, ...]:
+    """(row of a, item id, score): the k best items of each row, the smaller id at a tie. Row j of b has ids[starts[j]:starts[j + 1]].
+
+    Products in single precision leave out the pairs that can't reach the threshold or the k-th best score found so far,
+    by a bound of their error; all others get their score in double precision.
     """
+    width = max(a.shape[1], b.shape[1])
+    a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
+    (a_norms, a_unit), (b_norms, b_unit) = _unit(a), _unit(b)
+    slack = 1e-6 + (width + 4) * 2.0**-23
+    plain = (b_norms > 1e-150) & (b_norms < 1e150)
+    found = []
+    for top in range(0, len(a), TILE[0]):
+        left = a_unit[top : top + TILE[0]]
+        least = np.full(len(left), threshold - slack, np.float32)
+        row, item, score = np.empty(0, int), np.empty(0, ids.dtype), np.empty(0)
+        for at in range(0, len(b), TILE[1]):
+            near = left @ b_unit[at : at + TILE[1]].T
+            r, c = np.divmod(np.flatnonzero(near >= least[:, None]), near.shape[1])
+            if len(r) > 64 * len(left):
+                # Where nearly all pairs pass, the k-th best product of a row is a bound too.
+                sure = near[:, plain[at : at + TILE[1]]]
+                if sure.shape[1] >= k:
+                    own_norms = a_norms[top : top + TILE[0]]
+                    least = np.where((own_norms > 1e-150) & (own_norms < 1e150), np.maximum(least, np.partition(sure, -k, axis=1)[:, -k] - 2 * slack), least).astype(np.float32)
+                    r, c = np.divmod(np.flatnonzero(near >= least[:, None]), near.shape[1])
+            for part in range(0, len(r), PAIRS):
+                q, i = top + r[part : part + PAIRS], at + c[part : part + PAIRS]
+                norms = a_norms[q] * b_norms[i]
+                exact = np.round(np.divide(np.einsum("ij,ij->i", a[q], b[i]), norms, out=np.zeros(len(q)), where=norms > 0), 6)
+                good = exact >= threshold
+                q, i, exact = q[good] - top, i[good], exact[good]
+                n = starts[i + 1] - starts[i]
+                own = np.repeat(starts[i] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                row, item, score = np.concatenate([row, np.repeat(q, n)]), np.concatenate([item, ids[own]]), np.concatenate([score, np.repeat(exact, n)])
+                order = np.lexsort((item, -score, row))
+                place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+                row, item, score = (x[order[place < k]] for x in (row, item, score))
+                last = place[place < k] == k - 1
+                least[row[last]] = np.maximum(least[row[last]], (score[last] - slack).astype(np.float32))
+        found.append((top + row, item, score))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, ids.dtype), np.empty(0))
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.4, block: int | None = None) -> DataFrame:
+    """(query_id, item_id, score, rank): the k items of highest cosine at or above the threshold for each query.
 
-    def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        df = df.filter("vector IS NOT NULL")
-        n = max(1, -(-df.count() // block))
-        cut = df.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name))
-        return cut.groupBy(name).agg(F.collect_list(F.struct("id", "vector")).alias(f"{name}_rows")), n
-
-    left, _ = blocks(queries, "q")
-    right, n_right = blocks(items, "i")
-    pairs = left.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).join(right, "i")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def matrix(rows) -> tuple[np.ndarray, list[np.ndarray]]:
-            return np.array([r["id"] for r in rows]), [np.asarray(r["vector"], float) for r in rows]
-
-        def padded(vectors: list[np.ndarray], width: int) -> np.ndarray:
-            return np.array([np.pad(v, (0, width - len(v))) for v in vectors])
-
-        for frame in batches:
-            for q_rows, i_rows in zip(frame["q_rows"], frame["i_rows"], strict=True):
-                (q_ids, q), (i_ids, i) = matrix(q_rows), matrix(i_rows)
-                width = max(map(len, [*q, *i]))
-                a, b = padded(q, width), padded(i, width)
-                norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
-                found = np.round(np.divide(a @ b.T, norms, out=np.zeros((len(a), len(b))), where=norms > 0), 6)
-                for at, own in enumerate(found):
-                    good = np.flatnonzero(own >= threshold)
-                    best = good[np.lexsort((i_ids[good], -own[good]))][:k]
-                    yield pd.DataFrame({"query_id": q_ids[at], "item_id": i_ids[best], "score": own[best]})
-
-    best = pairs.select("q_rows", "i_rows").mapInPandas(score, "query_id long, item_id long, score double")
+    queries, items: id, vector; rows without either match nothing. Equal vectors are compared once, for all their queries
+    and the k smallest ids of their items. Both sides are cut into blocks (of at most `block` vectors, or of BLOCK_VALUES
+    components); every pair of blocks is one group of a cogroup, which hands on k rows a query at most. Ties go to the
+    smaller item id. Products run over the common length of a pair, norms over each whole vector; a vector of zeros or
+    without values scores 0.
+    """
+    queries, items = (df.select("id", "vector").filter("id IS NOT NULL AND vector IS NOT NULL") for df in (queries, items))
+    # A query vector goes by its smallest id; ids that stand for several vectors are told apart by the mark.
+    left = queries.groupBy("vector").agg(F.min("id").alias("id")).withColumn("mark", F.xxhash64("vector"))
+    members = queries.withColumnRenamed("id", "query_id").join(left, "vector").select("query_id", "id", "mark")
+    first = items.withColumn("place", F.row_number().over(W.partitionBy("vector").orderBy("id"))).filter(F.col("place") <= k)
+    right = first.groupBy("vector").agg(F.collect_list("id").alias("ids"))
+
+    def count(df: DataFrame) -> int:
+        n, width = df.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+        if block:
+            return max(1, -(-n // block))
+        return max(1, -(-n // max(1, BLOCK_VALUES // max(1, width or 1))), min(n // LEAST_BLOCK, queries.sparkSession.sparkContext.defaultParallelism))
+
+    n_left, n_right = count(left), count(right) if block else max(1, -(-count(right) // 2))
+    number = lambda n: F.pmod(F.xxhash64("vector", F.lit("block")), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = F.col("q") * n_right + F.col("i")
+    tasks = min(3 * n_left * n_right, 10_000)
+    dealt = [df.select("*", cell.alias("cell")).drop("q", "i").repartition(tasks, "cell").groupBy("cell") for df in (left.withColumn("q", number(n_left)).withColumn("i", every(n_right)), right.withColumn("i", number(n_right)).withColumn("q", every(n_left)))]
+
+    def score(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ids = held["ids"].combine_chunks()
+        starts = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False).astype(int))]).astype(int)
+        row, item, value = _best_pairs(_matrix(asked["vector"]), _matrix(held["vector"]), ids.flatten().to_numpy(zero_copy_only=False), starts, k, threshold)
+        return pa.table({"id": asked["id"].take(pa.array(row)), "mark": asked["mark"].take(pa.array(row)), "item_id": pa.array(item, pa.int64()), "score": pa.array(value, pa.float64())})
+
+    best = dealt[0].cogroup(dealt[1]).applyInArrow(score, "id long, mark long, item_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.join(members, ["id", "mark"]).select("query_id", "item_id", "score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def best_match(matches: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import itertools
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from provisio.functions import locators as L
@@ -243,3 +244,39 @@ def test_extraction_by_rules(spark, sf_dir):
                     tiers[0 if normative(s) and locator.startswith("article") else 1 if normative(s) else 2].append(s)
         rest = tiers[0] or tiers[1] or tiers[2] or ["No source text provided."]
         assert got[source] == (drafts + rest)[: Q.LIMIT], source
+
+
+@pytest.mark.parametrize("threshold", [-1.0, 0.2, 0.6])
+def test_best_pairs_by_bounds_are_those_of_all_pairs(threshold):
+    """Products in single precision only leave pairs out: over several tiles, with ties, zeros, no numbers and infinities."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(300, 5)), np.round(rng.normal(size=(4500, 4)), 1)
+    a[3], b[5], a[7, 0], b[9, 0], b[11, 0] = 0, 0, np.nan, np.nan, np.inf
+    starts = np.concatenate([[0], np.cumsum(rng.integers(1, 4, len(b)))])
+    ids = rng.permutation(starts[-1])
+    wide = np.pad(b, ((0, 0), (0, 1)))
+    with np.errstate(all="ignore"):
+        norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+        scores = np.round(np.divide(a @ wide.T, norms, out=np.zeros(norms.shape), where=norms > 0), 6)
+        row, item, score = M._best_pairs(a, b, ids, starts, 5, threshold)
+    of = np.repeat(np.arange(len(b)), np.diff(starts))
+    for r in range(len(a)):
+        own = scores[r][of]
+        want = sorted((-s, i) for s, i in zip(own[own >= threshold].tolist(), ids[own >= threshold].tolist(), strict=True))[:5]
+        assert sorted(zip((-score[row == r]).tolist(), item[row == r].tolist(), strict=True)) == want
+
+
+def test_top_k_compares_copies_once(spark):
+    """Copies of a vector are one row of a product, and every copy gets its matches, the smallest ids first."""
+    vectors = [[1.0, 0.0], [1.0, 0.1], [0.0, 1.0]]
+    queries = spark.createDataFrame([(i, vectors[i % 3]) for i in range(30)] + [(4, vectors[2])], "id long, vector array<float>")
+    items = spark.createDataFrame([(1000 - i, vectors[i % 2]) for i in range(40)], "id long, vector array<float>")
+    got = {}
+    for r in M.top_k(queries, items, 3, 0.4, block=1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.item_id)
+    ids = [sorted(1000 - i for i in range(40) if i % 2 == v)[:3] for v in (0, 1)]
+    assert got == {i: ids[i % 3] for i in range(30) if i % 3 < 2}
+    seen = M.top_k(queries, items, 3, 0.4)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in seen
